@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay import constants as C
 from rowassay.functions.logical_types import NUMERIC
 from rowassay.functions.predicates import is_identifier_name
 
 
-def indicators(profiled: DataFrame, keys=()) -> DataFrame:
-    """Completeness, uniqueness, validity and timeliness per table (A15-A18), one aggregation."""
+def completeness() -> Column:
+    """Non-NULL cells over all cells (A15); needs the NULL counts of a profile."""
+    share = F.sum("non_null_count") / F.nullif(F.sum("sample_size"), F.lit(0))
+    return F.coalesce(share, F.lit(0.0))
+
+
+def uniqueness() -> Column:
+    """Mean distinct rate of the columns."""
+    return F.coalesce(F.avg("distinct_rate"), F.lit(0.0))
+
+
+def validity() -> Column:
+    """One minus a hundredth of the mean capped |mean / deviation| of the numeric columns."""
     numeric = F.col("logical_type").isin(*NUMERIC)
     mean, std = F.coalesce("numeric.mean", F.lit(0.0)), F.coalesce("numeric.std", F.lit(0.0))
     spread = F.when(std == 0, F.lit(0.0)).otherwise(F.least(F.abs(mean / F.nullif(std, F.lit(0.0))), F.lit(1.0)))
+    return F.coalesce(F.lit(1.0) - F.avg(F.when(numeric, spread)) * 0.01, F.lit(C.VALIDITY_DEFAULT))
+
+
+def timeliness() -> Column:
+    """Mean covered share of 1800 days over the temporal columns."""
     first, last = F.col("temporal.min"), F.col("temporal.max")
     days = F.timestamp_diff("MICROSECOND", first, last) / F.lit(86_400_000_000.0)
     covered = F.when(days > 0, F.least(days / C.TIMELINESS_DAYS, F.lit(1.0))).otherwise(F.lit(0.0))
-    temporal = first.isNotNull() | last.isNotNull()
-    share = F.sum("non_null_count") / F.nullif(F.sum("sample_size"), F.lit(0))
-    return profiled.groupBy(*keys).agg(
-        F.coalesce(share, F.lit(0.0)).alias("completeness"),
-        F.coalesce(F.avg("distinct_rate"), F.lit(0.0)).alias("uniqueness"),
-        F.coalesce(F.lit(1.0) - F.avg(F.when(numeric, spread)) * 0.01, F.lit(C.VALIDITY_DEFAULT)).alias("validity"),
-        F.coalesce(F.avg(F.when(temporal, covered)), F.lit(C.TIMELINESS_DEFAULT)).alias("timeliness"),
-    )
+    return F.coalesce(F.avg(F.when(first.isNotNull() | last.isNotNull(), covered)), F.lit(C.TIMELINESS_DEFAULT))
+
+
+def indicators(profiled: DataFrame, keys=()) -> DataFrame:
+    """All four indicators per table in one aggregation."""
+    measures = {"completeness": completeness(), "uniqueness": uniqueness(), "validity": validity(), "timeliness": timeliness()}
+    return profiled.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
 
 
 def column_display(profiled: DataFrame, examples: int = 3) -> DataFrame:

@@ -70,62 +70,64 @@ def _finished(rows: DataFrame, sampling: str) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, *, top_limit: int = C.TOP_VALUES, keys: dict | None = None, sampling: str = "full", approximate: bool = False) -> DataFrame:
+PARTS = ("distinct", "top", "median")
+
+
+def profile(
+    df: DataFrame,
+    *,
+    top_limit: int = C.TOP_VALUES,
+    keys: dict | None = None,
+    sampling: str = "full",
+    approximate: bool = False,
+    parts=PARTS,
+) -> DataFrame:
     """Profile every column of ``df``.
 
     Exact by default: one pass for the plain statistics, one shuffle of value counts per type family
-    for distinct counts, top values and medians. ``approximate=True`` answers everything in a single
+    for distinct counts, top values and medians. ``parts`` leaves out those a caller does not need;
+    what is left out reads as 0, empty or NULL. ``approximate=True`` answers everything in a single
     pass without any shuffle of values (HyperLogLog++, Greenwald-Khanna and frequent-item sketches).
     ``keys`` are constant columns put in front, such as the dataset and version.
     """
     if approximate:
-        return _tagged(keys, _finished(_approximate(df, top_limit), sampling))
-    counted, extras = {}, []
+        return _tagged(keys, _finished(one_pass_stats(df, extra=_sketches(top_limit)), sampling))
+    counted, found = {}, []
     for name, members in by_family(df).items():
-        counts = counted[name] = family_counts(df, name, members)
-        totals = distinct_counts(counts)
-        empty_top = F.lit(None).cast("array<struct<rank:int,value:string,count:bigint>>")
-        extras.append(totals.select("position", "distinct_count", "counted", empty_top.alias("ranked"), F.lit(None).cast("double").alias("median")))
-        if name != "nested":
+        counts = family_counts(df, name, members)
+        if is_numeric(members[0].type):
+            counted[name] = counts
+        if "distinct" in parts:
+            found.append(_padded(distinct_counts(counts)))
+        if "top" in parts and name != "nested":
             leading = leading_values(df, name, members, counts, top_limit)
-            lists = leading.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked"))
-            extras.append(_padded(lists))
-    numbers = _numeric_counts(counted)
-    if numbers:
-        extras.append(_padded(medians(reduce(DataFrame.unionByName, numbers))))
+            found.append(_padded(leading.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked"))))
+    if "median" in parts and counted:
+        found.append(_padded(medians(reduce(DataFrame.unionByName, _numeric_counts(counted)))))
     stats = one_pass_stats(df)
-    if not extras:
-        return _tagged(keys, _finished(_without_counts(stats), sampling))
-    # At most three rows per column meet here.
+    if not found:
+        missing = [F.lit(None).cast(t).alias(c) for c, t in {"distinct_count": "bigint", "median": "double", "top_values": TOP_TYPE}.items()]
+        return _tagged(keys, _finished(stats.select("*", *missing), sampling))
+    # At most three rows per column meet here, and one per column is broadcast.
     merged = (
-        reduce(DataFrame.unionByName, extras)
+        reduce(DataFrame.unionByName, found)
         .groupBy("position")
-        .agg(*[F.max(c).alias(c) for c in ("distinct_count", "counted", "median")], F.first("ranked", ignorenulls=True).alias("ranked"))
+        .agg(F.max("distinct_count").alias("distinct_count"), F.max("median").alias("median"), F.first("ranked", ignorenulls=True).alias("ranked"))
     )
+    rows = stats.join(F.broadcast(merged), stats["ordinal_position"] == merged["position"], "left").drop("position")
     top = F.transform(
         F.filter("ranked", lambda e: e["value"].isNotNull()),
-        lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"), (e["count"] / F.col("counted")).alias("frequency")),
+        lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"), (e["count"] / F.col("non_null_count")).alias("frequency")),
     )
-    found = merged.select("position", "distinct_count", finite(F.col("median")).alias("median"), top.alias("top_values"))
-    rows = stats.join(F.broadcast(found), stats["ordinal_position"] == found["position"], "left").drop("position")
-    return _tagged(keys, _finished(rows, sampling))
+    return _tagged(keys, _finished(rows.withColumn("median", finite(F.col("median"))).withColumn("top_values", top), sampling))
 
 
 def _padded(rows: DataFrame) -> DataFrame:
     """Missing columns of the merge layout filled with NULL."""
-    layout = {
-        "distinct_count": "bigint",
-        "counted": "bigint",
-        "ranked": "array<struct<rank:int,value:string,count:bigint>>",
-        "median": "double",
-    }
+    layout = {"distinct_count": "bigint", "ranked": "array<struct<rank:int,value:string,count:bigint>>", "median": "double"}
     return rows.select("position", *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in layout.items()])
 
 
-def _without_counts(stats: DataFrame) -> DataFrame:
-    return stats.select("*", F.lit(None).alias("distinct_count"), F.lit(None).cast("double").alias("median"), F.lit(None).cast(TOP_TYPE).alias("top_values"))
-
-
 def _sketches(limit: int):
     """Approximate aggregates added to the one-pass statistics of a column, as SQL."""
 
@@ -144,10 +146,6 @@ def _sketches(limit: int):
     return extra
 
 
-def _approximate(df: DataFrame, limit: int) -> DataFrame:
-    return one_pass_stats(df, extra=_sketches(limit))
-
-
 def smallest_distinct(profiled: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Smallest per-column distinct count, the column-wise guess at distinct rows."""
     return profiled.groupBy(*(keys or [])).agg(

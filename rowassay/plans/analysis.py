@@ -16,6 +16,7 @@ from rowassay.operators.profile import profile
 from rowassay.operators.recommendations import keep_best, recommend
 from rowassay.operators.row_duplicates import row_duplicates
 from rowassay.operators.scoring import quality_scores, scored_findings, score_breakdown, table_sizes
+from rowassay.session import settle
 from rowassay.sources.store import ResultStore
 from rowassay.sources.structure import table_columns
 
@@ -23,13 +24,13 @@ STEPS = ("profile", "detect", "score", "recommendations", "validations", "histor
 
 
 def assess(df: DataFrame, name: str, threshold: float = C.NULL_RATE_THRESHOLD, exact_duplicates: bool = True) -> dict[str, DataFrame]:
-    """Profile, findings, score, breakdown and recommendations of one table, all lazy.
+    """Profile, findings, score, breakdown and recommendations of one table.
 
-    Each result re-runs the profile when it is read on its own; store the profile first
-    (``ResultStore`` or ``checkpoint``) when several are needed from a large table.
+    The table is profiled at once and the profile, one row per column, settled in the shared folder;
+    everything after it is lazy and never reads the table again.
     """
-    profiled = profile(df, keys={"dataset_id": name})
-    counts = row_duplicates(df).select(F.lit(name).alias("dataset_id"), "*") if exact_duplicates else None
+    profiled = settle(profile(df, keys={"dataset_id": name}), "profile")
+    counts = settle(row_duplicates(df).select(F.lit(name).alias("dataset_id"), "*"), "rows") if exact_duplicates else None
     return {"profile": profiled, **judge(profiled, counts, threshold)}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", app_name: str = "rowassay", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,3 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_folder(spark)}/rowassay-{label}-{uuid.uuid4().hex}"
+
+
+def settle(rows: DataFrame, label: str) -> DataFrame:
+    """A small intermediate result written once to the shared folder and read back.
+
+    Several results follow from one profile; settling it keeps each of them from profiling again, and
+    unlike a cache it outlives any executor.
+    """
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

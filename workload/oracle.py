@@ -353,6 +353,7 @@ for _name, (_alias, _expr) in _KPI.items():
     SQL[_name] = " UNION ALL ".join(
         f"SELECT '{n}' AS source, round({_expr}, 6) AS {_alias} FROM {profile(s, n)}" for n, s in (("labelled", LABELLED), ("orders", BASE), ("flags", FLAGS))
     )
+SQL["a15_all_indicators"] = "SELECT 'orders' AS source, " + ", ".join(f"round({e}, 6) AS {a}" for a, e in _KPI.values()) + f" FROM {profile('orders', 'orders')}"
 SQL["a19_run_status"] = f"SELECT status, count(*) AS run_count FROM {SCORES} GROUP BY status"
 SQL["a19_active_tables"] = f"SELECT count(*) AS table_count, count(current_version) AS active_count FROM {CATALOGUE}"
 SQL["a20_event_summary"] = (
@@ -489,7 +490,7 @@ SCORE_DRIFT = (
     f"coalesce(b.grade <> t.grade, false) AS grade_changed FROM (SELECT * FROM {_first} WHERE grade <> 'A') b FULL JOIN (SELECT * FROM {NEWEST} WHERE back = 1) t ON b.dataset_id = t.dataset_id)"
 )
 SQL["j5_score_drift"] = (
-    f"SELECT dataset_id, round(base_score, 6) AS base_score, round(target_score, 6) AS target_score, round(delta, 3) AS delta, grade_changed, {band('abs(delta)', SCORE_BANDS)} AS band FROM {SCORE_DRIFT}"
+    f"SELECT dataset_id, round(base_score, 6) AS base_score, round(target_score, 6) AS target_score, delta, grade_changed, {band('abs(delta)', SCORE_BANDS)} AS band FROM {SCORE_DRIFT}"
 )
 SQL["j6_compare_versions"] = (
     "SELECT 'flag' AS part, 'has_drift' AS item, 'true' AS result UNION ALL SELECT 'schema', name, change FROM (" + SQL["j1_schema_diff"]

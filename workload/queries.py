@@ -11,10 +11,10 @@ from rowassay import constants as C
 from rowassay.functions import cleaning, drift, predicates, scoring as X
 from rowassay.operators import comparison, context, detectors, events as ev, history, kpis, previews, recommendations as rec
 from rowassay.operators import row_duplicates as dup, scoring
-from rowassay.operators.column_stats import column_counts, length_stats, numeric_stats, temporal_stats
+from rowassay.operators.column_stats import column_counts, length_stats, numeric_stats, one_pass_stats, temporal_stats
 from rowassay.operators.profile import bounded_sample, column_medians, profile, smallest_distinct
 from rowassay.operators.value_counts import column_distinct, top_values, value_counts
-from rowassay.plans.analysis import assess, compare, judge, run_steps
+from rowassay.plans.analysis import assess, compare, run_steps
 from rowassay.session import scratch_path
 from rowassay.sources import files, structure
 from rowassay.sources.store import ResultStore, profile_from_json, profile_to_json
@@ -196,7 +196,7 @@ def f7(spark, folder):
 
 @over("f8_column_display", D.LABELLED)
 def f8(df):
-    return kpis.column_display(profile(df.drop("text"))).select("name", "min_shown", "max_shown", "examples", "is_identifier").where(
+    return kpis.column_display(profile(df.drop("text"), parts=("top",))).select("name", "min_shown", "max_shown", "examples", "is_identifier").where(
         ~F.col("name").isin("quality", "toxic", "n_chars")
     ).withColumns({c: F.regexp_replace(c, r"\.0$", "") for c in ("min_shown", "max_shown")})
 
@@ -293,7 +293,7 @@ def a9(spark, folder):
     for label, text in (("flags", D.FLAGS), ("texts", D.TEXTS)):
         df = D.derive(spark, folder, text)
         exact = dup.row_duplicates(df).select(F.lit(label).alias("source"), F.lit("exact").alias("mode"), "row_count", "distinct_rows")
-        guess = smallest_distinct(profile(df)).select(F.lit(label).alias("source"), F.lit("column_min").alias("mode"), "row_count", "distinct_rows")
+        guess = smallest_distinct(profile(df, parts=("distinct",))).select(F.lit(label).alias("source"), F.lit("column_min").alias("mode"), "row_count", "distinct_rows")
         frames += [exact, guess]
     out = frames[0]
     for f in frames[1:]:
@@ -334,21 +334,29 @@ def a14(df):
     return rec.recommendation_counts(rec.recommend(df, KEY), KEY)
 
 
-def indicator(name: str):
+def indicator(name: str, measure, prepare):
+    """A headline indicator over three inputs, each prepared only as far as the indicator needs."""
+
     def run(spark, folder):
         frames = [
-            kpis.indicators(profile(D.derive(spark, folder, text), keys={"source": label}), ["source"]).select("source", F.round(name, 6).alias(name))
+            prepare(D.derive(spark, folder, text)).groupBy(F.lit(label).alias("source")).agg(measure().alias(name))
             for label, text in (("labelled", D.LABELLED), ("orders", D.BASE_ORDERS), ("flags", D.FLAGS))
         ]
-        return frames[0].unionByName(frames[1]).unionByName(frames[2])
+        return rounded(frames[0].unionByName(frames[1]).unionByName(frames[2]), name)
 
     return run
 
 
-QUERIES["a15_completeness"] = indicator("completeness")
-QUERIES["a16_uniqueness"] = indicator("uniqueness")
-QUERIES["a17_validity"] = indicator("validity")
-QUERIES["a18_timeliness"] = indicator("timeliness")
+QUERIES["a15_completeness"] = indicator("completeness", kpis.completeness, column_counts)
+QUERIES["a16_uniqueness"] = indicator("uniqueness", kpis.uniqueness, column_distinct)
+QUERIES["a17_validity"] = indicator("validity", kpis.validity, one_pass_stats)
+QUERIES["a18_timeliness"] = indicator("timeliness", kpis.timeliness, one_pass_stats)
+
+
+@query("a15_all_indicators")
+def a15_all(spark, folder):
+    rows = kpis.indicators(profile(D.load(spark, folder, "orders"), keys={"source": "orders"}), ["source"])
+    return rounded(rows, "completeness", "uniqueness", "validity", "timeliness")
 
 
 @over("a19_run_status", D.SCORES)
@@ -470,7 +478,7 @@ def u2(spark, folder):
 
 @query("u3_category_union")
 def u3(spark, folder):
-    sides = [profile(D.derive(spark, folder, t).select("o_orderpriority")) for t in (D.BASE_ORDERS, D.TARGET_ORDERS)]
+    sides = [profile(D.derive(spark, folder, t).select("o_orderpriority"), parts=("top",)) for t in (D.BASE_ORDERS, D.TARGET_ORDERS)]
     rows = comparison.categorical_drift(*sides)
     keys = F.array_union(F.transform("base_top_values", lambda e: e["value"]), F.transform("target_top_values", lambda e: e["value"]))
     return rows.select("column", F.explode(keys).alias("value"))
@@ -502,19 +510,19 @@ DRIFT_VALUES = ("base_value", "target_value", "absolute_change", "relative_chang
 
 @query("j2_numeric_drift")
 def j2(spark, folder):
-    sides = [profile(df.select("o_orderkey", "o_totalprice")) for df in both_orders(spark, folder)]
+    sides = [profile(df.select("o_orderkey", "o_totalprice"), parts=("median",)) for df in both_orders(spark, folder)]
     return rounded(comparison.numeric_drift(*sides), *DRIFT_VALUES, digits=4)
 
 
 @query("j3_categorical_drift")
 def j3(spark, folder):
-    sides = [profile(df.select("o_orderpriority")) for df in both_orders(spark, folder)]
+    sides = [profile(df.select("o_orderpriority"), parts=("top",)) for df in both_orders(spark, folder)]
     return rounded(comparison.categorical_drift(*sides), "psi").select("column", "psi")
 
 
 @query("j4_distribution_drift")
 def j4(spark, folder):
-    sides = [profile(df.select("o_totalprice", "o_orderpriority", "o_orderdate")) for df in both_orders(spark, folder)]
+    sides = [profile(df.select("o_totalprice", "o_orderpriority", "o_orderdate"), parts=("top", "median")) for df in both_orders(spark, folder)]
     rows = comparison.distribution_drift(*sides)
     return rounded(rows, "relative_change", digits=4).withColumn("psi", F.round("psi", 6)).select("column", "metric", "relative_change", "psi", "band")
 
@@ -529,7 +537,7 @@ def two_scores(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 @over("j5_score_drift", D.SCORES)
 def j5(df):
     rows = comparison.score_drift(*two_scores(df), KEY)
-    return rounded(rows, "base_score", "target_score").select("dataset_id", "base_score", "target_score", F.round("delta", 3).alias("delta"), "grade_changed", "band")
+    return rounded(rows, "base_score", "target_score").select("dataset_id", "base_score", "target_score", "delta", "grade_changed", "band")
 
 
 @query("j6_compare_versions")
@@ -545,7 +553,7 @@ def j6(spark, folder):
 def j7(spark, folder):
     base, target = both_orders(spark, folder)
     schema = comparison.schema_diff(structure.table_columns(base), structure.table_columns(target))
-    sides = [profile(df.select("o_totalprice", "o_orderpriority")) for df in (base, target)]
+    sides = [profile(df.select("o_totalprice", "o_orderpriority"), parts=("top", "median")) for df in (base, target)]
     scores = comparison.score_drift(*two_scores(D.derive(spark, folder, D.SCORES)), KEY)
     drifts = comparison.distribution_drift(*sides)
     same = comparison.drift_flags(schema.where(F.lit(False)), drifts.where(F.lit(False)), scores.where(F.lit(False)))
@@ -595,7 +603,7 @@ def d1b(df):
 @query("d2_cardinality")
 def d2(spark, folder):
     frames = [
-        detectors.cardinality_findings(profile(D.load(spark, folder, t), keys={"table_name": t}), ["table_name"]) for t in ("orders", "events", "nation")
+        detectors.cardinality_findings(profile(D.load(spark, folder, t), keys={"table_name": t}, parts=("distinct",)), ["table_name"]) for t in ("orders", "events", "nation")
     ]
     return found(frames[0].unionByName(frames[1]).unionByName(frames[2]), ["table_name"])
 
@@ -611,12 +619,12 @@ def d3(spark, folder):
 
 @over("d3_duplicates_column_min", D.DIRTY_EVENTS)
 def d3b(df):
-    return found(detectors.duplicate_findings(smallest_distinct(profile(df))))
+    return found(detectors.duplicate_findings(smallest_distinct(profile(df, parts=("distinct",)))))
 
 
 @over("d4_placeholders", D.DIRTY_EVENTS)
 def d4(df):
-    return found(detectors.placeholder_findings(profile(df)))
+    return found(detectors.placeholder_findings(profile(df, parts=("top",))))
 
 
 @over("d4_placeholder_rows", D.DIRTY_EVENTS)
@@ -627,7 +635,7 @@ def d4b(df):
 @query("d5_skew")
 def d5(spark, folder):
     frames = [
-        detectors.skew_findings(profile(df, keys={"source": n}), ["source"])
+        detectors.skew_findings(profile(df, keys={"source": n}, parts=("median",)), ["source"])
         for n, df in (
             ("events", D.derive(spark, folder, D.DIRTY_EVENTS)),
             ("documents", D.load(spark, folder, "documents").select("doc_id", "n_chars")),
@@ -854,5 +862,4 @@ def e2b(spark, folder):
 
 @over("flagship_quality_score", D.LABELLED)
 def flagship(df):
-    rows = judge(profile(df, keys={"dataset_id": "labelled"}), dup.row_duplicates(df).select(F.lit("labelled").alias("dataset_id"), "*"))["scores"]
-    return rounded(rows, "total_penalty", "normalized_penalty")
+    return rounded(assess(df, "labelled")["scores"], "total_penalty", "normalized_penalty")
