@@ -166,7 +166,8 @@ def leading_values(df: DataFrame, name: str, members: list[Slot], counts: DataFr
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
     """Distinct and non-NULL cells per column, from the counts."""
-    return counts.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("counted"))
+    # Reading n here keeps this branch on the same shuffle as the other uses of the counts.
+    return counts.groupBy("position").agg(F.count_if(F.col("n") > 0).alias("distinct_count"), F.sum("n").alias("counted"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

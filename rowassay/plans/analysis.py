@@ -92,13 +92,13 @@ class StepError(ValueError):
 def _step(store: ResultStore, dataset_id: str, kind: str, version: int, parameters: dict, run_id: str) -> dict:
     owned = F.lit(version).alias("version_number")
 
-    def newest(table: str) -> DataFrame:
-        rows = store.read(table, dataset_id).where(F.col("version_number") == version)
+    def newest(table: str, at: int = version) -> DataFrame:
+        rows = store.read(table, dataset_id).where(F.col("version_number") == at)
         return rows.where(F.col("run_id") == rows.agg(F.max_by("run_id", F.struct("created_at", "run_id"))).scalar())
 
     def put(table: str, rows: DataFrame) -> DataFrame:
         store.append(table, rows.select("*", owned), dataset_id, run_id)
-        return store.read(table, dataset_id).where(F.col("run_id") == run_id)
+        return store.read(table, dataset_id).where(F.col("run_id") == run_id) if store.exists(table) else rows.limit(0)
 
     if kind == "profile":
         rows = put("profiles", profile(store.version(dataset_id, version)))
@@ -118,8 +118,12 @@ def _step(store: ResultStore, dataset_id: str, kind: str, version: int, paramete
         put("score_breakdowns", score_breakdown(scored, sizes, ["dataset_id"]))
         return {"score": row.score, "grade": row.grade}
     if kind == "recommendations":
+        if not store.exists("findings"):
+            return {"count": 0}
         return {"count": put("recommendations", keep_best(recommend(newest("findings"), ["dataset_id"]), keys=["dataset_id"])).count()}
     if kind == "validations":
+        if not store.exists("recommendations"):
+            return {"count": 0}
         operations = operations_of(newest("recommendations"))
         if not operations:
             return {"count": 0}
@@ -131,9 +135,7 @@ def _step(store: ResultStore, dataset_id: str, kind: str, version: int, paramete
         if base == target:
             raise StepError("same_version", "base and target are the same version")
         parts = [store.columns(dataset_id, v) for v in (base, target)] + [store.latest_profile(dataset_id, v) for v in (base, target)]
-        scores = [store.read("scores", dataset_id).where(F.col("version_number") == v) for v in (base, target)]
-        scores = [s.where(F.col("run_id") == s.agg(F.max_by("run_id", F.struct("created_at", "run_id"))).scalar()) for s in scores]
-        result = compare_stored(*parts, *scores)
+        result = compare_stored(*parts, newest("scores", base), newest("scores", target))
         for table, part in (("schema_diffs", "schema"), ("distribution_drifts", "distribution"), ("score_drifts", "scores")):
             store.append(table, result[part].select("*", F.lit(base).alias("base_version"), F.lit(target).alias("target_version")), dataset_id, run_id)
         return {"has_drift": result["flags"].first().has_drift}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowassay import constants as C
@@ -59,17 +61,16 @@ def csv_header_violations(spark: SparkSession, path: str) -> DataFrame:
 def file_inventory(spark: SparkSession, path: str, max_bytes: int = C.MAX_FILE_BYTES, glob: str | None = None) -> DataFrame:
     """Name, size, SHA-256 and problem (``empty``, ``too_large``) of every file.
 
-    Spreads over the cluster file by file. Contents above the limit are not hashed: they are refused
-    anyway, and the size is known without them.
+    Hashing spreads over the cluster file by file. Contents above the limit are never read: the limit
+    is pushed into the scan. Scans skip empty files, so those come from the scan's own file listing.
     """
     reader = spark.read.format("binaryFile")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    allowed = rows.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
-    refused = rows.where(F.col("length") > max_bytes).select("path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"))
-    size = F.col("size_bytes")
-    return allowed.unionByName(refused).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "size_bytes",
-        "sha256",
-        F.when(size == 0, "empty").when(size > max_bytes, "too_large").alias("problem"),
-    )
+    size = F.col("length").alias("size_bytes")
+    allowed = rows.where(F.col("length") <= max_bytes).select("path", size, F.sha2("content", 256).alias("sha256"))
+    refused = rows.where(F.col("length") > max_bytes).select("path", size, F.lit(None).cast("string").alias("sha256"))
+    seen = allowed.unionByName(refused).withColumn("file_name", F.element_at(F.split("path", "/"), -1)).drop("path")
+    listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1]),) for f in rows.inputFiles()], "file_name string")
+    empty = listed.join(seen, "file_name", "left_anti").select("file_name", F.lit(0).cast("bigint").alias("size_bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
+    problem = F.when(F.col("size_bytes") == 0, "empty").when(F.col("size_bytes") > max_bytes, "too_large")
+    return seen.unionByName(empty).select("file_name", "size_bytes", "sha256", problem.alias("problem"))

@@ -31,12 +31,14 @@ class ResultStore:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        """Whether the table holds any rows; an append of nothing leaves no partition behind."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/dataset_id=*")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return found is not None and len(found) > 0
 
     def read(self, table: str, dataset_id: str | None = None) -> DataFrame:
         """All rows of a table, or those of one dataset (F1, pruned to its partition)."""
-        rows = self.spark.read.option("mergeSchema", True).parquet(self.path(table))
+        rows = self.spark.read.parquet(self.path(table))
         return rows if dataset_id is None else rows.where(F.col("dataset_id") == dataset_id)
 
     def append(self, table: str, rows: DataFrame, dataset_id: str, run_id: str | None = None) -> str:

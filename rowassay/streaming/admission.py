@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rowassay.operators.events import DECISION, MICROS, AdmissionWindow
+from rowassay.operators.events import DECISION, MICROS, AdmissionWindow, check_limits
 
 STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
 
@@ -22,6 +22,7 @@ def admission_stream(
     dropped once the watermark passes the end of the key's last window. The size of a micro-batch, and
     with it the rows of a key sorted together, is set by the source's rate limit.
     """
+    check_limits(capacity, window_seconds)
     width = int(window_seconds * MICROS)
     schema = T.StructType([*events.schema.fields, *[T.StructField(n, t) for n, t in DECISION]])
 

@@ -44,13 +44,13 @@ SELECT o_orderkey, CAST(o_custkey AS STRING) AS o_custkey, o_totalprice * 1.5 AS
   CAST(year(o_orderdate) AS INT) AS o_year
 FROM {orders} WHERE o_orderdate >= DATE '1998-01-01'"""
 
-# A history of findings: one per order, tables are customers. The odd divisor keeps values off decimal
+# A history of findings: one per order, tables are customers. The large prime divisor keeps values off decimal
 # ties, where the engines round differently.
 FINDINGS = """
 SELECT o_custkey AS dataset_id, CAST(o_orderkey AS STRING) AS finding_id, kind, severity,
   CASE WHEN kind <> 'duplicates' THEN concat('col_', CAST(o_orderkey % 12 AS STRING)) END AS column_name,
   CASE WHEN kind = 'outlier' THEN 'mean' ELSE 'null_rate' END AS metric,
-  o_totalprice / 251000.0e0 AS value,
+  o_totalprice / 250007.0e0 AS value,
   CASE kind WHEN 'missingness' THEN 0.5e0 WHEN 'cardinality' THEN 0.8e0 WHEN 'duplicates' THEN 0.05e0
     WHEN 'invalid_values' THEN 0.0e0 ELSE 0.1e0 END AS threshold,
   concat(kind, ' seen in order ', CAST(o_orderkey AS STRING)) AS description
