@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowassay.functions.cleaning import rate, utc_ntz_sql
+from rowassay.functions.cleaning import utc_ntz_sql
 from rowassay.functions.logical_types import NUMERIC, TEMPORAL, logical_type, physical_type
 from rowassay.operators.value_counts import Slot, slots
 
@@ -61,7 +61,7 @@ def unpivot(df: DataFrame, entries: list[str]) -> DataFrame:
     """Aggregate once into one struct per column, then turn the single row into one row per column."""
     names = [f"c{i}" for i in range(len(entries))]
     wide = df.agg(*[F.expr(f"struct({e})").alias(n) for e, n in zip(entries, names)])
-    return wide.select(F.inline(F.array(*names)))
+    return wide.selectExpr(f"inline(array({', '.join(names)}))")
 
 
 def _identity(slot: Slot) -> str:
@@ -71,8 +71,8 @@ def _identity(slot: Slot) -> str:
 
 
 def _with_nulls(rows: DataFrame) -> DataFrame:
-    nulls = F.col("sample_size") - F.col("non_null_count")
-    return rows.withColumn("null_count", nulls).withColumn("null_rate", rate(F.col("null_count"), F.col("sample_size")))
+    nulls = "sample_size - non_null_count"
+    return rows.selectExpr("*", f"{nulls} AS null_count", f"CASE WHEN sample_size > 0 THEN ({nulls}) / sample_size ELSE 0.0D END AS null_rate")
 
 
 def column_counts(df: DataFrame, columns=None) -> DataFrame:

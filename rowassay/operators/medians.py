@@ -9,7 +9,7 @@ bucket are put in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 LOG_STEPS = 16  # logarithmic buckets per factor e; at most about 47 000 buckets over all doubles
 LOG_OFFSET = 12_000  # keeps the bucket of the smallest positive double above that of zero
@@ -31,39 +31,39 @@ FINE = f"""coalesce(CASE
 END, 0)"""
 
 
-def _middle(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows whose running count covers a middle rank; ``before`` counts what lies in front of them.
-
-    The rank arithmetic keeps 1-based ranks (N+1) div 2 and (N+2) div 2, which coincide for odd N.
-    """
-    window = Window.partitionBy("position").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = rows.withColumn("upto", F.col("base") + F.sum("n").over(window)).withColumn("before", F.col("upto") - F.col("n"))
-    return running.where((F.col("before") < F.col("upper_rank")) & (F.col("upto") >= F.col("lower_rank")))
+# Middle ranks are (N+1) div 2 and (N+2) div 2, 1-based; they coincide for odd N. `upto` is the running
+# count with a bucket or value, `base` what lies in front of the first one kept. At most two buckets
+# per column hold a middle rank, so both broadcast sides have at most 2 x columns rows.
+MEDIANS = f"""
+WITH coarse AS (SELECT position, value, n, {COARSE} AS coarse FROM {{counts}}),
+coarse_counts AS (
+  SELECT position, coarse, sum(n) AS n, min(value) AS low, max(value) AS high FROM coarse GROUP BY position, coarse),
+coarse_running AS (
+  SELECT *, sum(n) OVER (PARTITION BY position) AS total,
+    sum(n) OVER (PARTITION BY position ORDER BY coarse ROWS UNBOUNDED PRECEDING) AS upto FROM coarse_counts),
+coarse_middle AS (
+  SELECT position, coarse, low, high, (total + 1) div 2 AS lower_rank, (total + 2) div 2 AS upper_rank,
+    min(upto - n) OVER (PARTITION BY position) AS base
+  FROM coarse_running WHERE upto - n < (total + 2) div 2 AND upto >= (total + 1) div 2),
+fine AS (
+  SELECT /*+ BROADCAST(m) */ c.position, c.coarse, {FINE} AS fine, c.value, c.n, lower_rank, upper_rank, base
+  FROM coarse c JOIN coarse_middle m ON c.position = m.position AND c.coarse = m.coarse),
+fine_counts AS (
+  SELECT position, coarse, fine, lower_rank, upper_rank, base, sum(n) AS n FROM fine
+  GROUP BY position, coarse, fine, lower_rank, upper_rank, base),
+fine_running AS (
+  SELECT *, base + sum(n) OVER (PARTITION BY position ORDER BY coarse, fine ROWS UNBOUNDED PRECEDING) AS upto FROM fine_counts),
+fine_middle AS (
+  SELECT position, coarse, fine, lower_rank, upper_rank, min(upto - n) OVER (PARTITION BY position) AS base
+  FROM fine_running WHERE upto - n < upper_rank AND upto >= lower_rank),
+last_values AS (
+  SELECT /*+ BROADCAST(m) */ f.position, f.value, f.n, m.lower_rank, m.upper_rank,
+    m.base + sum(f.n) OVER (PARTITION BY f.position ORDER BY f.value ROWS UNBOUNDED PRECEDING) AS upto
+  FROM fine f JOIN fine_middle m ON f.position = m.position AND f.coarse = m.coarse AND f.fine = m.fine)
+SELECT position, (min(value) + max(value)) / 2.0D AS median FROM last_values
+WHERE upto - n < upper_rank AND upto >= lower_rank GROUP BY position"""
 
 
 def medians(counts: DataFrame) -> DataFrame:
     """Median per position from rows (position, value double, n). NaN sorts last, as a value."""
-    coarse = counts.withColumn("coarse", F.expr(COARSE))
-    everything = Window.partitionBy("position")
-    buckets = (
-        coarse.groupBy("position", "coarse")
-        .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .withColumn("total", F.sum("n").over(everything))
-        .withColumn("lower_rank", F.expr("(total + 1) div 2"))
-        .withColumn("upper_rank", F.expr("(total + 2) div 2"))
-        .withColumn("base", F.lit(0).cast("bigint"))
-    )
-    # At most two buckets per column survive, so the joins below broadcast 2 x columns rows.
-    first = _middle(buckets, ["coarse"]).select("position", "coarse", "low", "high", "lower_rank", "upper_rank", "before")
-    first = first.withColumn("base", F.min("before").over(everything)).drop("before")
-    fine = coarse.join(F.broadcast(first), ["position", "coarse"]).withColumn("fine", F.expr(FINE))
-    ranks = ["lower_rank", "upper_rank", "base"]
-    steps = fine.groupBy("position", "coarse", "fine", *ranks).agg(F.sum("n").alias("n"))
-    second = _middle(steps, ["coarse", "fine"]).select("position", "coarse", "fine", "lower_rank", "upper_rank", "before")
-    second = second.withColumn("base", F.min("before").over(everything)).drop("before")
-    last = fine.drop(*ranks).join(F.broadcast(second), ["position", "coarse", "fine"])
-    return (
-        _middle(last, ["value"])
-        .groupBy("position")
-        .agg(((F.min("value") + F.max("value")) / 2.0).alias("median"))
-    )
+    return counts.sparkSession.sql(MEDIANS, counts=counts)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from rowassay import constants as C
-from rowassay.functions.cleaning import finite, rate
+from rowassay.functions.cleaning import finite
 from rowassay.operators.column_stats import is_numeric, one_pass_stats
 from rowassay.operators.medians import medians
 from rowassay.operators.value_counts import Slot, by_family, distinct_counts, family, family_counts, leading_values, name_of
@@ -29,7 +29,7 @@ def bounded_sample(df: DataFrame, rows: int = C.SAMPLE_ROWS, fraction: float | N
 
 def _numeric_counts(counted: dict[str, DataFrame]) -> list[DataFrame]:
     return [
-        counts.select("position", F.col("value").cast("double").alias("value"), "n")
+        counts.selectExpr("position", "CAST(value AS DOUBLE) AS value", "n")
         for name, counts in counted.items()
         if name in ("integral", "floating") or name.startswith("decimal")
     ]
@@ -50,21 +50,22 @@ def _tagged(keys: dict | None, rows: DataFrame) -> DataFrame:
 
 def _finished(rows: DataFrame, sampling: str) -> DataFrame:
     """Profile column order, with rates and empty lists in place of missing values."""
-    numeric = F.struct(*[F.col(f"numeric.{p}").alias(p) if p != "median" else F.col("median") for p in NUMERIC_PARTS])
-    return rows.select(
+    numeric = ", ".join(f"'{p}', {'median' if p == 'median' else 'numeric.' + p}" for p in NUMERIC_PARTS)
+    distinct = "coalesce(distinct_count, 0L)"
+    return rows.selectExpr(
         "ordinal_position",
         "name",
         "physical_type",
         "logical_type",
-        F.lit(sampling).alias("sampling"),
+        f"'{sampling}' AS sampling",
         "sample_size",
         "non_null_count",
         "null_count",
         "null_rate",
-        F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count"),
-        rate(F.coalesce("distinct_count", F.lit(0)), F.col("non_null_count")).alias("distinct_rate"),
-        F.coalesce("top_values", F.array().cast(TOP_TYPE)).alias("top_values"),
-        numeric.alias("numeric"),
+        f"{distinct} AS distinct_count",
+        f"CASE WHEN non_null_count > 0 THEN {distinct} / non_null_count ELSE 0.0D END AS distinct_rate",
+        f"coalesce(top_values, CAST(array() AS {TOP_TYPE})) AS top_values",
+        f"named_struct({numeric}) AS numeric",
         "temporal",
         "string_length",
     )
@@ -101,7 +102,7 @@ def profile(
             found.append(_padded(distinct_counts(counts)))
         if "top" in parts and name != "nested":
             leading = leading_values(df, name, members, counts, top_limit)
-            found.append(_padded(leading.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked"))))
+            found.append(_padded(leading.groupBy("position").agg(F.expr("array_sort(collect_list(struct(rank, value, count))) AS ranked"))))
     if "median" in parts and counted:
         found.append(_padded(medians(reduce(DataFrame.unionByName, _numeric_counts(counted)))))
     stats = one_pass_stats(df)
@@ -110,22 +111,24 @@ def profile(
         return _tagged(keys, _finished(stats.select("*", *missing), sampling))
     # At most three rows per column meet here, and one per column is broadcast.
     merged = (
-        reduce(DataFrame.unionByName, found)
+        reduce(DataFrame.unionAll, found)
         .groupBy("position")
-        .agg(F.max("distinct_count").alias("distinct_count"), F.max("median").alias("median"), F.first("ranked", ignorenulls=True).alias("ranked"))
+        .agg(*[F.expr(e) for e in ("max(distinct_count) AS distinct_count", "max(median) AS median", "first(ranked, true) AS ranked")])
     )
-    rows = stats.join(F.broadcast(merged), stats["ordinal_position"] == merged["position"], "left").drop("position")
-    top = F.transform(
-        F.filter("ranked", lambda e: e["value"].isNotNull()),
-        lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"), (e["count"] / F.col("non_null_count")).alias("frequency")),
+    rows = stats.join(F.broadcast(merged.withColumnRenamed("position", "ordinal_position")), "ordinal_position", "left")
+    top = (
+        "transform(filter(ranked, e -> e.value IS NOT NULL), "
+        "e -> named_struct('value', e.value, 'count', e.count, 'frequency', e.count / non_null_count)) AS top_values"
     )
-    return _tagged(keys, _finished(rows.withColumn("median", finite(F.col("median"))).withColumn("top_values", top), sampling))
+    median = "CASE WHEN NOT isnan(median) AND abs(median) < double('infinity') THEN median END AS median"
+    kept = [c for c in rows.columns if c not in ("median", "ranked", "distinct_count")]
+    return _tagged(keys, _finished(rows.selectExpr(*kept, "distinct_count", median, top), sampling))
 
 
 def _padded(rows: DataFrame) -> DataFrame:
     """Missing columns of the merge layout filled with NULL."""
     layout = {"distinct_count": "bigint", "ranked": "array<struct<rank:int,value:string,count:bigint>>", "median": "double"}
-    return rows.select("position", *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in layout.items()])
+    return rows.selectExpr("position", *[c if c in rows.columns else f"CAST(NULL AS {t}) AS {c}" for c, t in layout.items()])
 
 
 def _sketches(limit: int):

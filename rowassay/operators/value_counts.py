@@ -11,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowassay import constants as C
-from rowassay.functions.cleaning import text_form, utc_ntz_sql
+from rowassay.functions.cleaning import utc_ntz_sql
 
 HEAD_CHARS = 128
 
@@ -108,28 +108,30 @@ def family_counts(df: DataFrame, name: str, members: list[Slot]) -> DataFrame:
         return pairs.groupBy("position", "head", "digest").agg(F.count(F.lit(1)).alias("n"))
     if name == "nested":
         pairs = pairs.selectExpr("position", "unhex(sha2(value, 256)) AS value")
-    return pairs.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _shown(name: str, members: list[Slot]) -> Column:
-    """Text of a counted value, in the form of its own column's type."""
-    value = F.col("value")
+    return pairs.groupBy("position", "value").agg(F.expr("count(1) AS n"))
+
+
+def _shown(name: str, members: list[Slot]) -> str:
+    """Text of a counted value, in the form of its own column's type, as SQL."""
+    special = {
+        "floating": (T.FloatType, "CAST(CAST(value AS FLOAT) AS STRING)", "CAST(value AS STRING)"),
+        "temporal": (T.DateType, "CAST(CAST(value AS DATE) AS STRING)", "CAST(value AS STRING)"),
+        "text": (T.BinaryType, "make_valid_utf8(value)", "value"),
+    }
+    if name not in special:
+        return "CAST(value AS STRING)"
+    kind, narrow, text = special[name]
+    positions = [str(s.position) for s in members if isinstance(s.type, kind)]
+    if positions:
+        text = f"CASE WHEN position IN ({', '.join(positions)}) THEN {narrow} ELSE {text} END"
     if name == "floating":
-        narrow = [s.position for s in members if isinstance(s.type, T.FloatType)]
-        text = text_form(value, T.DoubleType())
-        return F.when(F.col("position").isin(narrow), text_form(value.cast("float"), T.FloatType())).otherwise(text) if narrow else text
-    if name == "temporal":
-        days = [s.position for s in members if isinstance(s.type, T.DateType)]
-        text = value.cast("string")
-        return F.when(F.col("position").isin(days), value.cast("date").cast("string")).otherwise(text) if days else text
-    if name == "text":
-        return F.make_valid_utf8(value) if any(isinstance(s.type, T.BinaryType) for s in members) else value
-    return value.cast("string")
+        text = f"CASE WHEN NOT isnan(value) AND abs(value) < double('infinity') THEN {text} END"
+    return text
 
 
-def _ranked(counts: DataFrame, limit: int, *order: Column) -> DataFrame:
-    window = Window.partitionBy("position").orderBy(F.desc("n"), *order)
-    return counts.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+def _ranked(counts: DataFrame, limit: int, order: str) -> DataFrame:
+    rank = f"row_number() OVER (PARTITION BY position ORDER BY n DESC, {order}) AS rank"
+    return counts.selectExpr("*", rank).where(f"rank <= {limit}")
 
 
 def _leading_texts(df: DataFrame, counts: DataFrame, members: list[Slot], limit: int) -> DataFrame:
@@ -139,20 +141,20 @@ def _leading_texts(df: DataFrame, counts: DataFrame, members: list[Slot], limit:
     (count, text) does; only the order inside a group of long texts can differ. Those groups, at most
     ``limit`` per column, are broadcast into a second scan that brings their whole texts.
     """
-    front = _ranked(counts, limit, F.asc("head"), F.asc_nulls_first("digest"))
-    short = front.where("digest IS NULL").select("position", F.col("head").alias("value"), "n")
-    open_heads = front.where("digest IS NOT NULL").groupBy("position", "head").agg(F.collect_set("n").alias("wanted"))
+    front = _ranked(counts, limit, "head, digest NULLS FIRST")
+    short = front.where("digest IS NULL").selectExpr("position", "head AS value", "n")
+    open_heads = front.where("digest IS NOT NULL").groupBy("position", "head").agg(F.expr("collect_set(n) AS wanted"))
     whole = (
         _pairs(df, "text", members)
         .where(f"length(value) > {HEAD_CHARS}")
-        .withColumn("head", F.expr(f"left(value, {HEAD_CHARS})"))
+        .selectExpr("position", "value", f"left(value, {HEAD_CHARS}) AS head", "sha2(value, 256) AS digest")
         .join(F.broadcast(open_heads), ["position", "head"])
-        .groupBy("position", F.expr("sha2(value, 256)").alias("digest"))
-        .agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
+        .groupBy("position", "digest")
+        .agg(F.expr("min(value) AS value"), F.expr("count(1) AS n"), F.expr("first(wanted) AS wanted"))
         .where("array_contains(wanted, n)")
         .select("position", "value", "n")
     )
-    return _ranked(short.unionByName(whole), limit, F.asc("value"))
+    return _ranked(short.unionByName(whole), limit, "value")
 
 
 def leading_values(df: DataFrame, name: str, members: list[Slot], counts: DataFrame, limit: int) -> DataFrame:
@@ -160,14 +162,14 @@ def leading_values(df: DataFrame, name: str, members: list[Slot], counts: DataFr
     if name == "text":
         ranked = _leading_texts(df, counts, members, limit)
     else:
-        ranked = _ranked(counts, limit, F.asc("value"))
-    return ranked.select("position", "rank", _shown(name, members).alias("value"), F.col("n").alias("count"))
+        ranked = _ranked(counts, limit, "value")
+    return ranked.selectExpr("position", "rank", f"{_shown(name, members)} AS value", "n AS count")
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
     """Distinct and non-NULL cells per column, from the counts."""
     # Reading n here keeps this branch on the same shuffle as the other uses of the counts.
-    return counts.groupBy("position").agg(F.count_if(F.col("n") > 0).alias("distinct_count"), F.sum("n").alias("counted"))
+    return counts.groupBy("position").agg(F.expr("count_if(n > 0) AS distinct_count"), F.expr("sum(n) AS counted"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -187,7 +189,7 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
         if name == "nested":
             continue
         counts = _pairs(df, name, members).groupBy("position", "value").agg(F.count(F.lit(1)).alias("count"))
-        frames.append(counts.select(F.col("position").alias("ordinal_position"), name_of(members).alias("column"), _shown(name, members).alias("value"), "count"))
+        frames.append(counts.select(F.col("position").alias("ordinal_position"), name_of(members).alias("column"), F.expr(_shown(name, members)).alias("value"), "count"))
     return _union(frames)
 
 

@@ -69,8 +69,10 @@ def file_inventory(spark: SparkSession, path: str, max_bytes: int = C.MAX_FILE_B
     size = F.col("length").alias("size_bytes")
     allowed = rows.where(F.col("length") <= max_bytes).select("path", size, F.sha2("content", 256).alias("sha256"))
     refused = rows.where(F.col("length") > max_bytes).select("path", size, F.lit(None).cast("string").alias("sha256"))
-    seen = allowed.unionByName(refused).withColumn("file_name", F.element_at(F.split("path", "/"), -1)).drop("path")
-    listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1]),) for f in rows.inputFiles()], "file_name string")
-    empty = listed.join(seen, "file_name", "left_anti").select("file_name", F.lit(0).cast("bigint").alias("size_bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
+    one_form = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    seen = allowed.unionByName(refused).withColumn("path", one_form)
+    listed = spark.createDataFrame([(unquote(f),) for f in rows.inputFiles()], "path string").withColumn("path", one_form)
+    empty = listed.join(seen, "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("size_bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
     problem = F.when(F.col("size_bytes") == 0, "empty").when(F.col("size_bytes") > max_bytes, "too_large")
-    return seen.unionByName(empty).select("file_name", "size_bytes", "sha256", problem.alias("problem"))
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    return seen.unionByName(empty).select(name, "path", "size_bytes", "sha256", problem.alias("problem"))
