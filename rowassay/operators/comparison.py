@@ -46,16 +46,20 @@ def _paired(base: DataFrame, target: DataFrame, keys) -> DataFrame:
     return left.join(right, on)
 
 
-def _numeric_rows(pairs: DataFrame, keys) -> DataFrame:
-    metrics = [
-        F.struct(F.lit(m).alias("metric"), F.col(f"base_numeric.{m}").alias("base_value"), F.col(f"target_numeric.{m}").alias("target_value"))
-        for m in C.DRIFT_METRICS
-    ]
-    rows = pairs.select(*keys, F.col("name").alias("column"), F.inline(F.array(*metrics)))
+def _metric(name: str, base: Column, target: Column, psi: Column) -> Column:
+    return F.struct(F.lit(name).alias("metric"), base.cast("double").alias("base_value"), target.cast("double").alias("target_value"), psi.alias("psi"))
+
+
+def _numbers() -> Column:
+    """The compared statistics of a column pair."""
+    none = F.lit(None).cast("double")
+    return F.array(*[_metric(m, F.col(f"base_numeric.{m}"), F.col(f"target_numeric.{m}"), none) for m in C.DRIFT_METRICS])
+
+
+def _changes(rows: DataFrame) -> DataFrame:
     base, target = F.col("base_value"), F.col("target_value")
-    return rows.where(base.isNotNull() | target.isNotNull()).select(
-        "*", X.absolute_change(base, target).alias("absolute_change"), X.relative_change(base, target).alias("relative_change")
-    )
+    known = rows.where(base.isNotNull() | target.isNotNull() | F.col("psi").isNotNull())
+    return known.select("*", X.absolute_change(base, target).alias("absolute_change"), X.relative_change(base, target).alias("relative_change"))
 
 
 def numeric_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
@@ -63,57 +67,55 @@ def numeric_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
 
     A metric missing on one side keeps its row with NULL changes; missing on both it is left out.
     """
-    return _numeric_rows(_paired(base, target, keys), list(keys))
+    pairs = _paired(base, target, keys)
+    return _changes(pairs.select(*keys, F.col("name").alias("column"), F.inline(_numbers()))).drop("psi")
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, e: acc + e["count"])
 
 
-def _categorical_rows(pairs: DataFrame, keys) -> DataFrame:
+def _with_psi(pairs: DataFrame) -> DataFrame:
+    """Add ``psi`` over the union of both top-value lists, which are short by construction."""
+
     def counts(side: str) -> Column:
         return F.map_from_entries(F.transform(f"{side}_top_values", lambda e: F.struct(e["value"], e["count"])))
 
-    ready = pairs.select(
-        *keys,
-        F.col("name").alias("column"),
-        "base_top_values",
-        "target_top_values",
-        counts("base").alias("b"),
-        counts("target").alias("t"),
-        _total(F.col("base_top_values")).alias("b_total"),
-        _total(F.col("target_top_values")).alias("t_total"),
-    )
     zero = F.lit(0).cast("bigint")
 
     def add(acc: Column, key: Column) -> Column:
-        base, target = F.coalesce(F.col("b")[key], zero), F.coalesce(F.col("t")[key], zero)
-        return acc + X.psi_term(base, F.col("b_total"), target, F.col("t_total"))
+        b, t = F.coalesce(F.col("_b")[key], zero), F.coalesce(F.col("_t")[key], zero)
+        return acc + X.psi_term(b, F.col("_b_total"), t, F.col("_t_total"))
 
-    # Both lists hold at most the profile's top-value limit, so the union stays a short array.
-    union = F.array_union(F.map_keys("b"), F.map_keys("t"))
-    return ready.select(*keys, "column", F.aggregate(union, F.lit(0.0), add).alias("psi"), "base_top_values", "target_top_values")
+    ready = pairs.select(
+        "*",
+        counts("base").alias("_b"),
+        counts("target").alias("_t"),
+        _total(F.col("base_top_values")).alias("_b_total"),
+        _total(F.col("target_top_values")).alias("_t_total"),
+    )
+    psi = F.aggregate(F.array_union(F.map_keys("_b"), F.map_keys("_t")), F.lit(0.0), add)
+    return ready.withColumn("psi", psi).drop("_b", "_t", "_b_total", "_t_total")
 
 
 def categorical_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
     """Population-stability index over the union of both sides' top values, per common column."""
-    return _categorical_rows(_paired(base, target, keys), list(keys))
+    rows = _with_psi(_paired(base, target, keys))
+    return rows.select(*keys, F.col("name").alias("column"), "psi", "base_top_values", "target_top_values")
 
 
 def distribution_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
-    """Numeric columns by metric, text and boolean columns by PSI, from one join.
+    """Numeric columns by metric, text and boolean columns by PSI, from one join and one pass.
 
     A column that is numeric on one side only is compared as numbers.
     """
-    keys = list(keys)
-    pairs = _paired(base, target, keys)
     numeric = F.col("base_logical_type").isin(*NUMERIC) | F.col("target_logical_type").isin(*NUMERIC)
     text = F.col("base_logical_type").isin(*CATEGORICAL) | F.col("target_logical_type").isin(*CATEGORICAL)
-    numbers = _numeric_rows(pairs.where(numeric), keys).withColumn("psi", F.lit(None).cast("double"))
-    categories = _categorical_rows(pairs.where(text & ~numeric), keys).select(*keys, "column", F.lit("psi").alias("metric"), "psi")
-    rows = numbers.unionByName(categories, allowMissingColumns=True)
+    none = F.lit(None).cast("double")
+    measured = F.when(numeric, _numbers()).when(text, F.array(_metric("psi", none, none, F.col("psi"))))
+    pairs = _with_psi(_paired(base, target, keys)).select(*keys, F.col("name").alias("column"), F.inline(measured))
     band = F.coalesce(X.psi_drift_band(F.col("psi")), X.numeric_drift_band(F.col("relative_change")))
-    return rows.withColumn("band", band)
+    return _changes(pairs).withColumn("band", band)
 
 
 def score_drift(base: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

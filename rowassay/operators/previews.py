@@ -89,9 +89,9 @@ def preview_operations(df: DataFrame, operations: list[Operation]) -> DataFrame:
 
 
 def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row frames as one row."""
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(F.broadcast(right.select("*", one)), "_one").drop("_one")
+    """Two one-row frames as one row, without a join."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
 def _rare_name(op: Operation) -> str:

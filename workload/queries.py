@@ -15,7 +15,7 @@ from rowassay.operators.column_stats import column_counts, length_stats, numeric
 from rowassay.operators.profile import bounded_sample, column_medians, profile, smallest_distinct
 from rowassay.operators.value_counts import column_distinct, top_values, value_counts
 from rowassay.plans.analysis import assess, compare, run_steps
-from rowassay.session import scratch_path
+from rowassay.session import scratch_path, settle
 from rowassay.sources import files, structure
 from rowassay.sources.store import ResultStore, profile_from_json, profile_to_json
 from rowassay.streaming.admission import admission_stream
@@ -468,7 +468,7 @@ def u1(df):
 
 @over("u1_all_findings_dirty", D.DIRTY_EVENTS)
 def u1b(df):
-    return found(detectors.run_detectors(profile(df), threshold=0.3))
+    return found(detectors.run_detectors(settle(profile(df), "profile"), threshold=0.3))
 
 
 @query("u2_column_name_sets")
@@ -553,7 +553,7 @@ def j6(spark, folder):
 def j7(spark, folder):
     base, target = both_orders(spark, folder)
     schema = comparison.schema_diff(structure.table_columns(base), structure.table_columns(target))
-    sides = [profile(df.select("o_totalprice", "o_orderpriority"), parts=("top", "median")) for df in (base, target)]
+    sides = [settle(profile(df.select("o_totalprice", "o_orderpriority"), parts=("top", "median")), "profile") for df in (base, target)]
     scores = comparison.score_drift(*two_scores(D.derive(spark, folder, D.SCORES)), KEY)
     drifts = comparison.distribution_drift(*sides)
     same = comparison.drift_flags(schema.where(F.lit(False)), drifts.where(F.lit(False)), scores.where(F.lit(False)))
@@ -651,7 +651,7 @@ def d5(spark, folder):
 
 @over("d6_descriptions", D.DIRTY_EVENTS)
 def d6(df):
-    return detectors.run_detectors(profile(df), threshold=0.3).select("kind", "column_name", "description")
+    return detectors.run_detectors(settle(profile(df), "profile"), threshold=0.3).select("kind", "column_name", "description")
 
 
 # --- scalar functions --------------------------------------------------------------------------
