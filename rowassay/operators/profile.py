@@ -10,7 +10,7 @@ from rowassay import constants as C
 from rowassay.functions.cleaning import finite
 from rowassay.operators.column_stats import is_numeric, one_pass_stats
 from rowassay.operators.medians import medians
-from rowassay.operators.value_counts import Slot, by_family, distinct_counts, family, family_counts, leading_values, name_of
+from rowassay.operators.value_counts import Counted, Slot, counted_families, distinct_counts, family, leading_values, name_of, slots
 
 TOP_TYPE = "array<struct<value:string,count:bigint,frequency:double>>"
 NUMERIC_PARTS = ("min", "max", "mean", "median", "std", "sum")
@@ -27,21 +27,19 @@ def bounded_sample(df: DataFrame, rows: int = C.SAMPLE_ROWS, fraction: float | N
     return (df.sample(fraction=fraction, seed=seed) if fraction is not None else df.limit(rows)), "sampled"
 
 
-def _numeric_counts(counted: dict[str, DataFrame]) -> list[DataFrame]:
+def _numeric_counts(counted: Counted) -> list[DataFrame]:
     return [
         counts.selectExpr("position", "CAST(value AS DOUBLE) AS value", "n")
-        for name, counts in counted.items()
-        if name in ("integral", "floating") or name.startswith("decimal")
+        for members, counts in counted.values()
+        if is_numeric(members[0].type)
     ]
 
 
 def column_medians(df: DataFrame, columns=None) -> DataFrame:
     """Exact median of each numeric column: ordinal_position, name, median."""
-    groups = {n: m for n, m in by_family(df, columns).items() if is_numeric(m[0].type)}
-    counted = {n: family_counts(df, n, m) for n, m in groups.items()}
-    label = name_of([s for m in groups.values() for s in m]).alias("name")
-    merged = reduce(DataFrame.unionByName, _numeric_counts(counted))
-    return medians(merged).select(F.col("position").alias("ordinal_position"), label, finite(F.col("median")).alias("median"))
+    members = [s for s in slots(df, columns) if is_numeric(s.type)]
+    merged = reduce(DataFrame.unionByName, _numeric_counts(counted_families(df, {s.field.name for s in members})))
+    return medians(merged).select(F.col("position").alias("ordinal_position"), name_of(members).alias("name"), finite(F.col("median")).alias("median"))
 
 
 def _tagged(keys: dict | None, rows: DataFrame) -> DataFrame:
@@ -93,18 +91,15 @@ def profile(
     """
     if approximate:
         return _tagged(keys, _finished(one_pass_stats(df, extra=_sketches(top_limit)), sampling))
-    counted, found = {}, []
-    for name, members in by_family(df).items():
-        counts = family_counts(df, name, members)
-        if is_numeric(members[0].type):
-            counted[name] = counts
-        if "distinct" in parts:
-            found.append(_padded(distinct_counts(counts)))
-        if "top" in parts and name != "nested":
-            leading = leading_values(df, name, members, counts, top_limit)
-            found.append(_padded(leading.groupBy("position").agg(F.expr("array_sort(collect_list(struct(rank, value, count))) AS ranked"))))
-    if "median" in parts and counted:
-        found.append(_padded(medians(reduce(DataFrame.unionByName, _numeric_counts(counted)))))
+    counted, found = counted_families(df), []
+    numbers = _numeric_counts(counted)
+    if "distinct" in parts and counted:
+        found.append(_padded(distinct_counts(counted)))
+    if "top" in parts and counted:
+        lists = "array_sort(collect_list(struct(rank, value, count))) AS ranked"
+        found.append(_padded(leading_values(df, counted, top_limit).groupBy("position").agg(F.expr(lists))))
+    if "median" in parts and numbers:
+        found.append(_padded(medians(reduce(DataFrame.unionByName, numbers))))
     stats = one_pass_stats(df)
     if not found:
         missing = [F.lit(None).cast(t).alias(c) for c, t in {"distinct_count": "bigint", "median": "double", "top_values": TOP_TYPE}.items()]

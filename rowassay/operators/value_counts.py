@@ -111,65 +111,98 @@ def family_counts(df: DataFrame, name: str, members: list[Slot]) -> DataFrame:
     return pairs.groupBy("position", "value").agg(F.expr("count(1) AS n"))
 
 
-def _shown(name: str, members: list[Slot]) -> str:
+Counted = dict[str, tuple[list[Slot], DataFrame]]
+
+
+def counted_families(df: DataFrame, columns=None) -> Counted:
+    """The counts of every family, with the columns they cover."""
+    return {name: (members, family_counts(df, name, members)) for name, members in by_family(df, columns).items()}
+
+
+def _shown(name: str, members: list[Slot], value: str = "value") -> str:
     """Text of a counted value, in the form of its own column's type, as SQL."""
     special = {
-        "floating": (T.FloatType, "CAST(CAST(value AS FLOAT) AS STRING)", "CAST(value AS STRING)"),
-        "temporal": (T.DateType, "CAST(CAST(value AS DATE) AS STRING)", "CAST(value AS STRING)"),
-        "text": (T.BinaryType, "make_valid_utf8(value)", "value"),
+        "floating": (T.FloatType, f"CAST(CAST({value} AS FLOAT) AS STRING)", f"CAST({value} AS STRING)"),
+        "temporal": (T.DateType, f"CAST(CAST({value} AS DATE) AS STRING)", f"CAST({value} AS STRING)"),
+        "text": (T.BinaryType, f"make_valid_utf8({value})", value),
     }
     if name not in special:
-        return "CAST(value AS STRING)"
+        return f"CAST({value} AS STRING)"
     kind, narrow, text = special[name]
     positions = [str(s.position) for s in members if isinstance(s.type, kind)]
     if positions:
         text = f"CASE WHEN position IN ({', '.join(positions)}) THEN {narrow} ELSE {text} END"
     if name == "floating":
-        text = f"CASE WHEN NOT isnan(value) AND abs(value) < double('infinity') THEN {text} END"
+        text = f"CASE WHEN NOT isnan({value}) AND abs({value}) < double('infinity') THEN {text} END"
     return text
 
 
-def _ranked(counts: DataFrame, limit: int, order: str) -> DataFrame:
+def _key_type(name: str) -> str:
+    if name.startswith("decimal"):
+        return f"DECIMAL(38, {name.removeprefix('decimal')})"
+    return {"integral": "BIGINT", "floating": "DOUBLE", "temporal": "TIMESTAMP_NTZ", "text": "STRING"}[name]
+
+
+def _ranked(rows: DataFrame, limit: int, order: str) -> DataFrame:
     rank = f"row_number() OVER (PARTITION BY position ORDER BY n DESC, {order}) AS rank"
-    return counts.selectExpr("*", rank).where(f"rank <= {limit}")
+    return rows.selectExpr("*", rank).where(f"rank <= {limit}")
 
 
-def _leading_texts(df: DataFrame, counts: DataFrame, members: list[Slot], limit: int) -> DataFrame:
-    """Top texts, exact even when long texts agree in their head and count.
+def _whole_texts(df: DataFrame, members: list[Slot], front: DataFrame) -> DataFrame:
+    """Every long text whose head and count stand in the front rows, whole: position, text, n.
 
-    Ranking by (count, head, digest) puts the same (count, head) groups in front as ranking by
-    (count, text) does; only the order inside a group of long texts can differ. Those groups, at most
-    ``limit`` per column, are broadcast into a second scan that brings their whole texts.
+    The wanted heads, at most the list limit per column, are broadcast into a second scan that drops
+    short texts before it compares anything.
     """
-    front = _ranked(counts, limit, "head, digest NULLS FIRST")
-    short = front.where("digest IS NULL").selectExpr("position", "head AS value", "n")
-    open_heads = front.where("digest IS NOT NULL").groupBy("position", "head").agg(F.expr("collect_set(n) AS wanted"))
-    whole = (
+    wanted = front.where("digest IS NOT NULL").groupBy("position", "text").agg(F.expr("collect_set(n) AS wanted"))
+    return (
         _pairs(df, "text", members)
         .where(f"length(value) > {HEAD_CHARS}")
-        .selectExpr("position", "value", f"left(value, {HEAD_CHARS}) AS head", "sha2(value, 256) AS digest")
-        .join(F.broadcast(open_heads), ["position", "head"])
+        .selectExpr("position", "value", f"left(value, {HEAD_CHARS}) AS text", "sha2(value, 256) AS digest")
+        .join(F.broadcast(wanted), ["position", "text"])
         .groupBy("position", "digest")
-        .agg(F.expr("min(value) AS value"), F.expr("count(1) AS n"), F.expr("first(wanted) AS wanted"))
+        .agg(F.expr("min(value) AS text"), F.expr("count(1) AS n"), F.expr("first(wanted) AS wanted"))
         .where("array_contains(wanted, n)")
-        .select("position", "value", "n")
+        .select("position", "text", "n")
     )
-    return _ranked(short.unionByName(whole), limit, "value")
 
 
-def leading_values(df: DataFrame, name: str, members: list[Slot], counts: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` most frequent values per column: count descending, then value ascending."""
-    if name == "text":
-        ranked = _leading_texts(df, counts, members, limit)
-    else:
-        ranked = _ranked(counts, limit, "value")
-    return ranked.selectExpr("position", "rank", f"{_shown(name, members)} AS value", "n AS count")
+def leading_values(df: DataFrame, counted: Counted, limit: int) -> DataFrame:
+    """The ``limit`` most frequent values per column: count descending, then value ascending.
+
+    All families are ranked together, each in a key column of its own type. Texts are first ranked by
+    (count, head, digest): that puts the same (count, head) groups in front as the whole texts would,
+    and only inside such a group can the order differ. Bringing those groups' whole texts and ranking
+    once more therefore gives the exact list.
+    """
+    families = [n for n in counted if n != "nested"]
+    if not families:
+        return df.sparkSession.range(0).selectExpr("CAST(id AS INT) AS position", "1 AS rank", "'' AS value", "id AS count")
+    frames = []
+    for name in families:
+        own = "head" if name == "text" else "value"
+        keys = [f"{own if n == name else f'CAST(NULL AS {_key_type(n)})'} AS {n}" for n in families]
+        digest = "digest" if name == "text" else "CAST(NULL AS BINARY)"
+        frames.append(counted[name][1].selectExpr("position", "n", *keys, f"{digest} AS digest"))
+    order = ", ".join(families)
+    ranked = _ranked(_union(frames), limit, f"{order}, digest NULLS FIRST")
+    if "text" in families:
+        whole = _whole_texts(df, counted["text"][0], ranked)
+        ready = ranked.where("digest IS NULL").select("position", "n", *families).unionByName(whole, allowMissingColumns=True)
+        ranked = _ranked(ready, limit, order)
+    cases = " ".join(
+        f"WHEN position IN ({', '.join(str(s.position) for s in counted[n][0])}) THEN {_shown(n, counted[n][0], n)}" for n in families
+    )
+    return ranked.selectExpr("position", "rank", f"CASE {cases} END AS value", "n AS count")
 
 
-def distinct_counts(counts: DataFrame) -> DataFrame:
-    """Distinct and non-NULL cells per column, from the counts."""
-    # Reading n here keeps this branch on the same shuffle as the other uses of the counts.
-    return counts.groupBy("position").agg(F.expr("count_if(n > 0) AS distinct_count"), F.expr("sum(n) AS counted"))
+def distinct_counts(counted: Counted) -> DataFrame:
+    """Distinct and non-NULL cells per column, from the counts.
+
+    Reading n keeps these branches on the same shuffles as the other uses of the counts.
+    """
+    rows = _union([counts.select("position", "n") for _, counts in counted.values()])
+    return rows.groupBy("position").agg(F.expr("count_if(n > 0) AS distinct_count"), F.expr("sum(n) AS counted"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -195,35 +228,24 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
 
 def top_values(df: DataFrame, columns=None, limit: int = C.TOP_VALUES) -> DataFrame:
     """Top values per column (A7), one row each with its share of the non-NULL cells."""
-    frames = []
-    for name, members in by_family(df, columns).items():
-        if name == "nested":
-            continue
-        counts = family_counts(df, name, members)
-        leading = leading_values(df, name, members, counts, limit)
-        joined = leading.join(F.broadcast(distinct_counts(counts)), "position")  # one row per column
-        frames.append(
-            joined.where(F.col("value").isNotNull()).select(
-                F.col("position").alias("ordinal_position"),
-                name_of(members).alias("column"),
-                "rank",
-                "value",
-                "count",
-                (F.col("count") / F.col("counted")).alias("frequency"),
-            )
-        )
-    return _union(frames)
+    counted = counted_families(df, columns)
+    totals = distinct_counts(counted).select("position", "counted")  # one row per column
+    leading = leading_values(df, counted, limit).where("value IS NOT NULL")
+    return leading.join(F.broadcast(totals), "position").select(
+        F.col("position").alias("ordinal_position"),
+        name_of(slots(df)).alias("column"),
+        "rank",
+        "value",
+        "count",
+        F.expr("count / counted AS frequency"),
+    )
 
 
 def column_distinct(df: DataFrame, columns=None) -> DataFrame:
     """Exact distinct non-NULL count and rate per column (A2)."""
-    frames = []
-    for name, members in by_family(df, columns).items():
-        counted = distinct_counts(family_counts(df, name, members))
-        frames.append(counted.withColumn("column", name_of(members)))
-    return _union(frames).select(
+    return distinct_counts(counted_families(df, columns)).select(
         F.col("position").alias("ordinal_position"),
-        "column",
+        name_of(slots(df)).alias("column"),
         "distinct_count",
-        (F.col("distinct_count") / F.col("counted")).alias("distinct_rate"),
+        F.expr("distinct_count / counted AS distinct_rate"),
     )
