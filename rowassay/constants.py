@@ -64,6 +64,27 @@ RARE_CATEGORY_MIN_COUNT = 5
 MAX_RECOMMENDATIONS = 50
 NUMERIC_METRIC_NAMES = ("mean", "median", "std", "min", "max", "sum")
 
+# Wording of results: finding descriptions, recommendation titles, context lines.
+DESCRIPTION = {
+    MISSINGNESS: "Column '%s' has %d null values (%s) which is above the threshold (%s).",
+    CARDINALITY: "Column '%s' has %d distinct values across %d non-null rows (%s); it may be a primary key or free-form text.",
+    DUPLICATES: "Approximately %d of %d rows (%s) are exact duplicates in the sampled frame.",
+    INVALID_VALUES: "Column '%s' contains placeholder values (e.g. 'N/A', 'null') in its top entries.",
+    OUTLIER: "Numeric column '%s' shows a large mean-vs-median skew (%s), which often indicates outliers.",
+}
+TITLE = {
+    "drop_column": "Drop sparse column '%s'",
+    "impute_missing": "Impute missing values in '%s'",
+    "review_missing": "Review null rate for '%s'",
+    "drop_duplicates": "Drop exact duplicate rows",
+    "cast_type": "Cast or normalize column '%s'",
+    "cap_outliers": "Cap outliers in '%s'",
+    "review_outliers": "Review outliers in '%s'",
+    "group_rare_categorical": "Group rare categories in '%s'",
+    "review_unknown": "Review unsupported finding",
+}
+CONTEXT_LINE = "  - id=%s kind=%s severity=%s column=%s value=%s threshold=%s summary=%s"
+
 # Profile, context and listing sizes.
 TOP_VALUES = 10
 SAMPLE_ROWS = 100_000

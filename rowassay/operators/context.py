@@ -26,7 +26,7 @@ def finding_context(findings: DataFrame, keys: list[str], limit: int = C.CONTEXT
 def context_text(findings: DataFrame, scores: DataFrame, keys: list[str], header: str, limit: int = C.CONTEXT_FINDINGS) -> DataFrame:
     """Header, key lines and one line per finding as text (C2). ``scores`` has keys, name, score, grade."""
     line = F.format_string(
-        "  - id=%s kind=%s severity=%s column=%s value=%s threshold=%s summary=%s",
+        C.CONTEXT_LINE,
         F.col("finding_id"),
         F.col("kind"),
         F.col("severity"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay import constants as C
 from rowassay.operators.profile import smallest_distinct
+from rowassay.operators.value_counts import by_family, family_counts, name_of
 
 
 
@@ -14,10 +15,6 @@ def percent(value: Column) -> Column:
     return F.format_string("%.1f%%", F.bround(value * 100, 1))
 
 
-def _text(pattern: str, *values: Column) -> Column:
-    return F.format_string(pattern, *values)
-
-
 def _details(**values: Column) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
 
@@ -44,8 +41,8 @@ def _missingness(threshold: float) -> Column:
         .when(share >= threshold, "medium")
         .otherwise("low")
     )
-    description = _text(
-        "Column '%s' has %d null values (%s) which is above the threshold (%s).", name, F.col("null_count"), percent(share), percent(F.lit(threshold))
+    description = F.format_string(
+        C.DESCRIPTION[C.MISSINGNESS], name, F.col("null_count"), percent(share), percent(F.lit(threshold))
     )
     details = _details(null_count=F.col("null_count"), non_null_count=F.col("non_null_count"), sample_size=F.col("sample_size"))
     row = _finding(C.MISSINGNESS, severity, name, "null_rate", share, threshold, description, details)
@@ -56,8 +53,8 @@ def _cardinality() -> Column:
     """Columns whose values hardly ever repeat."""
     share, name = F.col("distinct_count") / F.nullif(F.col("non_null_count"), F.lit(0)), F.col("name")
     severity = F.when(F.col("sample_size") < 100, "info").when(share >= 0.95, "high").when(share >= 0.8, "medium").otherwise("low")
-    description = _text(
-        "Column '%s' has %d distinct values across %d non-null rows (%s); it may be a primary key or free-form text.",
+    description = F.format_string(
+        C.DESCRIPTION[C.CARDINALITY],
         name, F.col("distinct_count"), F.col("non_null_count"), percent(share),
     )
     details = _details(distinct_count=F.col("distinct_count"), non_null_count=F.col("non_null_count"))
@@ -72,7 +69,7 @@ def is_placeholder(value: Column) -> Column:
 def _placeholders() -> Column:
     """Placeholder spellings among the top values; the value counts spellings."""
     hits = F.filter("top_values", lambda e: is_placeholder(e["value"]))
-    description = _text("Column '%s' contains placeholder values (e.g. 'N/A', 'null') in its top entries.", F.col("name"))
+    description = F.format_string(C.DESCRIPTION[C.INVALID_VALUES], F.col("name"))
     row = _finding(
         C.INVALID_VALUES, F.lit("medium"), F.col("name"), "placeholder_top_value_count", F.size(hits), 0.0, description, _details(sentinels=F.to_json(hits))
     )
@@ -86,8 +83,8 @@ def _skew() -> Column:
     value = F.abs(mean - median) / (F.abs(median) + F.abs(std))
     usable = n["min"].isNotNull() & n["max"].isNotNull() & mean.isNotNull() & (std != 0) & (F.abs(median) >= 1e-9)
     severity = F.when(value >= 0.5, "high").otherwise("medium")
-    description = _text(
-        "Numeric column '%s' shows a large mean-vs-median skew (%s), which often indicates outliers.",
+    description = F.format_string(
+        C.DESCRIPTION[C.OUTLIER],
         F.col("name"), F.format_string("%.2f", F.bround(value, 2)),
     )
     details = _details(mean=mean, median=median, std_deviation=std, min_value=n["min"], max_value=n["max"])
@@ -101,7 +98,7 @@ def _duplicates() -> Column:
     extra = F.greatest(rows - distinct, F.lit(0))
     share = extra / F.nullif(rows, F.lit(0))
     severity = F.when(share >= 0.5, "high").when(share >= 0.2, "medium").otherwise("low")
-    description = _text("Approximately %d of %d rows (%s) are exact duplicates in the sampled frame.", extra, rows, percent(share))
+    description = F.format_string(C.DESCRIPTION[C.DUPLICATES], extra, rows, percent(share))
     details = _details(duplicate_count=extra, row_count=rows, distinct_count=distinct)
     row = _finding(C.DUPLICATES, severity, F.lit(None), "duplicate_rate", share, C.DUPLICATE_THRESHOLD, description, details)
     return F.when((rows > 0) & (distinct > 0) & (share >= C.DUPLICATE_THRESHOLD), row)
@@ -138,8 +135,6 @@ def skew_findings(profiled: DataFrame, keys=()) -> DataFrame:
 
 def placeholder_rows(df: DataFrame) -> DataFrame:
     """Rows holding a placeholder, per text column of the whole table (D4, full mode): name, spellings, rows."""
-    from rowassay.operators.value_counts import by_family, family_counts, name_of
-
     members = by_family(df)["text"]
     hits = family_counts(df, "text", members).where("digest IS NULL").where(is_placeholder(F.col("head")))
     return (

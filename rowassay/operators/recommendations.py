@@ -36,51 +36,51 @@ def _actions(strategy: Column) -> Column:
     severe = severity.isin("critical", "high")
     seen, limit = _four(value), _four(F.col("threshold"))
 
-    def titled(pattern: str) -> Column:
-        return F.format_string(pattern, column)
+    def titled(case: str) -> Column:
+        return F.format_string(C.TITLE[case], column)
 
     drop = _action(
-        titled("Drop sparse column '%s'"),
+        titled("drop_column"),
         F.format_string("Null rate %s of '%s' is beyond the usable limit (0.80); check for consumers, then drop it.", seen, column),
         "drop_column", column=column, strategy=F.lit("drop"),
     )
     impute = _action(
-        titled("Impute missing values in '%s'"),
+        titled("impute_missing"),
         F.format_string("Null rate %s of '%s' exceeds its threshold (%s); fill the gaps by '%s' and keep all rows.", seen, column, limit, strategy),
         "impute_missing", column=column, strategy=strategy,
     )
     watch_nulls = _action(
-        titled("Review null rate for '%s'"),
+        titled("review_missing"),
         F.format_string("Null rate %s of '%s' is mild and may be intended; look upstream first.", seen, column),
         "review", column=column, reason=F.lit("low_severity_missingness"),
     )
     dedupe = _action(
-        F.lit("Drop exact duplicate rows"),
+        F.lit(C.TITLE["drop_duplicates"]),
         F.format_string("Duplicate rate %s exceeds its threshold (%s); rule out history tables, then keep one row of each.", seen, limit),
         "drop_duplicates", scope=F.lit("exact_rows"),
     )
     cast = _action(
-        titled("Cast or normalize column '%s'"),
+        titled("cast_type"),
         F.format_string("'%s' shows %s placeholder spellings (threshold %s); turn them into NULL or cast to the intended type.", column, seen, limit),
         "cast_type", column=column, reason=F.lit("invalid_values"),
     )
     cap = _action(
-        titled("Cap outliers in '%s'"),
+        titled("cap_outliers"),
         F.format_string("Skew %s of '%s' exceeds its threshold (%s); cap the values beyond it.", seen, column, limit),
         "cap_outliers", column=column, threshold=F.col("threshold"),
     )
     watch_skew = _action(
-        titled("Review outliers in '%s'"),
+        titled("review_outliers"),
         F.format_string("Skew %s of '%s' is moderate; the values may be genuine.", seen, column),
         "review", column=column, reason=F.lit("moderate_outliers"),
     )
     group = _action(
-        titled("Group rare categories in '%s'"),
+        titled("group_rare_categorical"),
         F.format_string("Distinct rate %s of '%s' exceeds its threshold (%s); fold rare values into one bucket.", seen, column, limit),
         "group_rare_categorical", column=column, min_count=F.lit(C.RARE_CATEGORY_MIN_COUNT),
     )
     unknown = _action(
-        F.lit("Review unsupported finding"),
+        F.lit(C.TITLE["review_unknown"]),
         F.format_string("No rule covers findings of kind '%s'.", kind),
         "review", reason=F.lit("unsupported_finding_kind"),
     )
