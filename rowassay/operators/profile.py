@@ -136,8 +136,10 @@ def _sketches(limit: int):
         median = f"percentile_approx(CAST({value} AS DOUBLE), 0.5, 10000)" if is_numeric(slot.type) else "CAST(NULL AS DOUBLE)"
         top = f"CAST(NULL AS {TOP_TYPE})"
         if kind not in (None, "nested"):
-            items = f"filter(approx_top_k(CAST({value} AS STRING), {limit + 1}), e -> e.item IS NOT NULL)"
-            shown = f"transform({items}, e -> named_struct('value', e.item, 'count', e.count, 'frequency', e.count / count({value})))"
+            counted = value if kind in ("integral", "floating") or kind.startswith("decimal") else f"CAST({value} AS STRING)"
+            items = f"filter(approx_top_k({counted}, {limit + 1}), e -> e.item IS NOT NULL)"
+            cell = f"named_struct('value', CAST(e.item AS STRING), 'count', e.count, 'frequency', e.count / count({value}))"
+            shown = f"transform({items}, e -> {cell})"
             top = f"slice({shown}, 1, {limit})"
         return f"{distinct} AS distinct_count, {median} AS median, {top} AS top_values"
 
