@@ -10,11 +10,6 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(None)).otherwise(value)
 
 
-def rate(numerator: Column, denominator: Column) -> Column:
-    """Share as a double, 0 where the denominator is not positive."""
-    return F.when(denominator > 0, numerator.cast("double") / denominator.cast("double")).otherwise(F.lit(0.0))
-
-
 def utc_ntz(value: Column, data_type: T.DataType) -> Column:
     """Date or timestamp as a zone-free UTC timestamp; values without a zone are taken as UTC."""
     if isinstance(data_type, T.TimestampType):
