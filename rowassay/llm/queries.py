@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowassay.llm import bit_sliced, budget, cap_filters, chat, golay, packing, reshard, token_counts, toxicity
+from rowassay.llm import bit_sliced, budget, cap_filters, chat, context_mixing, golay, packing, reshard, token_counts, toxicity
 from rowassay.llm.common import table
 
 TOXIC_FROM = 0.7
@@ -27,6 +27,12 @@ def op2_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, folder, "embeddings"), 0.98)
 
 
+def op3_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = toxicity.held_out(F.col("doc_id"), 7, 2)
+    scored = context_mixing.score(table(spark, folder, "documents"), ~out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op4_bit_sliced(spark: SparkSession, folder: str) -> DataFrame:
     return bit_sliced.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10, 1024)
 
@@ -66,7 +72,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_cap_filters, op4_bit_sliced, op5_budget_mix, op6_golay_simhash, op7_chat_parts, op8_flow_reshard, op9_conflict_packing, op10_token_counts)
+    for f in (op1_toxicity, op2_cap_filters, op3_context_mixing, op4_bit_sliced, op5_budget_mix, op6_golay_simhash, op7_chat_parts, op8_flow_reshard, op9_conflict_packing, op10_token_counts)
 }
 
 
