@@ -62,11 +62,11 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, rest: int
         carry = wanted - int(taken[i]) * length
     left = budget - int((lengths * taken).sum())
     spare = counts - taken
-    # sums up to the budget plus the shortest document that may overshoot it
+    # taking nothing misses by ``left``, so a nearer sum lies below twice that
     usable = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] and spare[i]]
     if left <= 0 or not usable:
         return taken
-    top = left + int(min(lengths[i] for i in usable))
+    top = 2 * left
     reach, steps = 1, []
     for i in usable:
         length, n, part = int(lengths[i]), min(int(spare[i]), top // int(lengths[i])), 1

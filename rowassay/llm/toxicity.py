@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     dealt = held.withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     models = dealt.groupBy("without").applyInPandas(train_fold, "weights binary, bias double, threshold double").collect()  # ``folds`` rows of a fixed size
     weights = np.mean([np.frombuffer(m.weights, dtype=np.float32) for m in models], axis=0)
-    bias, thresholds = float(np.mean([m.bias for m in models])), [m.threshold for m in models if not np.isnan(m.threshold)]
+    bias, thresholds = float(np.mean([m.bias for m in models])), [m.threshold for m in models if m.threshold is not None and m.threshold == m.threshold]
     level = float(np.mean(thresholds)) if thresholds else 0.0
     return weights, bias - level + float(np.log(at_threshold / (1 - at_threshold)))
 
