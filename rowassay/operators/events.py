@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from rowassay.functions.joins import join_null_safe
+
 MICROS = 1_000_000
 
 
@@ -52,50 +54,67 @@ def sliding_usage(events: DataFrame, keys: list[str], micros: str, window_second
     return rows.withColumn("used", F.count(F.lit(1)).over(window)).where(~F.col("halo")).drop("stretch", "halo")
 
 
-def _segments(events: DataFrame, keys: list[str], micros: str, width: int, stretch_windows: int) -> DataFrame:
-    """Add ``segment``: runs of a key's time line whose decisions cannot depend on each other.
+GROUP_TEXT = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _segments(events: DataFrame, keys: list[str], micros: str, capacity: int, width: int, stretch_windows: int) -> DataFrame:
+    """Add ``segment`` and ``halo``: runs of a key's time line that can be decided apart from each other.
 
-    A stretch whose predecessor's last event lies at least one window before its start begins with an
-    empty window, whatever was decided earlier. Only per-stretch maxima are put in order, not events.
+    Where the two windows before a stretch hold at most ``capacity`` events, all events of the last of them
+    were admitted, whatever came earlier. The stretch then starts a new segment, which gets those
+    events once more, marked as halo. Only counts per stretch are put in order, not events. A stretch has
+    two windows at least.
     """
+    stretch_windows = max(2, stretch_windows)
     span = width * stretch_windows
-    cut = events.withColumn("stretch", F.expr(_floor_div(micros, span)))
+    own = _floor_div(micros, span)
+    late = f"{micros} > ({own} + 1) * {span} - {width}"
+    copies = f"array_compact(array(struct({own} AS stretch, false AS halo), CASE WHEN {late} THEN struct({own} + 1 AS stretch, true AS halo) END))"
     by_key = Window.partitionBy(*keys).orderBy("stretch")
+    crowd = F.count_if(F.col(micros) > (F.col("stretch") + 1) * span - 2 * width)
     marks = (
-        cut.groupBy(*keys, "stretch")
-        .agg(F.max(micros).alias("last_seen"))
-        .withColumn("before", F.lag("last_seen").over(by_key))
-        .withColumn("fresh", F.coalesce(F.col("before") <= F.col("stretch") * span - width, F.lit(True)).cast("int"))
-        .withColumn("segment", F.sum("fresh").over(by_key))
-        .select(*keys, "stretch", "segment")
+        events.withColumn("stretch", F.expr(own)).groupBy(*keys, "stretch").agg(crowd.alias("crowd"))
+        .withColumn("fresh", (F.lag("stretch").over(by_key) != F.col("stretch") - 1) | (F.lag("crowd").over(by_key) <= capacity))
+        .withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        .withColumn("segment", F.sum(F.col("fresh").cast("int")).over(by_key))
     )
-    return cut.join(marks, [*keys, "stretch"]).drop("stretch")
-
+    rows = events.select("*", F.expr(f"inline({copies})"))
+    return join_null_safe(rows, marks.drop("crowd"), [*keys, "stretch"]).where("NOT halo OR fresh").drop("stretch", "fresh")
 
-class AdmissionWindow:
-    """Admitted moments of one key inside the current window, oldest first; never more than capacity."""
 
-    def __init__(self, capacity: int, width: int, admitted=()):
-        self.capacity, self.width, self.admitted = capacity, width, deque(admitted)
+def admit(times: np.ndarray, earlier: np.ndarray, capacity: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Decisions on the sorted ``times`` of one segment, after the moments ``earlier`` were admitted.
 
-    def decide(self, moment: int) -> tuple[bool, int, int]:
-        while self.admitted and self.admitted[0] <= moment - self.width:
-            self.admitted.popleft()
-        if len(self.admitted) < self.capacity:
-            self.admitted.append(moment)
-            return True, 0, len(self.admitted)
-        wait = self.admitted[0] + self.width - moment
-        return False, max(1, -(-wait // MICROS)), len(self.admitted)
+    A full window opens again ``width`` after the moment that came ``capacity`` admissions before, so the next
+    admitted event is found by bisection, and denied events are never visited. Returns whether each is
+    admitted, the seconds to wait, the admitted events in its window, and the moments to carry on.
+    """
+    kept, at = list(earlier[-capacity:]), 0
+    places: list[int] = []
+    while at < len(times):
+        if len(kept) >= capacity:
+            at = max(at, int(np.searchsorted(times, kept[-capacity] + width)))
+            if at == len(times):
+                break
+        kept.append(times[at])
+        places.append(at)
+        at += 1
+    known = np.asarray(kept, dtype=np.int64)
+    before = len(known) - len(places)
+    allowed = np.zeros(len(times), dtype=bool)
+    allowed[places] = True
+    gone = np.searchsorted(known, times - width, side="right")  # admitted, but out of the window by now
+    used = before + np.cumsum(allowed) - gone
+    opens = known[np.minimum(gone, max(len(known) - 1, 0))] + width - times if len(known) else np.zeros(len(times), dtype=np.int64)
+    wait = np.where(allowed, 0, np.maximum(1, np.ceil(opens / MICROS).astype(np.int64)))
+    return allowed, wait, used, known[-capacity:]
 
 
-def check_limits(capacity: int, window_seconds: float) -> None:
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
-    if window_seconds <= 0:
-        raise ValueError("window_seconds must be positive")
+DECISION = (("allowed", T.BooleanType()), ("retry_after_seconds", T.LongType()), ("used", T.LongType()))
 
 
-DECISION = (("allowed", T.BooleanType()), ("retry_after_seconds", T.LongType()), ("used", T.LongType()))
+def decided(events: DataFrame) -> T.StructType:
+    return T.StructType([*events.schema.fields, *[T.StructField(n, t) for n, t in DECISION]])
 
 
 def admission(
@@ -103,27 +122,37 @@ def admission(
 ) -> DataFrame:
     """Admit an event while fewer than ``capacity`` admitted ones lie in its window (E2, batch form).
 
-    Denied events are not recorded, so each decision needs the ones before it. Rows are sorted by
-    Spark (spilling as needed) and streamed through each task in Arrow batches; a task remembers at
-    most ``capacity`` moments. Quiet spells cut even a single busy key into independent segments.
+    Denied events are not recorded, so each decision needs the ones before it. Rows are sorted by Spark
+    (spilling as needed) and streamed through each task in Arrow batches; a task remembers at most
+    ``capacity`` moments. Quiet spells cut even a single busy key into segments of their own. A NULL key is a
+    key; an event without a time is not admitted, and its other results are NULL.
     """
-    check_limits(capacity, window_seconds)
+    if capacity < 1 or window_seconds <= 0:
+        raise ValueError("capacity and window_seconds must be positive")
     width = int(window_seconds * MICROS)
-    schema = T.StructType([*events.schema.fields, *[T.StructField(n, t) for n, t in DECISION]])
-    names = [*keys, "segment"]
+    schema = decided(events)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, recent = None, np.empty(0, dtype=np.int64)
         for batch in batches:
-            decisions = []
-            for *group, moment in zip(*[batch[c] for c in names], batch[micros]):
-                if group != current:
-                    current, state = group, AdmissionWindow(capacity, width)
-                decisions.append(state.decide(int(moment)))
-            out = batch.drop(columns="segment")
+            groups, times, halo = batch["_group"].to_numpy(), batch[micros].to_numpy(np.int64), batch["halo"].to_numpy(bool)
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            parts = []
+            for start, end in zip(starts, [*starts[1:], len(groups)]):
+                if groups[start] != current:
+                    current, recent = groups[start], np.empty(0, dtype=np.int64)
+                own = slice(start + int(halo[start:end].sum()), end)  # halo events come first
+                recent = np.r_[recent, times[start : own.start]]
+                *decision, recent = admit(times[own], recent, capacity, width)
+                parts.append(decision)
+            out = batch[~halo].drop(columns=["_group", "halo"])
             for position, (name, _) in enumerate(DECISION):
-                out[name] = [d[position] for d in decisions]
+                out[name] = np.concatenate([p[position] for p in parts])
             yield out
 
-    ordered = _segments(events, keys, micros, width, stretch_windows).select(*events.columns, "segment")
-    return ordered.repartition(*names).sortWithinPartitions(*names, micros, tie).mapInPandas(run, schema)
+    timed = events.where(F.col(micros).isNotNull())
+    grouped = _segments(timed, keys, micros, capacity, width, stretch_windows)
+    grouped = grouped.select(*events.columns, "halo", F.to_json(F.struct(*keys, "segment"), GROUP_TEXT).alias("_group"))
+    ordered = grouped.repartition("_group").sortWithinPartitions("_group", micros, tie)
+    none = [F.lit(False if n == "allowed" else None).cast(t).alias(n) for n, t in DECISION]
+    return ordered.mapInPandas(run, schema).unionByName(events.where(F.col(micros).isNull()).select("*", *none))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowassay.functions.joins import join_null_safe
 from rowassay.functions.predicates import contains_text
 from rowassay.functions.scoring import severity_rank
 
@@ -18,31 +19,32 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(newest.alias("row")).select("row.*")
 
 
-def _neighbour(rows: DataFrame, keys: list[str], number: str, span: int | None, order: list[str], wanted: list[str], ahead: bool) -> DataFrame:
+def _neighbour(rows: DataFrame, keys: list[str], order: list[str], wanted: list[str], ahead: bool, pieces: int) -> DataFrame:
     """Add ``other``: the wanted columns of the next (or previous) row of the key, NULL at the end.
 
-    With ``span`` the key's rows are cut into stretches of that many units of ``number``; each
-    stretch is ordered on its own and only its first (or last) row meets the neighbouring stretch, so
-    even one key that owns a third of the table spreads over many tasks.
+    The first order column's approximate quantiles cut the whole table into ``pieces`` stretches of like many
+    rows; each (key, stretch) is ordered on its own and only its first (or last) row meets the neighbouring
+    stretch. So even one key that owns a third of the table spreads over many tasks, and NULL keys and
+    numbers (first in order) are rows like any other.
     """
     other = F.struct(*wanted)
     step = F.lead if ahead else F.lag
-    if span is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn("other", step(other).over(window))
-    cut = rows.withColumn("stretch", F.floor(F.col(number) / F.lit(span)))
-    inside = Window.partitionBy(*keys, "stretch").orderBy(*order)
+    first = F.col(order[0]).cast("double")
+    cuts = rows.agg(F.percentile_approx(first, [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0] or []
+    stretch = sum(((first >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    cut = rows.withColumn("_stretch", F.when(first.isNull(), -1).otherwise(stretch))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(*order)
     edge = (F.min_by if ahead else F.max_by)(other, F.struct(*order))
-    edges = cut.groupBy(*keys, "stretch").agg(edge.alias("edge"))
-    across = edges.withColumn("beyond", step("edge").over(Window.partitionBy(*keys).orderBy("stretch"))).drop("edge")
-    joined = cut.withColumn("other", step(other).over(inside)).join(across, [*keys, "stretch"])
-    return joined.withColumn("other", F.coalesce("other", "beyond")).drop("beyond", "stretch")
+    edges = cut.groupBy(*keys, "_stretch").agg(edge.alias("_edge"))
+    across = edges.withColumn("_beyond", step("_edge").over(Window.partitionBy(*keys).orderBy("_stretch"))).drop("_edge")
+    joined = join_null_safe(cut.withColumn("other", step(other).over(inside)), across, [*keys, "_stretch"])
+    return joined.withColumn("other", F.coalesce("other", "_beyond")).drop("_beyond", "_stretch")
 
 
-def lineage(versions: DataFrame, key: str = "dataset_id", number: str = "version_number", extra=(), span: int | None = None) -> DataFrame:
+def lineage(versions: DataFrame, key: str = "dataset_id", number: str = "version_number", extra=(), pieces: int = 16) -> DataFrame:
     """Edges between consecutive versions of each table (W3); a single version has none."""
     carried = [number, *extra]
-    rows = _neighbour(versions, [key], number, span, [number], carried, ahead=True).where(F.col("other").isNotNull())
+    rows = _neighbour(versions, [key], [number], carried, True, pieces).where(F.col("other").isNotNull())
     return rows.select(
         key,
         *[F.col(c).alias(f"from_{c}") for c in carried],
@@ -50,9 +52,9 @@ def lineage(versions: DataFrame, key: str = "dataset_id", number: str = "version
     )
 
 
-def score_changes(scores: DataFrame, keys: list[str], order: list[str], number: str | None = None, span: int | None = None) -> DataFrame:
+def score_changes(scores: DataFrame, keys: list[str], order: list[str], pieces: int = 16) -> DataFrame:
     """Change of each score against the previous run of its table, 0 for the first."""
-    rows = _neighbour(scores, keys, number or order[0], span, order, ["score"], ahead=False)
+    rows = _neighbour(scores, keys, order, ["score"], False, pieces)
     return rows.withColumn("score_delta", F.coalesce(F.col("score") - F.col("other.score"), F.lit(0.0))).drop("other")
 
 

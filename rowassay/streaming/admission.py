@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rowassay.operators.events import DECISION, MICROS, AdmissionWindow, check_limits
+from rowassay.operators.events import DECISION, MICROS, admit, decided
 
-STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
+STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType())), T.StructField("waiting", T.BinaryType())])
 
 
 def admission_stream(
     events: DataFrame, keys: list[str], moment: str, micros: str, tie: str, capacity: int, window_seconds: float, delay: str = "1 hour"
 ) -> DataFrame:
-    """Decide every event of a stream, in time order within a micro-batch.
+    """Decide every event of a stream in time order, whatever the order of arrival within ``delay``.
 
-    State per key is the admitted moments still in the window, at most ``capacity`` numbers; it is
-    dropped once the watermark passes the end of the key's last window. The size of a micro-batch, and
-    with it the rows of a key sorted together, is set by the source's rate limit.
+    Events wait in the state of their key until the watermark has passed them, so an event that arrives late
+    is decided before later ones that arrived earlier. State per key is the admitted moments still in
+    the window, at most ``capacity`` numbers, and the events of the last ``delay``. Decisions therefore come
+    ``delay`` behind the newest event; events older than the watermark are dropped by it.
     """
-    check_limits(capacity, window_seconds)
+    if capacity < 1 or window_seconds <= 0:
+        raise ValueError("capacity and window_seconds must be positive")
     width = int(window_seconds * MICROS)
-    schema = T.StructType([*events.schema.fields, *[T.StructField(n, t) for n, t in DECISION]])
+    columns = events.columns
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        admitted, waiting = state.get if state.exists else ((), b"")
+        rows = [pd.read_pickle(io.BytesIO(waiting))] if waiting else []
+        if not state.hasTimedOut:
+            rows += list(batches)
+        passed = state.getCurrentWatermarkMs()
+        held = pd.concat(rows).sort_values([micros, tie], kind="stable") if rows else pd.DataFrame(columns=columns)
+        ready = held[micros] < passed * 1000
+        now, later = held[ready], held[~ready]
+        *decision, recent = admit(now[micros].to_numpy(np.int64), np.asarray(admitted, dtype=np.int64), capacity, width)
+        if len(later):
+            store = io.BytesIO()
+            later.to_pickle(store)
+            state.update((recent.tolist(), store.getvalue()))
+            state.setTimeoutTimestamp(max(passed + 1, int(later[micros].iloc[0]) // 1000 + 1))
+        elif len(recent) and (int(recent[-1]) + width) // 1000 > passed:
+            state.update((recent.tolist(), b""))
+            state.setTimeoutTimestamp((int(recent[-1]) + width) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([micros, tie], kind="stable")
-        window = AdmissionWindow(capacity, width, state.get[0] if state.exists else ())
-        decisions = [window.decide(int(moment)) for moment in rows[micros]]
-        state.update((list(window.admitted),))
-        expires = (window.admitted[-1] + width) // 1000 + 1
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        for position, (name, _) in enumerate(DECISION):
-            rows[name] = [d[position] for d in decisions]
-        yield rows
+        if len(now):
+            for position, (name, _) in enumerate(DECISION):
+                now = now.assign(**{name: decision[position]})
+            yield now
 
     marked = events.withWatermark(moment, delay)
-    return marked.groupBy(*keys).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(*keys).applyInPandasWithState(run, decided(events), STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,7 +1,7 @@
 """Histories, listings, event operators and streams, against plain Python where SQL is no check."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
@@ -59,7 +59,7 @@ def test_admission(spark, capacity, stretch):
 
 
 def test_busy_key_is_cut_into_segments(spark):
-    segments = ev._segments(log_frame(spark, hot_log()), ["client"], "micros", WINDOW * ev.MICROS, 1)
+    segments = ev._segments(log_frame(spark, hot_log()), ["client"], "micros", 2, WINDOW * ev.MICROS, 1)
     assert segments.where("client = 'hot'").select("segment").distinct().count() > 10
 
 
@@ -105,31 +105,62 @@ def test_streams_over_several_batches(spark, tmp_path):
             want[hour, client] += 1
     assert {(r.window_start, r.client): r.total for r in got.collect()} == dict(want)
     marked = source.withColumn("micros", F.unix_micros("ts"))
+    end = rows[-1][2] + timedelta(days=2)  # closes the stream: what waits is decided once time has passed it
+    spark.createDataFrame([(-1, "end", end, 0.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run_stream(admission_stream(marked, ["client"], "ts", "micros", "event_id", 2, 1200, "1 day"), f"{tmp_path}/b")
     decided = spark.read.parquet(f"{tmp_path}/b/out").collect()
     micros = [(i, c, int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))) for i, c, t, _ in rows]
     assert {r.event_id: (r.allowed, r.retry_after_seconds, r.used) for r in decided} == decisions(micros, 2, 1200)
 
 
+def test_late_events_are_decided_in_time_order(spark, tmp_path):
+    schema = "event_id bigint, client string, ts timestamp, ms double"
+    start = datetime(2024, 1, 1)
+    for i, second in enumerate((10, 20, 12, 23, 9999)):  # 12 arrives after 20
+        spark.createDataFrame([(i, "a", start + timedelta(seconds=second), 0.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("micros", F.unix_micros("ts"))
+    run_stream(admission_stream(source, ["client"], "ts", "micros", "event_id", 2, 10, "1 minute"), f"{tmp_path}/b")
+    got = {r.event_id: r.allowed for r in spark.read.parquet(f"{tmp_path}/b/out").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True}
+
+
+def test_admission_null_keys_and_times(spark):
+    rows = [(1, None, 5), (2, None, 6), (3, "a", 7), (4, None, 8), (5, "a", None)]
+    got = {r.event_id: (r.allowed, r.used) for r in ev.admission(log_frame(spark, rows), ["client"], "micros", "event_id", 2, 1.0).collect()}
+    assert got == {1: (True, 1), 2: (True, 2), 3: (True, 1), 4: (False, 2), 5: (False, None)}
+
+
+def test_hot_key_without_quiet_spell_is_cut(spark):
+    rows = [(i, "hot", i * 600_000) for i in range(2000)]  # never a second without an event
+    frame = log_frame(spark, rows)
+    assert ev._segments(frame, ["client"], "micros", 4, ev.MICROS, 16).select("segment").distinct().count() > 10
+    got = {r.event_id: (r.allowed, r.retry_after_seconds, r.used) for r in ev.admission(frame, ["client"], "micros", "event_id", 4, 1.0).collect()}
+    assert got == decisions(rows, 4, 1)
+
+
 VERSIONS = "dataset_id string, version_number bigint"
 
 
 def test_lineage(spark):
     df = spark.createDataFrame([("t", 3), ("t", 1), ("t", 2), ("single", 1)], VERSIONS)
-    for span in (None, 1, 2, 100):
-        got = sorted((r.dataset_id, r.from_version_number, r.to_version_number) for r in history.lineage(df, span=span).collect())
+    for pieces in (1, 2, 16):
+        got = sorted((r.dataset_id, r.from_version_number, r.to_version_number) for r in history.lineage(df, pieces=pieces).collect())
         assert got == [("t", 1, 2), ("t", 2, 3)]
     assert history.lineage(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("span", [1, 7, 1000])
-def test_stretches_change_nothing(spark, span):
-    rng = random.Random(span)
-    rows = [("hot" if rng.random() < 0.7 else f"d{rng.randint(0, 9)}", n, rng.random()) for n in rng.sample(range(100_000), 800)]
+@pytest.mark.parametrize("pieces", [2, 7, 40])
+def test_stretches_change_nothing(spark, pieces):
+    rng = random.Random(pieces)
+    keys = [None if rng.random() < 0.2 else "hot" if rng.random() < 0.7 else f"d{rng.randint(0, 9)}" for _ in range(800)]
+    rows = [(k, n, rng.random()) for k, n in zip(keys, rng.sample(range(100_000), 800))] + [("hot", None, 0.5), (None, None, 0.25)]
     df = spark.createDataFrame(rows, "dataset_id string, n bigint, score double")
-    plain = history.score_changes(df, ["dataset_id"], ["n"]).select("dataset_id", "n", "score_delta")
-    cut = history.score_changes(df, ["dataset_id"], ["n"], span=span * 50).select("dataset_id", "n", "score_delta")
-    assert sorted(plain.collect()) == sorted(cut.collect())
+    cut = history.score_changes(df, ["dataset_id"], ["n"], pieces).select("dataset_id", "n", "score_delta").collect()
+    want = []
+    for key in set(keys):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: -1 if r[1] is None else r[1])
+        want += [(key, n, score - own[i - 1][2] if i else 0.0) for i, (_, n, score) in enumerate(own)]
+    assert Counter(map(tuple, cut)) == Counter(want)
 
 
 def test_latest_and_trend(spark):

@@ -390,12 +390,12 @@ def w2(df):
 
 @over("w3_version_lineage", D.SCORES)
 def w3(df):
-    return history.lineage(df, "dataset_id", "run_number", ["grade"], span=4096)
+    return history.lineage(df, "dataset_id", "run_number", ["grade"])
 
 
 @over("w4_score_change", D.SCORES)
 def w4(df):
-    rows = history.score_changes(df, KEY, ["run_number"], span=4096)
+    rows = history.score_changes(df, KEY, ["run_number"])
     return rows.select("dataset_id", "run_number", F.round("score_delta", 6).alias("score_delta"))
 
 
@@ -821,9 +821,13 @@ def c4(spark, folder):
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = D.load(spark, folder, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
-    return rows.withColumn("moment", F.col("ts").cast("timestamp"))
+    """All events as a stream that ends: one more event, days later, lets the watermark pass the last ones."""
+    events = D.load(spark, folder, "events")
+    end = scratch_path(spark, "end")
+    later = (F.max("ts") + F.expr("INTERVAL 7 DAYS")).alias("ts")
+    events.agg(later).select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.parquet(end)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/events.parquet*")
+    return rows.unionByName(spark.readStream.schema(events.schema).parquet(end)).withColumn("moment", F.col("ts").cast("timestamp"))
 
 
 def finished(stream: DataFrame, spark: SparkSession) -> DataFrame:
