@@ -88,9 +88,7 @@ CONTEXT_LINE = "  - id=%s kind=%s severity=%s column=%s value=%s threshold=%s su
 # Profile, context and listing sizes.
 TOP_VALUES = 10
 SAMPLE_ROWS = 100_000
-CSV_INFERENCE_ROWS = 10_000
 MAX_COLUMN_NAME = 255
-MAX_FILE_BYTES = 250 * 1024 * 1024
 CONTEXT_FINDINGS = 20
 HYPOTHESES = 3
 HYPOTHESIS_CONFIDENCE = 0.1

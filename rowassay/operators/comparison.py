@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowassay import constants as C
 from rowassay.functions import drift as X
-from rowassay.functions.logical_types import CATEGORICAL, NUMERIC
+from rowassay.functions.logical_types import CATEGORICAL, NUMERIC, logical_type
+from rowassay.operators.value_counts import by_family, family_counts, name_of
 
 
 def schema_diff(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
@@ -75,11 +76,45 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, e: acc + e["count"])
 
 
+def category_counts(df: DataFrame, columns=None) -> DataFrame:
+    """Every value of every categorical column with its count: name, head, digest, n.
+
+    Long texts are named by their head and digest, so values of any length compare exactly.
+    """
+    members = [s for s in by_family(df, columns).get("text", []) if logical_type(s.type) in CATEGORICAL]
+    if not members:
+        return df.sparkSession.createDataFrame([], "name string, head string, digest binary, n bigint")
+    return family_counts(df, "text", members).select(name_of(members).alias("name"), "head", "digest", "n")
+
+
+def category_union(base: DataFrame, target: DataFrame) -> DataFrame:
+    """Values of either side with both counts (U3): name, head, digest, base_count, target_count."""
+    zero = F.lit(0).cast("bigint")
+    both = base.select("name", "head", "digest", F.col("n").alias("b"), zero.alias("t")).unionByName(
+        target.select("name", "head", "digest", zero.alias("b"), F.col("n").alias("t"))
+    )
+    return both.groupBy("name", "head", "digest").agg(F.sum("b").alias("base_count"), F.sum("t").alias("target_count"))
+
+
+def population_stability(base: DataFrame, target: DataFrame) -> DataFrame:
+    """Population-stability index per column over all values of both sides (J3), from ``category_counts``.
+
+    A column that has values on one side only has no index.
+    """
+    values = category_union(base, target)
+    totals = values.groupBy("name").agg(F.sum("base_count").alias("base_total"), F.sum("target_count").alias("target_total"))
+    joined = values.join(totals.where("base_total > 0 AND target_total > 0"), "name")
+    term = X.psi_term(F.col("base_count"), F.col("base_total"), F.col("target_count"), F.col("target_total"))
+    return joined.groupBy("name").agg(F.sum(term).alias("psi"))
+
+
 def _with_psi(pairs: DataFrame) -> DataFrame:
     """Add ``psi`` over the union of both top-value lists, which are short by construction."""
 
     def counts(side: str) -> Column:
-        return F.map_from_entries(F.transform(f"{side}_top_values", lambda e: F.struct(e["value"], e["count"])))
+        # other types may show unlike values alike, which a map refuses
+        categorical = F.col(f"{side}_logical_type").isin(*CATEGORICAL)
+        return F.when(categorical, F.map_from_entries(F.transform(f"{side}_top_values", lambda e: F.struct(e["value"], e["count"]))))
 
     zero = F.lit(0).cast("bigint")
 
@@ -98,22 +133,25 @@ def _with_psi(pairs: DataFrame) -> DataFrame:
     return ready.withColumn("psi", psi).drop("_b", "_t", "_b_total", "_t_total")
 
 
-def categorical_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
-    """Population-stability index over the union of both sides' top values, per common column."""
+def short_list_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
+    """The index over the union of both profiles' top values only, for when nothing but profiles is at hand."""
     rows = _with_psi(_paired(base, target, keys))
     return rows.select(*keys, F.col("name").alias("column"), "psi", "base_top_values", "target_top_values")
 
 
-def distribution_drift(base: DataFrame, target: DataFrame, keys=()) -> DataFrame:
+def distribution_drift(base: DataFrame, target: DataFrame, keys=(), psi: DataFrame | None = None) -> DataFrame:
     """Numeric columns by metric, text and boolean columns by PSI, from one join and one pass.
 
-    A column that is numeric on one side only is compared as numbers.
+    ``psi`` holds the indices over all values (``population_stability``, with the keys); without it the
+    profiles' top values stand in. A column that is numeric on one side only is compared as numbers.
     """
     numeric = F.col("base_logical_type").isin(*NUMERIC) | F.col("target_logical_type").isin(*NUMERIC)
     text = F.col("base_logical_type").isin(*CATEGORICAL) | F.col("target_logical_type").isin(*CATEGORICAL)
     none = F.lit(None).cast("double")
     measured = F.when(numeric, _numbers()).when(text, F.array(_metric("psi", none, none, F.col("psi"))))
-    pairs = _with_psi(_paired(base, target, keys)).select(*keys, F.col("name").alias("column"), F.inline(measured))
+    paired = _paired(base, target, keys)
+    indexed = _with_psi(paired) if psi is None else paired.join(psi, [*keys, "name"], "left")
+    pairs = indexed.select(*keys, F.col("name").alias("column"), F.inline(measured))
     band = F.coalesce(X.psi_drift_band(F.col("psi")), X.numeric_drift_band(F.col("relative_change")))
     return _changes(pairs).withColumn("band", band)
 

@@ -12,7 +12,7 @@ ITEM = ("finding_id", "kind", "severity", "column_name", "value", "threshold", "
 
 def leading_findings(findings: DataFrame, keys: list[str], limit: int = C.CONTEXT_FINDINGS) -> DataFrame:
     """The ``limit`` worst findings per table; the limit is applied before the shuffle."""
-    order = [F.desc(severity_rank(F.col("severity"))), F.desc("value"), F.asc("column_name"), F.asc("kind")]
+    order = [F.desc(severity_rank(F.col("severity"))), F.desc("value"), F.asc("column_name"), F.asc("kind"), F.asc("finding_id")]
     window = Window.partitionBy(*keys).orderBy(*order)
     return findings.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 

@@ -67,8 +67,8 @@ def is_placeholder(value: Column) -> Column:
 
 
 def _placeholders() -> Column:
-    """Placeholder spellings among the top values; the value counts spellings."""
-    hits = F.filter("top_values", lambda e: is_placeholder(e["value"]))
+    """Placeholder spellings of a column; the value counts spellings."""
+    hits = F.col("placeholders")
     description = F.format_string(C.DESCRIPTION[C.INVALID_VALUES], F.col("name"))
     row = _finding(
         C.INVALID_VALUES, F.lit("medium"), F.col("name"), "placeholder_top_value_count", F.size(hits), 0.0, description, _details(sentinels=F.to_json(hits))
@@ -108,6 +108,13 @@ def _emit(rows: DataFrame, keys: list[str], *found: Column) -> DataFrame:
     return rows.select(*keys, F.inline(F.array_compact(F.array(*found))))
 
 
+def _with_placeholders(profiled: DataFrame) -> DataFrame:
+    """Profiles without the spellings of whole columns (sketches, older ones) offer those among the top values."""
+    among_top = F.filter("top_values", lambda e: is_placeholder(e["value"]))
+    known = F.coalesce("placeholders", among_top) if "placeholders" in profiled.columns else among_top
+    return profiled.withColumn("placeholders", known)
+
+
 def missingness_findings(profiled: DataFrame, threshold: float = C.NULL_RATE_THRESHOLD, keys=()) -> DataFrame:
     """D1. Needs only the NULL counts of a profile."""
     return _emit(profiled, list(keys), _missingness(threshold))
@@ -124,8 +131,8 @@ def duplicate_findings(row_counts: DataFrame, keys=()) -> DataFrame:
 
 
 def placeholder_findings(profiled: DataFrame, keys=()) -> DataFrame:
-    """D4 over the top values of a profile."""
-    return _emit(profiled, list(keys), _placeholders())
+    """D4 over all values of the columns of a profile."""
+    return _emit(_with_placeholders(profiled), list(keys), _placeholders())
 
 
 def skew_findings(profiled: DataFrame, keys=()) -> DataFrame:
@@ -135,7 +142,9 @@ def skew_findings(profiled: DataFrame, keys=()) -> DataFrame:
 
 def placeholder_rows(df: DataFrame) -> DataFrame:
     """Rows holding a placeholder, per text column of the whole table (D4, full mode): name, spellings, rows."""
-    members = by_family(df)["text"]
+    members = by_family(df).get("text", [])
+    if not members:
+        return df.sparkSession.createDataFrame([], "ordinal_position int, name string, spellings bigint, rows bigint")
     hits = family_counts(df, "text", members).where("digest IS NULL").where(is_placeholder(F.col("head")))
     return (
         hits.groupBy("position")
@@ -156,7 +165,7 @@ def run_detectors(
     distinct count stands in for distinct rows.
     """
     keys = list(keys)
-    columns = _emit(profiled, keys, _missingness(threshold), _cardinality(), _placeholders(), _skew())
+    columns = _emit(_with_placeholders(profiled), keys, _missingness(threshold), _cardinality(), _placeholders(), _skew())
     rows = smallest_distinct(profiled, keys) if row_counts is None else row_counts
     return columns.unionByName(duplicate_findings(rows, keys))
 

@@ -28,12 +28,14 @@ class Operation:
     target_type: str | None = None
 
 
-def operations_of(recommendations: DataFrame, limit: int = C.MAX_RECOMMENDATIONS) -> list[Operation]:
-    """Operations of a trimmed recommendation set; at most ``limit`` small rows reach the driver."""
+def operations_of(recommendations: DataFrame, limit: int | None = None) -> list[Operation]:
+    """Operations of the recommendations of one table, a few per column, best first; ``limit`` takes only the first."""
     op = F.col("operation")
     rows = recommendations.select(
-        F.coalesce(F.array_join("supporting_findings", ","), F.lit("")).alias("id"), op["kind"].alias("kind"), op["params"].alias("params")
-    ).limit(limit)
+        F.coalesce(F.array_join("supporting_findings", ","), F.lit("")).alias("id"), op["kind"].alias("kind"), op["params"].alias("params"),
+        "priority",
+    ).orderBy(F.desc("priority"), "id")
+    rows = rows if limit is None else rows.limit(limit)
     return [
         Operation(
             r.id,

@@ -63,6 +63,7 @@ def _finished(rows: DataFrame, sampling: str) -> DataFrame:
         f"{distinct} AS distinct_count",
         f"CASE WHEN non_null_count > 0 THEN {distinct} / non_null_count ELSE 0.0D END AS distinct_rate",
         f"coalesce(top_values, CAST(array() AS {TOP_TYPE})) AS top_values",
+        "placeholders",
         f"named_struct({numeric}) AS numeric",
         "temporal",
         "string_length",
@@ -98,31 +99,35 @@ def profile(
     if "top" in parts and counted:
         lists = "array_sort(collect_list(struct(rank, value, count))) AS ranked"
         found.append(_padded(leading_values(df, counted, top_limit).groupBy("position").agg(F.expr(lists))))
+    if "top" in parts and "text" in counted:
+        spelled = counted["text"][1].where("digest IS NULL").where(F.lower("head").isin(*C.PLACEHOLDERS))
+        entries = "transform(array_sort(collect_list(struct(-n AS back, head AS value))), e -> struct(0 AS rank, e.value, -e.back AS count)) AS hits"
+        found.append(_padded(spelled.groupBy("position").agg(F.expr(entries))))
     if "median" in parts and numbers:
         found.append(_padded(medians(reduce(DataFrame.unionByName, numbers))))
     stats = one_pass_stats(df)
     if not found:
-        missing = [F.lit(None).cast(t).alias(c) for c, t in {"distinct_count": "bigint", "median": "double", "top_values": TOP_TYPE}.items()]
+        missing = [F.lit(None).cast(t).alias(c) for c, t in {"distinct_count": "bigint", "median": "double", "top_values": TOP_TYPE, "placeholders": TOP_TYPE}.items()]
         return _tagged(keys, _finished(stats.select("*", *missing), sampling))
     # At most three rows per column meet here, and one per column is broadcast.
     merged = (
         reduce(DataFrame.unionAll, found)
         .groupBy("position")
-        .agg(*[F.expr(e) for e in ("max(distinct_count) AS distinct_count", "max(median) AS median", "first(ranked, true) AS ranked")])
+        .agg(*[F.expr(e) for e in ("max(distinct_count) AS distinct_count", "max(median) AS median", "first(ranked, true) AS ranked", "first(hits, true) AS hits")])
     )
     rows = stats.join(F.broadcast(merged.withColumnRenamed("position", "ordinal_position")), "ordinal_position", "left")
-    top = (
-        "transform(filter(ranked, e -> e.value IS NOT NULL), "
-        "e -> named_struct('value', e.value, 'count', e.count, 'frequency', e.count / non_null_count)) AS top_values"
-    )
+    cell = "e -> named_struct('value', e.value, 'count', e.count, 'frequency', e.count / non_null_count)"
+    top = f"transform(filter(ranked, e -> e.value IS NOT NULL), {cell}) AS top_values"
+    # all placeholder spellings of the whole column, not only those among the top values
+    hits = f"coalesce(transform(hits, {cell}), CAST(array() AS {TOP_TYPE})) AS placeholders" if "top" in parts else f"CAST(NULL AS {TOP_TYPE}) AS placeholders"
     median = "CASE WHEN NOT isnan(median) AND abs(median) < double('infinity') THEN median END AS median"
-    kept = [c for c in rows.columns if c not in ("median", "ranked", "distinct_count")]
-    return _tagged(keys, _finished(rows.selectExpr(*kept, "distinct_count", median, top), sampling))
+    kept = [c for c in rows.columns if c not in ("median", "ranked", "hits", "distinct_count")]
+    return _tagged(keys, _finished(rows.selectExpr(*kept, "distinct_count", median, top, hits), sampling))
 
 
 def _padded(rows: DataFrame) -> DataFrame:
     """Missing columns of the merge layout filled with NULL."""
-    layout = {"distinct_count": "bigint", "ranked": "array<struct<rank:int,value:string,count:bigint>>", "median": "double"}
+    layout = {"distinct_count": "bigint", "ranked": "array<struct<rank:int,value:string,count:bigint>>", "hits": "array<struct<rank:int,value:string,count:bigint>>", "median": "double"}
     return rows.selectExpr("position", *[c if c in rows.columns else f"CAST(NULL AS {t}) AS {c}" for c, t in layout.items()])
 
 
@@ -141,7 +146,7 @@ def _sketches(limit: int):
             cell = f"named_struct('value', CAST(e.item AS STRING), 'count', e.count, 'frequency', e.count / count({value}))"
             shown = f"transform({items}, e -> {cell})"
             top = f"slice({shown}, 1, {limit})"
-        return f"{distinct} AS distinct_count, {median} AS median, {top} AS top_values"
+        return f"{distinct} AS distinct_count, {median} AS median, {top} AS top_values, CAST(NULL AS {TOP_TYPE}) AS placeholders"
 
     return extra
 

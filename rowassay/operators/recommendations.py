@@ -126,14 +126,15 @@ def recommend(findings: DataFrame, keys=(), strategy: Column | None = None) -> D
     )
 
 
-def keep_best(recommendations: DataFrame, limit: int = C.MAX_RECOMMENDATIONS, keys=()) -> DataFrame:
-    """The ``limit`` first recommendations per key, by priority, then title.
+def keep_best(recommendations: DataFrame, limit: int | None = C.MAX_RECOMMENDATIONS, keys=()) -> DataFrame:
+    """The ``limit`` first recommendations per key, by priority, then title (T6); None keeps all.
 
     The rank limit is applied in every task before the shuffle, so no key brings all its rows together.
     """
     order = [F.desc("priority"), F.asc("title"), F.asc(F.col("affected_columns")[0])]
     window = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
-    return recommendations.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+    ranked = recommendations.withColumn("rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def recommendation_counts(recommendations: DataFrame, keys=()) -> DataFrame:

@@ -21,20 +21,17 @@ def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    inference_rows: int = C.CSV_INFERENCE_ROWS,
     multi_line: bool = False,
+    sampling_ratio: float = 1.0,
 ) -> DataFrame:
     """CSV with a header row, UTF-8, dates parsed, malformed rows an error.
 
-    Types come from the first ``inference_rows`` rows, so inference never reads the whole input; pass
-    ``schema`` to skip it. Quoted line breaks need ``multi_line``, which infers from all rows.
+    Types come from all rows, so an odd value at the end still makes its column text; pass ``schema`` to skip
+    that pass, or a ``sampling_ratio`` to infer from some of the rows. Quoted line breaks need ``multi_line``.
     """
     reader = _csv_options(spark.read, multi_line)
-    if schema is None and multi_line:
-        return reader.option("inferSchema", True).csv(path)
     if schema is None:
-        head = spark.read.text(path).limit(inference_rows + 1)
-        schema = _csv_options(spark.read, False).option("inferSchema", True).csv(head.rdd.map(lambda line: line[0])).schema
+        return reader.options(inferSchema=True, samplingRatio=sampling_ratio).csv(path)
     return reader.schema(schema).csv(path)
 
 
@@ -58,15 +55,16 @@ def csv_header_violations(spark: SparkSession, path: str) -> DataFrame:
     return name_violations(header.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in header.columns])).alias("position", "name")))
 
 
-def file_inventory(spark: SparkSession, path: str, max_bytes: int = C.MAX_FILE_BYTES, glob: str | None = None) -> DataFrame:
+def file_inventory(spark: SparkSession, path: str, max_bytes: int | None = None, glob: str | None = None) -> DataFrame:
     """Name, size, SHA-256 and problem (``empty``, ``too_large``) of every file.
 
-    Hashing spreads over the cluster file by file. Contents above the limit are never read: the limit
-    is pushed into the scan. Scans skip empty files, so those come from the scan's own file listing.
+    Hashing spreads over the cluster file by file; a file is read whole by one task, so it may have 2 GiB at
+    most. With ``max_bytes`` the contents of larger files are never read: the limit is pushed into the scan. Scans skip empty files, so those come from the scan's own file listing.
     """
     reader = spark.read.format("binaryFile")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     size = F.col("length").alias("size_bytes")
+    max_bytes = (1 << 63) - 1 if max_bytes is None else max_bytes
     allowed = rows.where(F.col("length") <= max_bytes).select("path", size, F.sha2("content", 256).alias("sha256"))
     refused = rows.where(F.col("length") > max_bytes).select("path", size, F.lit(None).cast("string").alias("sha256"))
     one_form = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowassay import constants as C
-from rowassay.sources.structure import table_columns
+from rowassay.sources.structure import column_names, name_violations, table_columns
 
 RESULT_TABLES = (
-    "profiles", "findings", "scores", "score_breakdowns", "schema_diffs", "distribution_drifts", "score_drifts",
+    "profiles", "findings", "scored_findings", "scores", "score_breakdowns", "schema_diffs", "distribution_drifts", "score_drifts",
     "recommendations", "validations", "runs",
 )
 
@@ -37,8 +38,13 @@ class ResultStore:
         return found is not None and len(found) > 0
 
     def read(self, table: str, dataset_id: str | None = None) -> DataFrame:
-        """All rows of a table, or those of one dataset (F1, pruned to its partition)."""
-        rows = self.spark.read.parquet(self.path(table))
+        """All rows of a table, or those of one dataset (F1, pruned to its partition).
+
+        Partition folders would give ids like ``007`` a number's type, so the type is stated.
+        """
+        found = self.spark.read.parquet(self.path(table)).schema
+        stated = T.StructType([T.StructField(f.name, T.StringType() if f.name == "dataset_id" else f.dataType) for f in found.fields])
+        rows = self.spark.read.schema(stated).parquet(self.path(table))
         return rows if dataset_id is None else rows.where(F.col("dataset_id") == dataset_id)
 
     def append(self, table: str, rows: DataFrame, dataset_id: str, run_id: str | None = None) -> str:
@@ -63,9 +69,17 @@ class ResultStore:
         return (known or 0) + 1
 
     def register(self, df: DataFrame, dataset_id: str, name: str, description: str | None = None, source_format: str = "parquet") -> int:
-        """Store ``df`` as the next immutable version of a dataset, with its column rows."""
+        """Store ``df`` as the next immutable version of a dataset, with its column rows.
+
+        The data goes to a folder of its own first; the version exists once its row is written, last of all. So a
+        failed attempt leaves an unused folder, and never blocks the next one. Broken column names are refused.
+        """
+        broken = [r.rule for r in name_violations(column_names(self.spark, df.columns)).collect()]
+        if broken:
+            raise ValueError(f"column names: {', '.join(sorted(set(broken)))}")
         version = self.next_version(dataset_id)
-        leaf = f"{self.root}/data/dataset_id={dataset_id}/version={version}"
+        folder = f"version={version}-{uuid.uuid4().hex}"
+        leaf = f"{self._data(dataset_id)}/{folder}"
         df.write.mode("errorifexists").parquet(leaf)
         stored = self.spark.read.parquet(leaf)
         stamp = F.current_timestamp().alias("created_at")
@@ -75,6 +89,7 @@ class ResultStore:
             F.lit(source_format).alias("source_format"),
             "row_count",
             F.lit(len(stored.columns)).alias("column_count"),
+            F.lit(folder).alias("folder"),
             stamp,
             owner,
         )
@@ -89,16 +104,29 @@ class ResultStore:
 
     def version(self, dataset_id: str, number: int) -> DataFrame:
         """The data of one version, read from its own folder and schema."""
-        return self.spark.read.parquet(f"{self.root}/data/dataset_id={dataset_id}/version={number}")
+        rows = self.read("dataset_versions", dataset_id).where(F.col("version_number") == number)
+        return self.spark.read.parquet(f"{self._data(dataset_id)}/{rows.select('folder').first().folder}")
+
+    def _data(self, dataset_id: str) -> str:
+        return f"{self.root}/data/dataset_id={quote(dataset_id, safe='')}"
 
     def columns(self, dataset_id: str, number: int) -> DataFrame:
         return self.read("dataset_columns", dataset_id).where(F.col("version_number") == number)
 
-    def latest_profile(self, dataset_id: str, number: int) -> DataFrame:
-        """The newest stored profile of a version, with its typed statistics."""
+    def latest_profile(self, dataset_id: str, number: int) -> DataFrame | None:
+        """The newest stored profile of a version, with its typed statistics (S10); None without one."""
+        if not self.exists("profiles"):
+            return None
         rows = self.read("profiles", dataset_id).where(F.col("version_number") == number)
-        newest = rows.agg(F.max_by("run_id", F.struct("created_at", "run_id"))).scalar()
-        return rows.where(F.col("run_id") == newest)
+        newest = rows.agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id")).first().run_id
+        return None if newest is None else rows.where(F.col("run_id") == newest)
+
+    def last_run(self, dataset_id: str, kind: str, number: int) -> str | None:
+        """The newest run of a step on a version that succeeded, also if it wrote no result rows."""
+        if not self.exists("runs"):
+            return None
+        rows = self.read("runs", dataset_id).where((F.col("kind") == kind) & (F.col("version_number") == number) & (F.col("status") == "succeeded"))
+        return rows.agg(F.max_by("step_run_id", F.struct("started_at", "step_run_id")).alias("run")).first().run
 
 
 METRICS_JSON = (

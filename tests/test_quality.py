@@ -124,7 +124,7 @@ def test_psi(spark, base, target, psi):
     def side(counts):
         return column(spark, logical_type="string", top_values=[(k, v, 0.0) for k, v in counts.items()])
 
-    assert round(comparison.categorical_drift(side(base), side(target)).first().psi, 4) == psi
+    assert round(comparison.short_list_drift(side(base), side(target)).first().psi, 4) == psi
 
 
 def test_score_drift(spark):

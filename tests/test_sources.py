@@ -1,6 +1,7 @@
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import types as T
 
 from rowassay.operators.profile import profile
 from rowassay.plans.analysis import compare, run_steps
@@ -30,11 +31,16 @@ def test_csv_numbers_and_mixed(spark, tmp_path):
     assert logical(files.read_csv(spark, write(tmp_path / "m.csv", "id,value\n1,not-a-number\n2,2\n"))) == ["integer", "string"]
 
 
-def test_csv_bounded_inference_fails_fast(spark, tmp_path):
-    path = write(tmp_path / "late.csv", "a\n" + "1\n" * 20 + "x\n")
-    assert files.read_csv(spark, path, inference_rows=21).schema["a"].dataType.simpleString() == "string"
+def test_csv_types_follow_the_last_row(spark, tmp_path):
+    path = write(tmp_path / "late.csv", "a,b\n" + "1,2\n" * 20_000 + "1.5,x\n")
+    df = files.read_csv(spark, path)
+    assert logical(df) == ["float", "string"] and df.count() == 20_001
+
+
+def test_csv_given_schema_fails_fast(spark, tmp_path):
+    path = write(tmp_path / "bad.csv", "a\n1\nx\n")
     with pytest.raises((PySparkException, Py4JJavaError), match="MALFORMED_RECORD"):
-        files.read_csv(spark, path, inference_rows=10).collect()
+        files.read_csv(spark, path, schema=T.StructType([T.StructField("a", T.IntegerType())])).collect()
 
 
 def test_csv_quoted_line_breaks(spark, tmp_path):
@@ -97,6 +103,44 @@ def test_clean_table_scores_without_findings(spark, tmp_path):
     assert (got[2].result["score"], got[2].result["grade"]) == ("100.0", "A")
 
 
+def test_runs_without_findings_count(spark, tmp_path):
+    """A detect run that finds nothing replaces the findings of the run before."""
+    store = ResultStore(spark, str(tmp_path / "store"))
+    store.register(spark.createDataFrame([(None if i % 3 == 0 else i % 40, "abc"[i % 3]) for i in range(120)], "a int, b string").distinct(), "t", "T")
+    run_steps(store, "t", ("profile",), 1)
+    first = run_steps(store, "t", ("detect", "score"), 1, {"threshold": 0.01}).collect()
+    second = run_steps(store, "t", ("detect", "score", "recommendations"), 1).collect()
+    assert int(first[0].result["finding_count"]) > 0 and float(first[1].result["score"]) < 100
+    assert (second[0].result["finding_count"], second[1].result["score"], second[2].result["count"]) == ("0", "100.0", "0")
+    assert store.read("runs", "t").count() == 6
+
+
+def test_ids_keep_their_text(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    for name in ("007", "7", "a/b=c"):
+        store.register(spark.range(len(name)).toDF("x"), name, name)
+        store.register(spark.range(9).toDF("x"), name, name)
+    for name in ("007", "7", "a/b=c"):
+        assert [r.version_number for r in store.read("dataset_versions", name).orderBy("version_number").collect()] == [1, 2]
+        assert store.version(name, 1).count() == len(name)
+
+
+def test_history_without_profiles(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    store.register(spark.range(3).toDF("a"), "t", "T")
+    store.register(spark.range(3).selectExpr("id AS a", "id AS b"), "t", "T")
+    got = run_steps(store, "t", ("history", "detect"), 2, {"base_version": 1, "target_version": 2}).collect()
+    assert (got[0].status, got[0].result["has_drift"], got[1].error_code) == ("succeeded", "True", "missing_profile")
+    assert [r.name for r in store.read("schema_diffs", "t").collect()] == ["b"]
+
+
+def test_broken_names_are_not_registered(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="blank_column_name"):
+        store.register(spark.range(1).toDF(" "), "t", "T")
+    assert not store.exists("dataset_versions")
+
+
 def test_json_profile(spark):
     rows = profile(spark.createDataFrame([(1, "a"), (2, None)], "id int, name string"))
     back = {r.name: r for r in profile_from_json(profile_to_json(rows)).collect()}

@@ -69,7 +69,7 @@ def profile(source: str, key: str, only=None) -> str:
         if k == "l":
             top = "NULL" if only is not None else "''"
         hits = (
-            f"(SELECT count(*) FROM (SELECT {c} AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 10) "
+            f"(SELECT count(*) FROM (SELECT {c} AS v FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}) "
             f"WHERE lower(v) IN ('', 'n/a', 'na', 'null', 'none', 'undefined', '-'))" if txt else "0"
         )
         parts.append(
@@ -219,7 +219,7 @@ SQL["s4_table_structure"] = " UNION ALL ".join(
     for t in ("orders", "lineitem", "embeddings") for i, c, k in columns(t)
 )
 SQL["s5_logical_types"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS name, '{LOGICAL[k]}' AS logical_type" for t in D.TABLES for _, c, k in columns(t)
+    f"SELECT '{t}' AS table_name, '{c}' AS name, '{LOGICAL[k]}' AS logical_type, (SELECT count(*) FROM {t}) AS row_count" for t in D.TABLES for _, c, k in columns(t)
 )
 SQL["s6_column_names"] = (
     "SELECT * FROM (VALUES ('blank_column_name', CAST(1 AS INTEGER), ' '), ('column_name_too_long', 3, repeat('x', 300)), "
@@ -231,7 +231,7 @@ SQL["s8_register_version"] = (
 )
 SQL["s9_result_sink"] = " UNION ALL ".join(
     f"SELECT '{f}' AS dataset_id, '{c}' AS name, CAST(2 AS BIGINT) AS stored, (SELECT count(*) FROM lineitem WHERE l_returnflag = '{f}') AS sample_size"
-    for f in ("A", "R") for _, c, _k in columns("lineitem")
+    for f in ("A", "N", "R") for _, c, _k in columns("lineitem")
 )
 SQL["s10_stored_profile"] = (
     f"SELECT name, null_count, distinct_count, round(numeric_mean, 4) AS mean, CAST(least(distinct_count, 10) AS INTEGER) AS top_size FROM {profile(DIRTY, 'dirty')}"
@@ -254,7 +254,7 @@ SQL["f5_iso_time"] = (
 )
 SQL["f6_text_form"] = "SELECT doc_id, text, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
 SQL["f7_identifier_names"] = (
-    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS name" for t in D.TABLES for _, c, _k in columns(t))
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS name, count({c}) AS non_null_count FROM {t}" for t in D.TABLES for _, c, _k in columns(t))
     + ") WHERE lower(name) = 'id' OR lower(name) LIKE '%\\_id' ESCAPE '\\'"
 )
 SQL["f8_column_display"] = " UNION ALL ".join(
@@ -398,7 +398,7 @@ SQL["t3_heaviest_columns"] = (
     f"SELECT bucket, round(total, 6) AS penalty_total FROM (SELECT coalesce(column_name, '<dataset>') AS bucket, sum(penalty) AS total FROM {SCORED} GROUP BY 1) ORDER BY total DESC, bucket LIMIT 8"
 )
 SQL["t4_sorted_tables"] = (
-    f"SELECT dataset_id, name, row_count FROM {CATALOGUE} WHERE contains(lower(concat(name, coalesce(description, ''))), 'build') ORDER BY coalesce(row_count, -1), dataset_id LIMIT 50"
+    f"SELECT dataset_id, name, row_count FROM {CATALOGUE} WHERE contains(lower(concat(name, coalesce(description, ''))), 'build') ORDER BY coalesce(row_count, -1), dataset_id"
 )
 SQL["t5_worst_scores"] = f"SELECT dataset_id, round(score, 6) AS score, grade FROM {NEWEST} WHERE back = 1"
 RAW_CONFIDENCE = f"{detection()} * {error()}"
@@ -431,8 +431,11 @@ SQL["u2_column_name_sets"] = (
     f"SELECT coalesce(b.name, t.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN t.name IS NULL THEN 'removed' ELSE 'common' END AS membership "
     f"FROM {_names['orders']} b FULL JOIN {_names['target']} t ON b.name = t.name"
 )
-SQL["u3_category_union"] = (
-    f"SELECT 'o_orderpriority' AS \"column\", value FROM (SELECT DISTINCT o_orderpriority AS value FROM {BASE} UNION SELECT DISTINCT o_orderpriority FROM {TARGET})"
+CATEGORIES = {"o_orderpriority": "o_orderpriority", "o_custkey": "CAST(o_custkey AS VARCHAR)", "day": "strftime(o_orderdate, '%Y-%m-%d')"}
+SQL["u3_category_union"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS \"column\", v AS value, CAST(sum(b) AS BIGINT) AS base_count, CAST(sum(t) AS BIGINT) AS target_count FROM "
+    f"(SELECT {c} AS v, 1 AS b, 0 AS t FROM {BASE} UNION ALL SELECT {c}, 0, 1 FROM {TARGET}) GROUP BY v"
+    for n, c in CATEGORIES.items()
 )
 SQL["u4_aligned_series"] = (
     "SELECT strftime(created_at, '%Y-%m-%d') AS x, " + ", ".join(f"round(max(score) FILTER (status = '{s}'), 6) AS {s}" for s in ("failed", "running", "succeeded"))
@@ -460,7 +463,7 @@ def numeric_drift(base: str, base_key: str, target: str, target_key: str, only)
 
 def psi(base: str, target: str, column: str) -> str:
     def counts(s: str) -> str:
-        return f"(SELECT v, n, sum(n) OVER () AS total FROM (SELECT {column} AS v, count(*) AS n FROM {s} WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 10))"
+        return f"(SELECT v, n, sum(n) OVER () AS total FROM (SELECT {column} AS v, count(*) AS n FROM {s} WHERE {column} IS NOT NULL GROUP BY 1))"
 
     return (
         "(SELECT sum((tp - bp) * ln(tp / bp)) AS psi FROM (SELECT greatest(coalesce(b.n, 0) / (SELECT max(total) FROM "
@@ -477,13 +480,18 @@ NUMERIC_BANDS, PSI_BANDS, SCORE_BANDS = ((0.5, "high"), (0.2, "medium")), ((0.2,
 SQL["j2_numeric_drift"] = 'SELECT "column", metric, ' + ", ".join(
     f"round({c}, 4) AS {c}" for c in ("base_value", "target_value", "absolute_change", "relative_change")
 ) + f" FROM {numeric_drift(BASE, 'orders', TARGET, 'target', ('o_orderkey', 'o_totalprice'))}"
-PSI = psi(BASE, TARGET, "o_orderpriority")
-SQL["j3_categorical_drift"] = f"SELECT 'o_orderpriority' AS \"column\", round(psi, 6) AS psi FROM {PSI}"
-_drift = (
-    f"SELECT \"column\", metric, round(relative_change, 4) AS relative_change, CAST(NULL AS DOUBLE) AS psi, {band('relative_change', NUMERIC_BANDS)} AS band "
-    "FROM {} UNION ALL SELECT 'o_orderpriority', 'psi', NULL, round(psi, 6), " + band("psi", PSI_BANDS) + f" FROM {PSI}"
-)
-SQL["j4_distribution_drift"] = _drift.format(numeric_drift(BASE, "orders", TARGET, "target", ("o_totalprice",)))
+PSI = {n: psi(BASE, TARGET, c) for n, c in CATEGORIES.items()}
+SQL["j3_categorical_drift"] = " UNION ALL ".join(f"SELECT '{n}' AS \"column\", round(psi, 6) AS psi FROM {p}" for n, p in PSI.items())
+
+
+def drifts(numbers: str, names) -> str:
+    return (
+        f"SELECT \"column\", metric, round(relative_change, 4) AS relative_change, CAST(NULL AS DOUBLE) AS psi, {band('relative_change', NUMERIC_BANDS)} AS band FROM {numbers}"
+        + "".join(f" UNION ALL SELECT '{n}', 'psi', NULL, round(psi, 6), {band('psi', PSI_BANDS)} FROM {PSI[n]}" for n in names)
+    )
+
+
+SQL["j4_distribution_drift"] = drifts(numeric_drift(BASE, "orders", TARGET, "target", ("o_totalprice",)), CATEGORIES)
 _first = f"(SELECT dataset_id, arg_min(score, (created_at, run_number)) AS score, arg_min(grade, (created_at, run_number)) AS grade FROM {SCORES} GROUP BY dataset_id)"
 SCORE_DRIFT = (
     "(SELECT coalesce(b.dataset_id, t.dataset_id) AS dataset_id, b.score AS base_score, t.score AS target_score, round_even(t.score - b.score, 4) AS delta, "
@@ -495,7 +503,7 @@ SQL["j5_score_drift"] = (
 SQL["j6_compare_versions"] = (
     "SELECT 'flag' AS part, 'has_drift' AS item, 'true' AS result UNION ALL SELECT 'schema', name, change FROM (" + SQL["j1_schema_diff"]
     + ") UNION ALL SELECT 'drift', concat(\"column\", '.', metric), band FROM ("
-    + _drift.format(numeric_drift(BASE, "orders", TARGET, "target", ("o_orderkey", "o_totalprice", "o_custkey")))
+    + drifts(numeric_drift(BASE, "orders", TARGET, "target", ("o_orderkey", "o_totalprice", "o_custkey")), ["o_orderpriority"])
     + ")"
 )
 SQL["j7_drift_flags"] = "SELECT 'different' AS pair, true AS has_drift, true AS banded_drift UNION ALL SELECT 'same', false, false FROM (SELECT count(*) FROM orders)"
@@ -557,8 +565,8 @@ scalar(
     relative_change="CASE WHEN severity <> 'info' THEN round(abs(f.value - f.threshold * 10) / greatest(abs(f.threshold * 10), 1), 6) END",
 )
 SQL["x8_psi_terms"] = (
-    "SELECT o_custkey, round((tp - bp) * ln(tp / bp), 8) AS term FROM (SELECT o_custkey, greatest(count(*) FILTER (o_orderdate < DATE '1998-01-01') / 7000, 1e-9) AS bp, "
-    "greatest(count(*) FILTER (o_orderdate >= DATE '1998-01-01') / 8000, 1e-9) AS tp FROM orders GROUP BY o_custkey)"
+    "SELECT o_custkey, round((tp - bp) * ln(tp / bp), 8) AS term FROM (SELECT o_custkey, greatest(count(*) FILTER (o_orderdate < DATE '1998-01-01') / (SELECT count(*) FROM orders WHERE o_orderdate < DATE '1998-01-01'), 1e-9) AS bp, "
+    "greatest(count(*) FILTER (o_orderdate >= DATE '1998-01-01') / (SELECT count(*) FROM orders WHERE o_orderdate >= DATE '1998-01-01'), 1e-9) AS tp FROM orders GROUP BY o_custkey)"
 )
 _v4 = "round_even(f.value, 4)"
 scalar("x9_drift_bands", numeric_band=band(_v4, NUMERIC_BANDS), psi_band=band(f"({_v4} / 4)", PSI_BANDS), score_band=band(f"abs(20 - {_v4} * 25)", SCORE_BANDS))

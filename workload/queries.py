@@ -93,7 +93,7 @@ def s4(spark, folder):
 
 @query("s5_logical_types")
 def s5(spark, folder):
-    frames = [structure.table_columns(D.load(spark, folder, t)).select(F.lit(t).alias("table_name"), "name", "logical_type") for t in D.TABLES]
+    frames = [structure.table_structure(D.load(spark, folder, t)).select(F.lit(t).alias("table_name"), "name", "logical_type", "row_count") for t in D.TABLES]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -127,7 +127,7 @@ def s8(spark, folder):
 @query("s9_result_sink")
 def s9(spark, folder):
     store = ResultStore(spark, scratch_path(spark, "store"))
-    for flag in ("A", "R"):
+    for flag in ("A", "N", "R"):
         rows = D.load(spark, folder, "lineitem").where(F.col("l_returnflag") == flag)
         store.append("profiles", column_counts(rows).withColumn("version_number", F.lit(1)), flag)
         store.append("profiles", column_counts(rows).withColumn("version_number", F.lit(2)), flag)
@@ -187,7 +187,7 @@ def f6(spark, folder):
 
 @query("f7_identifier_names")
 def f7(spark, folder):
-    frames = [structure.table_columns(D.load(spark, folder, t)).select(F.lit(t).alias("table_name"), "name") for t in D.TABLES]
+    frames = [column_counts(D.load(spark, folder, t)).select(F.lit(t).alias("table_name"), "name", "non_null_count") for t in D.TABLES]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -441,7 +441,7 @@ def t3(df):
 @over("t4_sorted_tables", D.CATALOGUE)
 def t4(df):
     rows = history.sorted_tables(df, "rows", descending=False, search="build")
-    return rows.limit(50).select("dataset_id", "name", "row_count")
+    return rows.select("dataset_id", "name", "row_count")
 
 
 @over("t5_worst_scores", D.SCORES)
@@ -473,15 +473,13 @@ def u1b(df):
 
 @query("u2_column_name_sets")
 def u2(spark, folder):
-    return comparison.column_names_diff(*[structure.table_columns(D.derive(spark, folder, t)) for t in (D.BASE_ORDERS, D.TARGET_ORDERS)])
+    return comparison.column_names_diff(*stored_columns(spark, folder))
 
 
 @query("u3_category_union")
 def u3(spark, folder):
-    sides = [profile(D.derive(spark, folder, t).select("o_orderpriority"), parts=("top",)) for t in (D.BASE_ORDERS, D.TARGET_ORDERS)]
-    rows = comparison.categorical_drift(*sides)
-    keys = F.array_union(F.transform("base_top_values", lambda e: e["value"]), F.transform("target_top_values", lambda e: e["value"]))
-    return rows.select("column", F.explode(keys).alias("value"))
+    rows = comparison.category_union(*[comparison.category_counts(categories(df)) for df in both_orders(spark, folder)])
+    return rows.select(F.col("name").alias("column"), F.col("head").alias("value"), "base_count", "target_count")
 
 
 @over("u4_aligned_series", D.SCORES)
@@ -498,9 +496,22 @@ def both_orders(spark, folder):
     return D.derive(spark, folder, D.BASE_ORDERS), D.derive(spark, folder, D.TARGET_ORDERS)
 
 
+def categories(df: DataFrame) -> DataFrame:
+    """Texts with few, many and very many values."""
+    return df.select("o_orderpriority", F.col("o_custkey").cast("string").alias("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+def stored_columns(spark, folder):
+    """The column rows of two registered versions of the orders."""
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    for df in both_orders(spark, folder):
+        store.register(df, "orders", "Orders")
+    return store.columns("orders", 1), store.columns("orders", 2)
+
+
 @query("j1_schema_diff")
 def j1(spark, folder):
-    return comparison.schema_diff(*[structure.table_columns(df) for df in both_orders(spark, folder)]).select(
+    return comparison.schema_diff(*stored_columns(spark, folder)).select(
         "name", "change", "base_logical_type", "target_logical_type"
     )
 
@@ -516,14 +527,15 @@ def j2(spark, folder):
 
 @query("j3_categorical_drift")
 def j3(spark, folder):
-    sides = [profile(df.select("o_orderpriority"), parts=("top",)) for df in both_orders(spark, folder)]
-    return rounded(comparison.categorical_drift(*sides), "psi").select("column", "psi")
+    counts = [comparison.category_counts(categories(df)) for df in both_orders(spark, folder)]
+    return rounded(comparison.population_stability(*counts), "psi").select(F.col("name").alias("column"), "psi")
 
 
 @query("j4_distribution_drift")
 def j4(spark, folder):
-    sides = [profile(df.select("o_totalprice", "o_orderpriority", "o_orderdate"), parts=("top", "median")) for df in both_orders(spark, folder)]
-    rows = comparison.distribution_drift(*sides)
+    frames = [df.withColumns({"o_custkey": F.col("o_custkey").cast("string"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")}).select("o_totalprice", "o_orderpriority", "o_custkey", "day", "o_orderdate") for df in both_orders(spark, folder)]
+    psi = comparison.population_stability(*map(comparison.category_counts, frames))
+    rows = comparison.distribution_drift(*[profile(df, parts=("median",)) for df in frames], psi=psi)
     return rounded(rows, "relative_change", digits=4).withColumn("psi", F.round("psi", 6)).select("column", "metric", "relative_change", "psi", "band")
 
 
@@ -555,7 +567,8 @@ def j7(spark, folder):
     schema = comparison.schema_diff(structure.table_columns(base), structure.table_columns(target))
     sides = [settle(profile(df.select("o_totalprice", "o_orderpriority"), parts=("top", "median")), "profile") for df in (base, target)]
     scores = comparison.score_drift(*two_scores(D.derive(spark, folder, D.SCORES)), KEY)
-    drifts = comparison.distribution_drift(*sides)
+    psi = comparison.population_stability(*[comparison.category_counts(df, ["o_orderpriority"]) for df in (base, target)])
+    drifts = comparison.distribution_drift(*sides, psi=psi)
     same = comparison.drift_flags(schema.where(F.lit(False)), drifts.where(F.lit(False)), scores.where(F.lit(False)))
     flags = comparison.drift_flags(schema, drifts, scores).withColumn("pair", F.lit("different"))
     return flags.unionByName(same.withColumn("pair", F.lit("same")))
@@ -689,7 +702,8 @@ def x8(spark, folder):
     rows = D.load(spark, folder, "orders").groupBy("o_custkey").agg(
         F.count_if(F.col("o_orderdate") < "1998-01-01").alias("b"), F.count_if(F.col("o_orderdate") >= "1998-01-01").alias("t")
     )
-    base, target = F.lit(7000).cast("bigint"), F.lit(8000).cast("bigint")
+    sums = rows.agg(F.sum("b").alias("base"), F.sum("t").alias("target"))
+    base, target = sums.select("base").scalar(), sums.select("target").scalar()
     return rows.select("o_custkey", F.round(drift.psi_term(F.col("b"), base, F.col("t"), target), 8).alias("term"))
 
 
@@ -707,9 +721,8 @@ def x9(df):
 @query("x11_age_label")
 def x11(spark, folder):
     now = F.to_timestamp_ntz(F.lit("2024-02-15 12:00:00"))
-    ages = D.load(spark, folder, "events").select("event_id", X.age_label(F.col("ts"), now).alias("age"))
     fresh = F.to_timestamp_ntz(F.lit("2024-01-01 03:00:00"))
-    return ages.join(D.load(spark, folder, "events").select("event_id", X.age_label(F.col("ts"), fresh).alias("early_age")), "event_id")
+    return D.load(spark, folder, "events").select("event_id", X.age_label(F.col("ts"), now).alias("age"), X.age_label(F.col("ts"), fresh).alias("early_age"))
 
 
 # --- recommendations ---------------------------------------------------------------------------
