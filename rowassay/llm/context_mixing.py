@@ -27,6 +27,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ COUNTED = 1 << 21  # path steps that wait until they are counted together
 BLOCK = 128  # symbols coded before weights change
 LANES = 160  # documents coded side by side
 GATES = 64
+STEP = np.float32(1 / 15)  # of a stored logit
 MAP = 33  # cells of the adaptive map, for logits from -8 to 8
 RATE, MAP_RATE = 0.004, 0.02
 # starting weights of the three predictors by what was seen: neither context, the first, the second, both
@@ -114,6 +116,10 @@ class Codebook:
     bits: np.ndarray
     n_nodes: int
 
+    @property
+    def longest(self) -> int:
+        return int(np.diff(self.offsets).max())
+
     @classmethod
     def build(cls, frequent: list[tuple[bytes, int]], rare: int, letters: np.ndarray) -> Codebook:
         words = [w for w, _ in frequent]
@@ -140,23 +146,32 @@ class Stream:
     first: np.ndarray  # of each document, and the end
     c1: np.ndarray
     c2: np.ndarray
-    token_ids: np.ndarray  # of each token; -1 is a rare word
-    token_first: np.ndarray
-    rare: list[bytes]
 
 
-def stream(texts: list[list[bytes]], book: Codebook) -> Stream:
-    """``texts``: the words of each document."""
-    tokens = [w for words in texts for w in (*words, b"")]
-    ids = np.fromiter(map(book.words.get, tokens, (-1 for _ in tokens)), dtype=np.int64, count=len(tokens))
+def encode(texts: list[list[bytes]], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Number of each token (-1: a rare word), first token of each document (and the end), and the rare words in order."""
+    tokens: list[bytes] = []
+    first = [0]
+    for own in texts:
+        tokens += own
+        tokens.append(b"")
+        first.append(len(tokens))
+    # the words met here are few against the tokens: look them up once
+    own = dict.fromkeys(tokens)
+    own.update(zip(own, list(map(words.get, own, repeat(-1)))))
+    ids = np.fromiter(map(own.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+    return ids, np.array(first), [tokens[i] for i in np.flatnonzero(ids < 0)]
+
+
+def stream(ids: np.ndarray, token_first: np.ndarray, rare: list[bytes], book: Codebook) -> Stream:
+    """From the output of ``encode``."""
+    ids = ids.astype(np.int64)
     at_rare = np.flatnonzero(ids < 0)
-    rare = [tokens[i] for i in at_rare]
     n_rare = np.fromiter(map(len, rare), dtype=np.int64, count=len(rare)) + 1  # letters and the word end
     sizes = np.ones(len(ids), dtype=np.int64)
     sizes[at_rare] += n_rare
     start = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
-    token_first = np.cumsum([0, *(len(w) + 1 for w in texts)])
     # classes of the words before; document starts see START
     own = np.where(ids >= 0, book.classes[np.maximum(ids, 0)], 0)
     own[at_rare] = [ending(w) for w in rare]
@@ -182,7 +197,7 @@ def stream(texts: list[list[bytes]], book: Codebook) -> Stream:
         c1[place] = ((back[0] << 9 | back[1]) + START + 1).astype(np.uint32) * MIX1
         c2[place] = (back[0] << 27 ^ back[1] << 18 ^ back[2] << 9 ^ back[3]).astype(np.uint32) * MIX4 + np.uint32(2)
     ends = np.concatenate([start, [total]])
-    return Stream(symbols, ends[token_first], c1, c2, ids, token_first, rare)
+    return Stream(symbols, ends[token_first], c1, c2)
 
 
 def steps(book: Codebook, symbols: np.ndarray, c1: np.ndarray, c2: np.ndarray):
@@ -199,13 +214,20 @@ def steps(book: Codebook, symbols: np.ndarray, c1: np.ndarray, c2: np.ndarray):
         h = context[owner] + mixed
         h ^= h >> np.uint32(15)
         h *= MIX3
-        return (h >> np.uint32(32 - SLOTS)).astype(np.int32)
+        return (h >> np.uint32(32 - SLOTS)).astype(np.int64)
 
     return owner, node, depth, book.bits[at], slot(c1), slot(c2)
 
 
+def encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """What ``encode`` gave for the documents of a batch (ids, rare)."""
+    ids, rare = batch.column("ids"), batch.column("rare")
+    offsets = ids.offsets.to_numpy()
+    return ids.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0], rare.flatten().to_pylist()
+
+
 def bit_counts(docs: DataFrame, book) -> dict[tuple[int, int], np.ndarray]:
-    """Counts (zeros, ones) of ``docs`` (text) by (table, chunk): tables 0 (nodes), 1 and 2 (slots of the contexts)."""
+    """Counts (zeros, ones) of encoded ``docs`` (ids, rare) by (table, chunk): tables 0 (nodes), 1 and 2 (slots of the contexts)."""
 
     def packed(table: int, chunk: int, counts: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([[table], [chunk], [pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)]], schema=SCHEMA)
@@ -224,8 +246,8 @@ def bit_counts(docs: DataFrame, book) -> dict[tuple[int, int], np.ndarray]:
                 total += np.bincount(np.concatenate(parts), minlength=len(total))
             waiting.clear()
 
-        for batch in sliced(batches, "text", 1 << 19):
-            s = stream([words_of(t) for t in as_bytes(batch.column("text"))], b)
+        for batch in sliced(batches, "ids", 1 << 19):
+            s = stream(*encoded(batch), b)
             for lo in range(0, len(s.symbols), 1 << 14):
                 cut = slice(lo, lo + (1 << 14))
                 _, node, _, bit, one, two = steps(b, s.symbols[cut], s.c1[cut], s.c2[cut])
@@ -252,7 +274,7 @@ def bit_counts(docs: DataFrame, book) -> dict[tuple[int, int], np.ndarray]:
 
     SCHEMA = pa.schema([("table", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
     ddl = "table int, chunk int, counts binary"
-    made = docs.select("text").mapInArrow(gather, ddl).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    made = docs.select("ids", "rare").mapInArrow(gather, ddl).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     half = made.repartition("table", "chunk", "salt").select("table", "chunk", "counts").mapInArrow(add, ddl)
     whole = half.repartition("table", "chunk").mapInArrow(add, ddl)
     return {(r.table, r.chunk): unpacked(bytes(r.counts)) for r in whole.collect()}  # as many rows as chunks
@@ -260,7 +282,7 @@ def bit_counts(docs: DataFrame, book) -> dict[tuple[int, int], np.ndarray]:
 
 @dataclass
 class Model:
-    """Logits of the three predictors; 0 where a context slot was never met."""
+    """Logits of the three predictors in small whole steps; 0 where a context slot was never met."""
 
     nodes: np.ndarray
     one: np.ndarray
@@ -269,12 +291,13 @@ class Model:
     @classmethod
     def build(cls, counts: dict[tuple[int, int], np.ndarray], n_nodes: int) -> Model:
         def logits(table: int, n: int, trust: float) -> np.ndarray:
-            out = np.zeros(n, dtype=np.float32)
+            out = np.zeros(n, dtype=np.int8)
             for (t, chunk), c in counts.items():
                 if t == table:
                     zeros, ones = c.reshape(-1, 2).T.astype(np.float64)
                     value = np.log((ones + 0.4) / (zeros + 0.4)) * (zeros + ones) / (zeros + ones + trust)
-                    out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.where((zeros + ones > 0) & (value == 0), 1e-6, value)
+                    step = np.rint(np.clip(value / STEP, -127, 127))
+                    out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.where((zeros + ones > 0) & (step == 0), 1, step)
             return out
 
         return cls(logits(0, -(-n_nodes // CHUNK) * CHUNK, 0.1), logits(1, 1 << SLOTS, 1.0), logits(2, 1 << SLOTS, 2.0))
@@ -286,39 +309,52 @@ def code_lengths(s: Stream, book: Codebook, model: Model) -> np.ndarray:
     sizes = np.diff(s.first)
     bits = np.zeros(n_docs)
     order = np.argsort(-sizes, kind="stable")
+    cells = np.linspace(-8, 8, MAP, dtype=np.float32)
+    level_of = np.minimum(np.arange(book.longest + 1), 7)  # by depth
+    moved = 1 - (1 - MAP_RATE) ** np.arange(1 << 12)  # how far a cell goes towards what was seen that many times
     for lo in range(0, n_docs, LANES):
         docs = order[lo : lo + LANES]
         weights = np.tile(np.repeat(FIRST_WEIGHTS[None], GATES // 4, axis=0).reshape(GATES, 3), (len(docs), 1)).T.copy()
-        cells = np.linspace(-8, 8, MAP, dtype=np.float32)
-        refined = np.tile(1 / (1 + np.exp(-cells)), len(docs) * 16)
+        weights *= STEP
+        refined = np.tile((1 / (1 + np.exp(-cells))).astype(np.float32), len(docs) * 16)
         for block in range(-(-int(sizes[docs[0]]) // BLOCK)):
             alive = int(np.searchsorted(-sizes[docs], -block * BLOCK, side="left"))  # documents with symbols left come first
             begin = s.first[docs[:alive]] + block * BLOCK
             n = np.minimum(sizes[docs[:alive]] - block * BLOCK, BLOCK)
-            place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            lane_of = np.repeat(np.arange(alive, dtype=np.int32), n)
+            symbol_first = np.cumsum(n) - n
+            place = np.repeat(begin - symbol_first, n) + np.arange(n.sum())
             symbols = s.symbols[place]
             owner, node, depth, bit, one, two = steps(book, symbols, s.c1[place], s.c2[place])
-            lane = lane_of[owner]
-            letter = (symbols > book.escape).astype(np.int32)[owner]
+            # lane and kind of symbol (word or letter) choose a row of 8 levels
+            row = np.repeat(np.arange(0, alive * 16, 16), n) + ((symbols > book.escape) << 3)
+            level = row[owner] + level_of[depth]
             l0, l1, l2 = model.nodes[node], model.one[one], model.two[two]
-            level = (letter << 3) | np.minimum(depth, 7)
-            gate = (lane * 16 + level) * 4 + (l1 != 0) + 2 * (l2 != 0).astype(np.int32)
-            w0, w1, w2 = (w[gate] for w in weights)
-            mixed = np.clip(w0 * l0 + w1 * l1 + w2 * l2, -8, 8)
+            gate = level * 4 + (l1 != 0)
+            gate += (l2 != 0) * 2
+            mixed = weights[0][gate] * l0
+            mixed += weights[1][gate] * l1
+            mixed += weights[2][gate] * l2
+            np.minimum(mixed, 8, out=mixed)
+            np.maximum(mixed, -8, out=mixed)
             p = 1 / (1 + np.exp(-mixed))
-            cell = (lane * 16 + level) * MAP + np.rint(mixed * 2 + 16).astype(np.int32)
-            final = np.clip(0.5 * (p + refined[cell]), 1 / 4096, 1 - 1 / 4096)
-            bits[docs[:alive]] -= np.bincount(lane, np.log2(np.where(bit, final, 1 - final)), alive)
-            error = bit - p
-            many = alive * GATES
+            cell = level * MAP + (mixed * 2 + np.float32(16.5)).astype(np.int64)
+            ones = bit.astype(np.float32)
+            right = p + refined[cell]
+            right *= np.float32(0.5)
+            right -= 1 - ones  # for a zero, the negated probability of it
+            np.abs(right, out=right)
+            np.maximum(right, np.float32(1 / 4096), out=right)
+            np.minimum(right, np.float32(1 - 1 / 4096), out=right)
+            step_first = np.searchsorted(owner, symbol_first)
+            bits[docs[:alive]] -= np.add.reduceat(np.log2(right), step_first, dtype=np.float64)
+            error = (ones - p).astype(np.float64)
             for w, logit in zip(weights, (l0, l1, l2)):
-                w[:many] += RATE * np.bincount(gate, error * logit, many)
-            seen = np.bincount(cell, minlength=alive * 16 * MAP)
-            hits = np.bincount(cell, bit, alive * 16 * MAP)
-            rate = 1 - (1 - MAP_RATE) ** seen
-            own = refined[: alive * 16 * MAP]
-            own += rate * (hits / np.maximum(seen, 1) - own)
+                w[: alive * GATES] += RATE * STEP * STEP * np.bincount(gate, error * logit, alive * GATES)
+            met = np.bincount(cell * 2 + bit, minlength=2 * alive * 16 * MAP).reshape(-1, 2)
+            seen = met.sum(axis=1)
+            at = np.flatnonzero(seen)
+            rate = moved[np.minimum(seen[at], len(moved) - 1)]
+            refined[at] += rate * (met[at, 1] / seen[at] - refined[at])
     return bits
 
 
@@ -328,8 +364,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     ``training`` says which rows the model learns from. The base is the unigram model with one added to each count.
     """
     context = docs.sparkSession.sparkContext
-    learned = docs.filter(training)
-    counts = settle(word_counts(learned), "word-counts")
+    counts = settle(word_counts(docs.filter(training)), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, n_words = int(totals[0]), int(totals[1])
     # the lowest count from which on words have a path: few enough of them; one row for each different count
@@ -357,34 +392,44 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     rare_total = n_all - sum(c for _, c in frequent)
     codebook = Codebook.build(frequent, rare_total, letters)
     book = context.broadcast(codebook)
-    model = context.broadcast(Model.build(bit_counts(learned, book), codebook.n_nodes))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = book.value.words
+        for batch in sliced(batches, "text", 1 << 20):
+            texts = as_bytes(batch.column("text"))
+            ids, first, rare = encode([words_of(t) for t in texts], words)
+            rare_first = np.searchsorted(np.flatnonzero(ids < 0), first)
+            yield pa.record_batch(
+                [
+                    batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("trained"), pa.array([len(t or b"") for t in texts], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(rare_first, pa.int32()), pa.array(rare, pa.binary())),
+                ],
+                names=["row", "doc_id", "trained", "n_bytes", "ids", "rare"],
+            )
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(training, F.lit(False)).alias("trained"), "text")
+    texts = settle(numbered.mapInArrow(numbers, "row long, doc_id long, trained boolean, n_bytes long, ids array<int>, rare array<binary>"), "encoded")
+    model = context.broadcast(Model.build(bit_counts(texts.filter("trained"), book), codebook.n_nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, m = book.value, model.value
-        logs = np.concatenate([np.log10(b.counts + 1), [0.0]])
-        for batch in sliced(batches, "text", 2 << 20):
-            texts = as_bytes(batch.column("text"))
-            s = stream([words_of(t) for t in texts], b)
-            known = np.add.reduceat(b.counts[np.maximum(s.token_ids, 0)] * (s.token_ids >= 0) > 0, s.token_first[:-1])
-            logged = np.add.reduceat(logs[s.token_ids], s.token_first[:-1])
-            rare_first = np.searchsorted(np.flatnonzero(s.token_ids < 0), s.token_first)
-            rare = [Counter(s.rare[a:z]) for a, z in zip(rare_first[:-1], rare_first[1:])]
-            offsets = np.cumsum([0, *map(len, rare)])
-            entries = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())], ["word", "n"])
+        logs = np.concatenate([np.log10(b.counts + 1), [0.0]])  # the last for rare words, which are -1
+        met = np.concatenate([b.counts > 0, [False]])
+        for batch in sliced(batches, "ids", 1 << 20):
+            ids, first, rare = encoded(batch)
             yield pa.record_batch(
                 [
-                    batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("trained"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(np.diff(s.token_first)),
-                    pa.array(known.astype(np.int64)), pa.array(logged), pa.array(code_lengths(s, b, m)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries),
+                    *(batch.column(c) for c in ("row", "doc_id", "trained", "n_bytes")), pa.array(np.diff(first).astype(np.int64)),
+                    pa.array(np.add.reduceat(met[ids], first[:-1], dtype=np.int64)), pa.array(np.add.reduceat(logs[ids], first[:-1])), pa.array(code_lengths(stream(ids, first, rare, b), b, m)),
                 ],
-                names=["row", "doc_id", "trained", "n_bytes", "n_tokens", "known", "logged", "bits", "rare"],
+                names=["row", "doc_id", "trained", "n_bytes", "n_tokens", "known", "logged", "bits"],
             )
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", training.alias("trained"), "text")
-    coded = settle(numbered.mapInArrow(run, "row long, doc_id long, trained boolean, n_bytes long, n_tokens long, known long, logged double, bits double, rare array<struct<word:binary,n:long>>"), "coded")
+    coded = texts.mapInArrow(run, "row long, doc_id long, trained boolean, n_bytes long, n_tokens long, known long, logged double, bits double")
     # the counts of rare words are joined; only words with a count matter
-    met = coded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("w"), F.col("r.n").alias("n"))
-    found = met.join(counts.filter(~is_frequent), F.col("w") == F.col("word")).groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logged"))
-    all_ = coded.drop("rare").join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
+    met = texts.select("row", F.explode("rare").alias("w"))
+    found = met.join(counts.filter(~is_frequent), F.col("w") == F.col("word")).groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logged"))
+    all_ = coded.join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
     return all_.select(
         "doc_id",
         "trained",

@@ -115,7 +115,7 @@ def test_language_model_is_a_code():
     empty = {(t, c): np.zeros(2 * context_mixing.CHUNK) for t, n in ((0, 1), (1, 256), (2, 256)) for c in range(n)}
     model = context_mixing.Model.build(empty, book.n_nodes)
     letters = [bytes([b]) for b in range(256) if bytes([b]).split()]
-    bits = context_mixing.code_lengths(context_mixing.stream([[], *[[w] for w in letters]], book), book, model)
+    bits = context_mixing.code_lengths(context_mixing.stream(*context_mixing.encode([[], *[[w] for w in letters]], book.words), book), book, model)
     assert 0 < (2.0**-bits).sum() < 1
 
 
