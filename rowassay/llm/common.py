@@ -61,24 +61,26 @@ def ranked(rows: DataFrame, group: list[str], order: list[Column], spread: Colum
     return joined.withColumn(name, F.col("_first") + F.col("_at")).drop("_bucket", "_at", "_first", *[f"_rank_key{i}" for i in range(len(keys))])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, file_rows: int = 1 << 20, least_files: int = 16) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b longs); root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder, so lineage
-    stays short and nothing is lost with an executor. Only minima are kept per node, never neighbour lists.
+    Alternating large-star and small-star rounds until all components are stars around their smallest node. Each
+    round is written to the shared folder, so lineage stays short and nothing is lost with an executor; the number of
+    files follows the number of edges, not that of shuffle partitions. Only minima are kept per node, never
+    neighbour lists.
     """
     edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     while True:
+        below, above = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")), edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+        nodes = below.unionByName(above).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        n, unsettled = nodes.agg(F.coalesce(F.sum("below"), F.lit(0)), F.count_if((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") == 1)))).first()
+        if not unsettled:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, both.a == low.k).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, large.a == low.k).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = settle(small.select("e.*").filter("a <> b").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        edges = settle(small.select("e.*").filter("a <> b").distinct().coalesce(max(least_files, n // file_rows)), "edges")
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -122,7 +122,7 @@ def linked(prints: DataFrame, bits: int = 2) -> DataFrame:
     """Distinct pairs (a, b), a < b, of the distinct fingerprints that differ in ``bits`` (2 at most) or fewer bits."""
     if bits > 2:
         raise ValueError("the keys find pairs with at most 2 differing bits")
-    keys = settle(fuzzy_keys(prints), "golay-keys")
+    keys = fuzzy_keys(prints)  # cheaper to find again than to write
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "n")
     keyed = keys.join(shared, keys.key == shared.k).select("fp", "key", "pair", "n")
 
