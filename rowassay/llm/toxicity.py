@@ -13,7 +13,7 @@ Features are hashed words and hashed word beginnings of five bytes; a document's
 counts over the square root of its number of words, so a few words decide in short texts only. Several numpy
 classifiers are trained in parallel, each without one fold of the sample, and their weights are averaged.
 
-The fit reads at most about ``positives`` and ``unlabelled`` documents, chosen by a hash of the id; scoring
+The fit reads at most about ``positives`` and ``unlabelled`` documents, chosen by a hash of id and text; scoring
 reads every whole text. The weights have a fixed size (2^18 numbers), which bounds what is broadcast.
 
 Defined cases: NULL, empty and word-less texts get the score of the intercept; documents with a NULL or
@@ -140,23 +140,25 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     if not toxic:
         return np.zeros(DIMS), -np.inf
     prior = min(0.9, toxic / labelled) if prior is None else prior
-    # a row may serve as a positive, as an unlabelled document, or as both; the row number spreads repeated ids
-    drawn = F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id())
+    # a row may serve as a positive, as an unlabelled document, or as both; rows of equal id and text share one draw and
+    # count once in the sample, so neither the order of rows nor their partitions decide what is drawn
+    drawn = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = docs.select("doc_id", "text", drawn.alias("drawn")).join(marks, F.col("doc_id") == F.col("k"), "left")
     chance = F.pmod(F.col("drawn"), F.lit(1 << 30)) / float(1 << 30)
     p_rate, u_rate = min(1.0, positives / toxic), min(1.0, unlabelled / total)
     roles = F.array_compact(F.array(F.when((F.col("toxic") == 1) & (chance < p_rate), F.lit(1)), F.when(1 - chance <= u_rate, F.lit(0))))
     fold = F.pmod(F.shiftright("drawn", 32), F.lit(folds)).cast("int")
-    sample = rows.select("text", "toxic", F.explode(roles).alias("positive"), fold.alias("fold"))
+    sample = rows.select("drawn", "text", "toxic", F.explode(roles).alias("positive"), fold.alias("fold")).dropDuplicates(["drawn", "positive"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             found, first = hashed_words([t or b"" for t in as_bytes(batch.column("text"))])
             offsets, values = pa.array(first * PER_WORD, pa.int32()), pa.array(found.ravel())
-            yield pa.record_batch([batch.column("fold"), batch.column("positive"), batch.column("toxic"), pa.ListArray.from_arrays(offsets, values)], names=["fold", "positive", "toxic", "f"])
+            yield pa.record_batch([*map(batch.column, ("drawn", "fold", "positive", "toxic")), pa.ListArray.from_arrays(offsets, values)], names=["drawn", "fold", "positive", "toxic", "f"])
 
     def train_fold(rows: pd.DataFrame) -> pd.DataFrame:
         number = int(rows["without"].iat[0])
+        rows = rows.sort_values(["drawn", "positive"])  # the same order however the rows arrive
         inside = (rows["fold"] != number).to_numpy()
         positive = (rows["positive"] == 1).to_numpy()
         found = rows["f"].to_numpy()
@@ -166,11 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
         if test["toxic"].nunique() == 2:
             scores = np.array([bias + weights[f].sum() / np.sqrt(max(len(f) / PER_WORD, 1)) for f in test["f"]])
             threshold = best_threshold(scores, test["toxic"].to_numpy(float), np.where(test["toxic"] == 1, 1 / p_rate, 1 / u_rate))
-        return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias], "threshold": [threshold]})
+        return pd.DataFrame({"number": [number], "weights": [weights.astype(np.float32).tobytes()], "bias": [bias], "threshold": [threshold]})
 
-    held = settle(sample.select("fold", "positive", "toxic", "text").mapInArrow(features, "fold int, positive int, toxic int, f array<int>"), "toxicity-sample")
+    held = settle(sample.select("drawn", "fold", "positive", "toxic", "text").mapInArrow(features, "drawn long, fold int, positive int, toxic int, f array<int>"), "toxicity-sample")
     dealt = held.withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    models = dealt.groupBy("without").applyInPandas(train_fold, "weights binary, bias double, threshold double").collect()  # ``folds`` rows of a fixed size
+    models = dealt.groupBy("without").applyInPandas(train_fold, "number int, weights binary, bias double, threshold double").collect()  # ``folds`` rows of a fixed size
+    models.sort(key=lambda m: m.number)
     weights = np.mean([np.frombuffer(m.weights, dtype=np.float32) for m in models], axis=0)
     bias, thresholds = float(np.mean([m.bias for m in models])), [m.threshold for m in models if m.threshold is not None and m.threshold == m.threshold]
     level = float(np.mean(thresholds)) if thresholds else 0.0
