@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowassay.llm import bit_sliced, budget, cap_filters, chat, context_mixing, golay, packing, reshard, token_counts, toxicity
+from rowassay.llm import bit_sliced, boosted, budget, cap_filters, chat, context_mixing, golay, iceberg, importance, packing, reshard, token_counts, toxicity
 from rowassay.llm.common import table
 
 TOXIC_FROM = 0.7
 TOKEN_LIMIT = 4096
+GOOD_FROM = 0.3
 OLD_SHARDS, SHARDS = 12, 16
 CONTROL_CASE = "\\### Assistant: </turn> ok"
 
@@ -70,9 +71,26 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_boosted_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = boosted.held_out(F.col("doc_id"))
+    model = boosted.fit(docs.filter(~out), table(spark, folder, "labels"))
+    scored = boosted.score(docs, model, GOOD_FROM)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+def op13_iceberg_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return iceberg.divergence(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_cap_filters, op3_context_mixing, op4_bit_sliced, op5_budget_mix, op6_golay_simhash, op7_chat_parts, op8_flow_reshard, op9_conflict_packing, op10_token_counts)
+    for f in (op1_toxicity, op2_cap_filters, op3_context_mixing, op4_bit_sliced, op5_budget_mix, op6_golay_simhash, op7_chat_parts, op8_flow_reshard, op9_conflict_packing, op10_token_counts, op11_importance_resampling, op12_boosted_quality, op13_iceberg_divergence)
 }
 
 
