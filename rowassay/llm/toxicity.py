@@ -11,10 +11,13 @@ is the share of toxic documents among the labelled training documents unless it
 
 Features are hashed words and hashed word beginnings of five bytes; a document's score is linear in their
 counts over the square root of its number of words, so a few words decide in short texts only. Several numpy
-classifiers are trained in parallel, each without one fold of the sample, and their weights are averaged.
+classifiers are trained, each without one fold of the sample, and their weights are averaged. The fold left out
+sets the classifier's threshold, again from positives, unlabelled documents and the prior alone: with the share r of positives and c of
+unlabelled documents above it, the F1 of the toxic class is 2 p r / (c + p).
 
-The fit reads at most about ``positives`` and ``unlabelled`` documents, chosen by a hash of id and text; scoring
-reads every whole text. The weights have a fixed size (2^18 numbers), which bounds what is broadcast.
+The fit reads at most about ``positives`` and ``unlabelled`` documents, chosen by a hash of id and text: ids meet labels first, and
+only drawn documents' texts are read. The sample is one sparse matrix; as many folds train at once as ``memory`` bytes hold
+copies of it. Scoring reads every whole text. The weights have a fixed size (2^18 numbers), which bounds what is broadcast.
 
 Defined cases: NULL, empty and word-less texts get the score of the intercept; documents with a NULL or
 no label are unlabelled; NULL ids and repeated rows are scored each; of several labels of an id the largest counts; without any
@@ -24,9 +27,9 @@ positive in training all scores are nearly 0; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,28 +82,60 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 20, batches: int = 16, rate: float = 0.5, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept of one classifier. A document is its features with repeats, ``PER_WORD`` for each word."""
+@dataclass
+class Bags:
+    """Documents as bags of features: one sparse matrix by rows, with each document's scale."""
+
+    first: np.ndarray  # of each document, and the end
+    feature: np.ndarray
+    count: np.ndarray
+    norm: np.ndarray  # 1 / square root of the number of words
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Bags:
+        """From features with repeats, ``PER_WORD`` for each word."""
+        parts = [np.unique(d, return_counts=True) for d in docs]
+        first = np.cumsum([0, *(len(f) for f, _ in parts)])
+        empty = np.empty(0, np.int64)
+        n_words = np.array([len(d) for d in docs]) / PER_WORD
+        return cls(first, np.concatenate([empty, *(f for f, _ in parts)]), np.concatenate([empty, *(c for _, c in parts)]), 1 / np.sqrt(np.maximum(n_words, 1)))
+
+    def __len__(self) -> int:
+        return len(self.norm)
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of ``rows`` lie, and the number of the row (in ``rows``) of each."""
+        n = self.first[rows + 1] - self.first[rows]
+        owner = np.repeat(np.arange(len(rows)), n)
+        return np.arange(len(owner)) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n), owner
+
+    def scores(self, rows: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+        at, owner = self.places(rows)
+        return bias + np.bincount(owner, weights[self.feature[at]] * self.count[at], len(rows)) * self.norm[rows]
+
+
+def train(positive: Bags | list[np.ndarray], unlabelled: Bags | list[np.ndarray], prior: float, seed: int, epochs: int = 20, batches: int = 16, rate: float = 0.5, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and intercept of one classifier. Documents are bags, or lists of features with repeats."""
+    positive, unlabelled = (docs if isinstance(docs, Bags) else Bags.of(docs) for docs in (positive, unlabelled))
+    return train_rows(positive, np.arange(len(positive)), unlabelled, np.arange(len(unlabelled)), prior, seed, epochs, batches, rate, penalty)
+
+
+def train_rows(p_bags: Bags, p_all: np.ndarray, u_bags: Bags, u_all: np.ndarray, prior: float, seed: int, epochs: int = 20, batches: int = 16, rate: float = 0.5, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """``train`` on the rows ``p_all`` and ``u_all`` of two matrices, which may be one."""
     draw = np.random.default_rng(seed)
     weights, bias, seen, seen_bias = np.zeros(DIMS), float(np.log(prior / (1 - prior))), np.full(DIMS, 1e-8), 1e-8
     # features of most unlabelled documents say little: they are scaled down by their document frequency
-    frequency = np.bincount(np.concatenate([np.unique(f) for f in unlabelled]), minlength=DIMS) if unlabelled else np.zeros(DIMS)
-    scale = np.log((len(unlabelled) + 1) / (frequency + 1)) / np.log(len(unlabelled) + 2)
-
-    def stacked(docs: list[np.ndarray], rows: np.ndarray):
-        own = [docs[i] for i in rows]
-        n = np.array(list(map(len, own)))
-        at = np.concatenate(own) if own else np.empty(0, np.int64)
-        return at, np.repeat(np.arange(len(own)), n), 1 / np.sqrt(np.maximum(n / PER_WORD, 1))
+    frequency = np.zeros(DIMS)
+    for rows in np.array_split(u_all, batches):
+        frequency += np.bincount(u_bags.feature[u_bags.places(rows)[0]], minlength=DIMS)
+    scale = np.log((len(u_all) + 1) / (frequency + 1)) / np.log(len(u_all) + 2)
 
     for _ in range(epochs):
-        p_order, u_order = draw.permutation(len(positive)), draw.permutation(len(unlabelled))
-        for p_rows, u_rows in zip(np.array_split(p_order, batches), np.array_split(u_order, batches)):
+        for p_rows, u_rows in zip(np.array_split(draw.permutation(p_all), batches), np.array_split(draw.permutation(u_all), batches)):
             if not len(p_rows) or not len(u_rows):
                 continue
-            (p_at, p_own, p_norm), (u_at, u_own, u_norm) = stacked(positive, p_rows), stacked(unlabelled, u_rows)
-            fp = bias + np.bincount(p_own, (scale * weights)[p_at], len(p_rows)) * p_norm
-            fu = bias + np.bincount(u_own, (scale * weights)[u_at], len(u_rows)) * u_norm
+            scaled = scale * weights
+            fp, fu = p_bags.scores(p_rows, scaled, bias), u_bags.scores(u_rows, scaled, bias)
             # logistic loss: l(f) = log(1 + exp(-f)), with derivative sigmoid(f) - 1; l(-f) has sigmoid(f)
             negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
             gu, gp_negative = sigmoid(fu) / len(fu), -prior * sigmoid(fp) / len(fp)
@@ -108,7 +143,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 gp = prior * (sigmoid(fp) - 1) / len(fp) + gp_negative
             else:
                 gu, gp = -gu, -gp_negative
-            gradient = scale * (np.bincount(p_at, (gp * p_norm)[p_own], DIMS) + np.bincount(u_at, (gu * u_norm)[u_own], DIMS)) + penalty * weights
+            gradient = penalty * weights
+            for bags, rows, g in ((p_bags, p_rows, gp), (u_bags, u_rows, gu)):
+                at, owner = bags.places(rows)
+                gradient += scale * np.bincount(bags.feature[at], (g * bags.norm[rows])[owner] * bags.count[at], DIMS)
             slope = gp.sum() + gu.sum()
             seen += gradient**2
             seen_bias += slope**2
@@ -117,65 +155,74 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return scale * weights, bias
 
 
-def best_threshold(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    """The score from which on calling documents toxic gives the largest F1, midway to the next lower one."""
-    order = np.argsort(-scores, kind="stable")
-    hits, called = np.cumsum((weight * toxic)[order]), np.cumsum(weight[order])
-    f1 = 2 * hits / (called + hits[-1])
-    at = int(f1.argmax())
-    ranked = scores[order]
-    return float((ranked[at] + ranked[min(at + 1, len(ranked) - 1)]) / 2)
+def best_threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The score from which on calling documents toxic gives the largest F1, midway to the next lower one; no negatives are needed."""
+    levels = np.unique(np.concatenate([positive, unlabelled]))
+    caught, called = (1 - np.searchsorted(np.sort(own), levels, side="left") / len(own) for own in (positive, unlabelled))
+    at = int((prior * caught / (called + prior)).argmax())
+    return float((levels[at] + levels[max(at - 1, 0)]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 4_000, unlabelled: int = 8_000, folds: int = 4, at_threshold: float = 0.7, seed: int = 3) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = 4_000, unlabelled: int = 8_000, folds: int = 4, at_threshold: float = 0.7, seed: int = 3, memory: int = 192 << 20) -> tuple[np.ndarray, float]:
     """Weights and intercept from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    Each of ``folds`` classifiers leaves out one fold of the sample; the labelled documents of that fold set
-    its threshold. The means of weights and thresholds make the model, shifted to score ``at_threshold`` there.
+    Each of ``folds`` classifiers leaves out one fold of the sample, which sets its threshold. The means of weights and
+    thresholds make the model, shifted to score ``at_threshold`` there. A task trains one or more folds, one after the other.
     """
-    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumnRenamed("doc_id", "k")
-    known = docs.select("doc_id").join(marks, F.col("doc_id") == F.col("k"), "left").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows
-    counts = {r.toxic: r.n for r in known}
+    marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("k")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    # a row may serve as a positive, as an unlabelled document, or as both; rows of equal id and text share one draw and
+    # count once in the sample, so neither the order of rows nor their partitions decide what is drawn
+    drawn = F.xxhash64(F.lit(seed), "doc_id", "text")
+    known = docs.select("doc_id", drawn.alias("drawn")).join(marks, F.col("doc_id") == F.col("k"), "left").select("drawn", "toxic")
+    known = settle(known, "toxicity-draws")
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # three rows
     toxic, labelled, total = counts.get(1, 0), counts.get(1, 0) + counts.get(0, 0), sum(counts.values())
     if not toxic:
         return np.zeros(DIMS), -np.inf
     prior = min(0.9, toxic / labelled) if prior is None else prior
-    # a row may serve as a positive, as an unlabelled document, or as both; rows of equal id and text share one draw and
-    # count once in the sample, so neither the order of rows nor their partitions decide what is drawn
-    drawn = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.select("doc_id", "text", drawn.alias("drawn")).join(marks, F.col("doc_id") == F.col("k"), "left")
     chance = F.pmod(F.col("drawn"), F.lit(1 << 30)) / float(1 << 30)
     p_rate, u_rate = min(1.0, positives / toxic), min(1.0, unlabelled / total)
-    roles = F.array_compact(F.array(F.when((F.col("toxic") == 1) & (chance < p_rate), F.lit(1)), F.when(1 - chance <= u_rate, F.lit(0))))
+    is_positive, is_unlabelled = (F.coalesce(F.col("toxic") == 1, F.lit(False)) & (chance < p_rate)), 1 - chance <= u_rate
     fold = F.pmod(F.shiftright("drawn", 32), F.lit(folds)).cast("int")
-    sample = rows.select("drawn", "text", "toxic", F.explode(roles).alias("positive"), fold.alias("fold")).dropDuplicates(["drawn", "positive"])
+    chosen = known.filter(is_positive | is_unlabelled).select("drawn", fold.alias("fold"), is_positive.alias("positive"), is_unlabelled.alias("unlabelled")).dropDuplicates(["drawn"])
+    # the chosen hashes are as many as the sample has documents; the texts come from a scan that drops the others
+    wanted = F.broadcast(chosen.withColumnRenamed("drawn", "wanted"))
+    sample = docs.select("text", drawn.alias("drawn")).join(wanted, F.col("drawn") == F.col("wanted")).dropDuplicates(["drawn"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             found, first = hashed_words([t or b"" for t in as_bytes(batch.column("text"))])
-            offsets, values = pa.array(first * PER_WORD, pa.int32()), pa.array(found.ravel())
-            yield pa.record_batch([*map(batch.column, ("drawn", "fold", "positive", "toxic")), pa.ListArray.from_arrays(offsets, values)], names=["drawn", "fold", "positive", "toxic", "f"])
-
-    def train_fold(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["without"].iat[0])
-        rows = rows.sort_values(["drawn", "positive"])  # the same order however the rows arrive
-        inside = (rows["fold"] != number).to_numpy()
-        positive = (rows["positive"] == 1).to_numpy()
-        found = rows["f"].to_numpy()
-        weights, bias = train(list(found[inside & positive]), list(found[inside & ~positive]), prior, seed + number)
-        test = rows[~inside & rows["toxic"].notna().to_numpy() & ((rows["toxic"] == 0).to_numpy() | positive)]
-        threshold = np.nan
-        if test["toxic"].nunique() == 2:
-            scores = np.array([bias + weights[f].sum() / np.sqrt(max(len(f) / PER_WORD, 1)) for f in test["f"]])
-            threshold = best_threshold(scores, test["toxic"].to_numpy(float), np.where(test["toxic"] == 1, 1 / p_rate, 1 / u_rate))
-        return pd.DataFrame({"number": [number], "weights": [weights.astype(np.float32).tobytes()], "bias": [bias], "threshold": [threshold]})
-
-    held = settle(sample.select("drawn", "fold", "positive", "toxic", "text").mapInArrow(features, "drawn long, fold int, positive int, toxic int, f array<int>"), "toxicity-sample")
-    dealt = held.withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    models = dealt.groupBy("without").applyInPandas(train_fold, "number int, weights binary, bias double, threshold double").collect()  # ``folds`` rows of a fixed size
+            bags = Bags.of([found[a:b].ravel() for a, b in zip(first[:-1], first[1:])])
+            offsets = pa.array(bags.first, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (bags.feature, bags.count)]
+            yield pa.record_batch([*map(batch.column, ("drawn", "fold", "positive", "unlabelled")), *lists, pa.array(bags.norm)], names=["drawn", "fold", "positive", "unlabelled", "feature", "count", "norm"])
+
+    def train_folds(rows: pa.Table) -> pa.Table:
+        def whole(name: str) -> np.ndarray:
+            return np.concatenate([c.flatten().to_numpy() for c in rows.column(name).chunks])
+
+        first = np.cumsum([0, *(n for c in rows.column("feature").chunks for n in c.value_lengths().to_pylist())])
+        bags = Bags(first, whole("feature"), whole("count"), rows.column("norm").to_numpy())
+        order = np.argsort(rows.column("drawn").to_numpy())  # the same however the rows arrive
+        fold, positive, unlabelled = (rows.column(c).to_numpy()[order] for c in ("fold", "positive", "unlabelled"))
+        made = []
+        for number in range(rows.column("task")[0].as_py(), folds, tasks):
+            inside = fold != number
+            weights, bias = train_rows(bags, order[inside & positive], bags, order[inside & unlabelled], prior, seed + number)
+            p_out, u_out = order[~inside & positive], order[~inside & unlabelled]
+            level = best_threshold(bags.scores(p_out, weights, bias), bags.scores(u_out, weights, bias), prior) if len(p_out) and len(u_out) else None
+            made.append((number, weights.astype(np.float32).tobytes(), bias, level))
+        columns = list(zip(*made))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("number", "weights", "bias", "threshold"), columns, (pa.int32(), pa.binary(), pa.float64(), pa.float64()))})
+
+    held = settle(sample.mapInArrow(features, "drawn long, fold int, positive boolean, unlabelled boolean, feature array<int>, count array<int>, norm double"), "toxicity-sample")
+    size = held.agg(F.coalesce(F.sum(F.size("feature")), F.lit(0))).first()[0] * 8
+    tasks = int(max(1, min(folds, memory // max(1, size))))
+    dealt = held.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    models = dealt.groupBy("task").applyInArrow(train_folds, "number int, weights binary, bias double, threshold double").collect()  # ``folds`` rows of a fixed size
     models.sort(key=lambda m: m.number)
     weights = np.mean([np.frombuffer(m.weights, dtype=np.float32) for m in models], axis=0)
-    bias, thresholds = float(np.mean([m.bias for m in models])), [m.threshold for m in models if m.threshold is not None and m.threshold == m.threshold]
+    bias, thresholds = float(np.mean([m.bias for m in models])), [m.threshold for m in models if m.threshold is not None]
     level = float(np.mean(thresholds)) if thresholds else 0.0
     return weights, bias - level + float(np.log(at_threshold / (1 - at_threshold)))
 
