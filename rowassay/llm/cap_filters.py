@@ -3,15 +3,15 @@
 Vectors are normalised, rotated at random and cut into four blocks; each block has its own code of random
 unit vectors, and a filter direction is any combination of one code word per block, scaled to length one. A
 vector is list-decoded to every direction within angle ``nearest + slack * reach`` of it, where ``nearest`` is its
-angle to its closest direction and ``reach`` the angle of the wanted cosine. With a slack of 1 every pair meets
-for certain: the direction closest to the middle of two vectors at angle ``reach`` lies within ``nearest +
-reach`` of both, by the triangle inequality. In d dimensions a step in a random direction (the rotation makes it
-one) changes the angle to a fixed direction by about ``reach / sqrt(d)`` only; a pair is missed if neither
-vector's closest direction is in the other's list, so the two changes must exceed ``2 * slack * reach``
-together. The default slack of 0.6 is then over six standard deviations for 64 dimensions, a chance of 1e-9 for a
-link; below 48 dimensions the slack is raised to 1. The number of directions follows the number of vectors.
-
-Vectors meet in a join on (label, length, filter). A 16-byte sketch (16 rotated coordinates, rounded) gives a
+angle to its closest direction and ``reach`` the angle of the wanted cosine. Two vectors meet if the closest direction of
+one is in the other's list. With a slack of 1 every pair does for certain: the one whose closest direction is closer has it
+within ``reach + nearest`` of the other, by the triangle inequality. In d dimensions a step in a random direction (the rotation makes it
+one) changes the angle to a fixed direction by about ``reach / sqrt(d)`` only, and a pair is missed only if two such changes exceed
+``2 * slack * reach`` together. The slack is therefore ``SIGMAS / sqrt(d)``, at most 1: nearly seven standard deviations in
+any dimension, a chance below 1e-9 for a link. The number of directions follows the number of vectors.
+
+So each class of vectors is a row for every direction of its list, and looks others up under its closest one alone: a join on (label,
+length, filter) makes a pair at most twice, however many directions both lists share. A 16-byte sketch (16 rotated coordinates, rounded) gives a
 lower bound of the distance that drops other pairs within the join; what remains is verified in double
 precision on the whole vectors.
 
@@ -19,7 +19,7 @@ Equal vectors of a label are one class with a count, so copies are never paired
 
 Defined cases: vectors that are NULL, empty, zero, or hold NULL or non-finite components, and rows with a
 NULL label or NULL id, link with nothing; vectors of different length do not link; each row of a repeated id
-counts as a vector; an empty table gives no rows.
+counts as a vector, linked by its own vector only; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from rowassay.session import settle
 BLOCKS = 4
 SKETCH = 16  # coordinates, one byte each
 STEP = 127.0
+SIGMAS = 4.8
+SUMS = 1 << 21  # half sums of all vectors that are decoded together
 
 
 def usable(vector: Column) -> Column:
@@ -55,8 +57,8 @@ class ProductCode:
         self.code = code / np.linalg.norm(code, axis=2, keepdims=True) / np.sqrt(BLOCKS)
         self.words = words
 
-    def decode(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Rotated vectors, and the directions that each of them exceeds.
+    def decode(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Rotated vectors, the closest direction of each, and the directions that each of them exceeds.
 
         The products of the first two and of the last two blocks are summed apart; the second list is
         sorted, so the partners that lift a sum over the threshold are a prefix found by bisection.
@@ -75,16 +77,17 @@ class ProductCode:
             n = np.searchsorted(down, h[firsts] - low, side="right")
             at = np.repeat(np.cumsum(n) - n, n)
             found.append(np.repeat(firsts, n) * square + order[np.arange(n.sum()) - at])
-        return turned, found
+        return turned, head.argmax(axis=1) * square + tail.argmax(axis=1), found
 
 
-def filter_rows(classes: DataFrame, words: int, reach: float, slack: float, seed: int) -> DataFrame:
-    """(label, length, filter, rep, s0, s1): one row for each class and filter direction."""
+def filter_rows(classes: DataFrame, words: int, reach: float, slack: float | None, seed: int) -> DataFrame:
+    """(label, length, filter, closest, rep, s0, s1): one row for each class and filter direction."""
+    step = max(1, min(512, SUMS // words**2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, ProductCode] = {}
         for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
                 lengths = batch.column("length").to_numpy(zero_copy_only=False)
                 for length in np.unique(lengths).tolist():
                     rows = batch.filter(pa.array(lengths == length))
@@ -92,19 +95,21 @@ def filter_rows(classes: DataFrame, words: int, reach: float, slack: float, seed
                         codes[length] = ProductCode(length, words, seed)
                     vectors = rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
                     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-                    turned, found = codes[length].decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), reach * (slack if length >= 48 else 1.0))
+                    own = min(1.0, SIGMAS / np.sqrt(length)) if slack is None else slack
+                    turned, closest, found = codes[length].decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), reach * own)
                     small = np.zeros((len(turned), SKETCH), dtype=np.int8)
                     small[:, : min(SKETCH, turned.shape[1])] = np.rint(turned[:, :SKETCH] * STEP)
                     halves = small.view("<i8")
                     n = np.array(list(map(len, found)))
-                    take = pa.array(np.repeat(np.arange(len(n)), n))
+                    take, filters = pa.array(np.repeat(np.arange(len(n)), n)), np.concatenate(found)
+                    is_closest = pa.array(filters == np.repeat(closest, n))
                     yield pa.record_batch(
-                        [rows.column("label").take(take), rows.column("length").take(take), np.concatenate(found), rows.column("rep").take(take), np.repeat(halves[:, 0], n), np.repeat(halves[:, 1], n)],
-                        names=["label", "length", "filter", "rep", "s0", "s1"],
+                        [rows.column("label").take(take), rows.column("length").take(take), filters, is_closest, rows.column("rep").take(take), np.repeat(halves[:, 0], n), np.repeat(halves[:, 1], n)],
+                        names=["label", "length", "filter", "closest", "rep", "s0", "s1"],
                     )
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "length", "rep", "vector").mapInArrow(run, f"label {label}, length int, filter long, rep long, s0 long, s1 long")
+    return classes.select("label", "length", "rep", "vector").mapInArrow(run, f"label {label}, length int, filter long, closest boolean, rep long, s0 long, s1 long")
 
 
 def sketch_distance() -> Column:
@@ -120,17 +125,17 @@ def sketch_distance() -> Column:
     return total
 
 
-def links(classes: DataFrame, cosine: float, slack: float = 0.6, seed: int = 7) -> DataFrame:
-    """(a, b) pairs, a < b, of class representatives with at least that cosine and equal labels."""
+def links(classes: DataFrame, cosine: float, slack: float | None = None, seed: int = 7) -> DataFrame:
+    """(a, b) pairs, a < b, of class numbers with at least that cosine and equal labels."""
     reach = float(np.arccos(cosine))
-    words = int(min(64, max(6, np.ceil((classes.count() / 4) ** (1 / BLOCKS)))))
+    words = int(max(6, np.ceil((classes.count() / 4) ** (1 / BLOCKS))))
     rows = settle(filter_rows(classes, words, reach, slack, seed), "cap-filters")
-    left = rows.select(F.col("label").alias("la"), F.col("length").alias("na"), F.col("filter").alias("fa"), F.col("rep").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
+    left = rows.filter("closest").select(F.col("label").alias("la"), F.col("length").alias("na"), F.col("filter").alias("fa"), F.col("rep").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
     right = rows.select(F.col("label").alias("lb"), F.col("length").alias("nb"), F.col("filter").alias("fb"), F.col("rep").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
     # unit vectors at angle ``reach`` are 2 sin(reach / 2) apart; each coordinate is rounded by half a step at most
     limit = int(np.ceil((2 * np.sin(reach / 2) * STEP + np.sqrt(SKETCH)) ** 2)) + 1
-    near = (F.col("la") == F.col("lb")) & (F.col("na") == F.col("nb")) & (F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")) & (sketch_distance() <= limit)
-    pairs = left.join(right, near).select("a", "b").distinct()
+    near = (F.col("la") == F.col("lb")) & (F.col("na") == F.col("nb")) & (F.col("fa") == F.col("fb")) & (F.col("a") != F.col("b")) & (sketch_distance() <= limit)
+    pairs = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     unit = classes.select("rep", "label", "vector", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x)).alias("norm"))
     one, two = (unit.select(F.col("rep").alias(f"r{i}"), F.col("label").alias(f"l{i}"), F.col("vector").alias(f"v{i}"), F.col("norm").alias(f"n{i}")) for i in (1, 2))
     product = F.aggregate(F.zip_with("v1", "v2", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
@@ -145,14 +150,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     fit = plain.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("vector")))
     # scaling by the largest component keeps squares in range and leaves the cosine as it is
     fit = fit.withColumn("vector", F.when((largest > 1e100) | (largest < 1e-100), F.transform("vector", lambda x: x / largest)).otherwise(F.col("vector")))
-    classes = settle(fit.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("length", F.size("vector")), "vector-classes")
+    # a class is numbered once and written: ids may repeat
+    classes = fit.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("rep"), "*", F.size("vector").alias("length")), "vector-classes")
     pairs = settle(links(classes, cosine), "vector-links")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.groupBy("rep").agg(F.sum("n").alias("others"))
-    degree = both.join(sizes, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("others").alias("others"))
-    roots = components(pairs).withColumnRenamed("node", "k")
-    named = classes.join(degree, classes.rep == degree.a, "left").join(roots, F.col("rep") == F.col("k"), "left")
-    named = named.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    degree = both.join(classes.select("rep", "n"), F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("n").alias("others"))
+    roots = classes.select("rep", "first").join(components(pairs), F.col("rep") == F.col("node"), "left").select("rep", "first", F.coalesce("root", "rep").alias("root"))
+    smallest = roots.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
+    named = classes.join(degree, classes.rep == degree.a, "left").join(roots.join(smallest, F.col("root") == F.col("of")).select(F.col("rep").alias("k"), "component_id"), F.col("rep") == F.col("k"))
+    named = named.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     linked = fit.join(named, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("vec_id", "n_links", "component_id")
     alone = plain.filter(~(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("vector")))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
