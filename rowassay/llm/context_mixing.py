@@ -48,7 +48,7 @@ CHUNK = 1 << 14  # slots in one row of counts
 SALTS = 8
 COUNTED = 1 << 21  # path steps that wait until they are counted together
 BLOCK = 128  # symbols coded before weights change
-LANES = 160  # documents coded side by side
+LANES = 64  # documents coded side by side: their arrays stay in the cache
 GATES = 64
 STEP = np.float32(1 / 15)  # of a stored logit
 MAP = 33  # cells of the adaptive map, for logits from -8 to 8
