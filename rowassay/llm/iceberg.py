@@ -2,15 +2,15 @@
 
 A term is a run of letters (ASCII letters, lower-cased, and everything beyond ASCII). A language keeps the terms that
 occur in at least ``least`` of its documents. Rare terms are most of a vocabulary, so they are never counted by group:
-prefixes are refined level by level. At a level of ``n`` bytes every document says which n-byte beginnings of longer terms it
-holds; beginnings in fewer than ``least`` documents of the language are discarded, as no term below them can be
-kept, and only terms under a surviving beginning reach the next level, of twice the length. Terms that end within
-a level are complete there: they alone are counted by language and source, occurrences and documents
-together, and the kept ones remain. Levels end when no beginning survives. Documents are counted row by row, so a
-document counts a beginning once however many of its terms share it, and counts add up across tasks.
+prefixes are refined level by level. At a level of ``n`` bytes every document says which terms of up to n bytes and which n-byte
+beginnings of longer terms it holds; what is in fewer than ``least`` documents of the language is discarded, as no term below such a beginning can be
+kept, and only terms under a surviving beginning reach the next level, of twice the length. Terms that survive are
+complete and kept; levels end when no beginning survives. Then the kept terms alone are counted by language and source. Documents are counted
+row by row, so a document counts a beginning once however many of its terms share it, and counts add up across tasks.
 
 What the next level may look at is broadcast as a bitmap of ``2**FILTER_BITS`` bits, whatever the number of
-beginnings: a beginning whose bit is set by another one is looked at in vain, and the exact counts drop it then.
+beginnings: one whose bit is set by another is looked at in vain, and the exact counts drop it then. The kept terms are known to the
+last pass in the same way, and joined exactly after it.
 
 The audit compares groups of (language, source) by smoothed whole-number probabilities; see ``divergence``. Pairs of sources
 are summed over dense blocks of terms in numpy, so a task emits sums by pair, never a row by term and pair. The numbers of the groups
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,80 +68,97 @@ def surviving_bits(prefixes: DataFrame) -> bytes:
     return bytes(bits)
 
 
+def kept_by(bits: bytes, mask: int = (1 << FILTER_BITS) - 1):
+    """A test whether the bitmap has the bit of a term or beginning of a language."""
+    seeds: dict[bytes, int] = {}
+
+    def test(lang: bytes, terms: Iterable[bytes], length: int | None) -> list[bytes]:
+        if lang not in seeds:
+            seeds[lang] = zlib.crc32(lang + b"\0")
+        seed, crc = seeds[lang], zlib.crc32
+        return [t for t in terms if bits[(at := crc(t[:length], seed) & mask) >> 3] >> (at & 7) & 1]
+
+    return test
+
+
 def level_counts(docs: DataFrame, shorter: int, longest: int, bits) -> DataFrame:
-    """(whole, lang, source, term, n, docs) of one level.
+    """(lang, term, docs) of one level: the documents that hold a term, or a beginning of longer terms.
 
-    Terms of ``shorter`` < length <= ``longest`` bytes are whole: occurrences and documents by source. Longer
-    ones give their first ``longest`` bytes, with the documents that hold any such term; source is empty there.
+    Terms of ``shorter`` < length <= ``longest`` bytes are complete and stand for themselves; longer ones are cut after ``longest``
+    bytes and marked by a zero byte, which no term holds. Beyond the first level only terms under a beginning in ``bits`` count.
     """
-    mask = (1 << FILTER_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value if bits is not None else b""
-        seeds: dict[bytes, int] = {}
-        groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-        below: dict[bytes, Counter] = {}
+        known = kept_by(bits.value) if bits is not None else None
+        counts: dict[bytes, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, held) in groups.items():
-                if n:
-                    yield rows(True, lang, source, list(n), list(n.values()), [held[t] for t in n])
-            for lang, held in below.items():
+            for lang, held in counts.items():
                 if held:
-                    yield rows(False, lang, b"", list(held), [0] * len(held), list(held.values()))
-            groups.clear()
-            below.clear()
+                    yield pa.record_batch([pa.array([lang.decode()] * len(held)), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
+            counts.clear()
 
-        def rows(whole: bool, lang: bytes, source: bytes, terms: list[bytes], n: list[int], held: list[int]) -> pa.RecordBatch:
-            size = len(terms)
-            return pa.record_batch(
-                [pa.array([whole] * size), pa.array([lang.decode()] * size), pa.array([source.decode()] * size), pa.array(terms, pa.binary()), pa.array(n, pa.int64()), pa.array(held, pa.int64())],
-                names=["whole", "lang", "source", "term", "n", "docs"],
-            )
+        for batch in sliced(batches, "text"):
+            for lang, text in zip(*(as_bytes(batch.column(c)) for c in ("lang", "text"))):
+                own: Iterable[bytes] = set(terms_of(text))
+                if known:
+                    own = known(lang, [t for t in own if len(t) > shorter], shorter)
+                counts.setdefault(lang, Counter()).update({t if len(t) <= longest else t[:longest] + b"\0" for t in own})
+            if sum(map(len, counts.values())) > HELD:
+                yield from out()
+        yield from out()
+
+    made = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
+    return made.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
+
+
+def group_counts(docs: DataFrame, bits) -> DataFrame:
+    """(lang, source, term, n): occurrences by group of the terms in ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = kept_by(bits.value)
+        groups: dict[tuple[bytes, bytes], Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), n in groups.items():
+                if kept := known(lang, n, None):
+                    yield pa.record_batch([pa.array([lang.decode()] * len(kept)), pa.array([source.decode()] * len(kept)), pa.array(kept, pa.binary()), pa.array([n[t] for t in kept], pa.int64())], names=["lang", "source", "term", "n"])
+            groups.clear()
 
         for batch in sliced(batches, "text"):
             for lang, source, text in zip(*(as_bytes(batch.column(c)) for c in ("lang", "source", "text"))):
-                own = Counter(terms_of(text))
-                if shorter:
-                    seed = seeds.get(lang)
-                    if seed is None:
-                        seed = seeds[lang] = zlib.crc32(lang + b"\0")
-                    own = {t: n for t, n in own.items() if len(t) > shorter and known[(at := zlib.crc32(t[:shorter], seed) & mask) >> 3] >> (at & 7) & 1}
-                n, held = groups.setdefault((lang, source), (Counter(), Counter()))
-                ended = {t: c for t, c in own.items() if len(t) <= longest}
-                n.update(ended)
-                held.update(ended.keys())
-                if len(ended) < len(own):
-                    below.setdefault(lang, Counter()).update({t[:longest] for t in own if len(t) > longest})
-            if sum(len(n) for n, _ in groups.values()) + sum(map(len, below.values())) > HELD:
+                groups.setdefault((lang, source), Counter()).update(terms_of(text))
+            if sum(map(len, groups.values())) > HELD:
                 yield from out()
         yield from out()
 
-    made = docs.mapInArrow(run, "whole boolean, lang string, source string, term binary, n long, docs long")
-    return made.groupBy("whole", "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    made = docs.mapInArrow(run, "lang string, source string, term binary, n long")
+    return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
-def kept_terms(docs: DataFrame, least: int = 3, first: int = 4) -> DataFrame:
+def kept_terms(docs: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
     """(lang, source, term, n): occurrences by group of every term in at least ``least`` documents of its language.
 
     ``docs`` as ``read_documents`` gives them; ``first`` is the length of the first level's beginnings in bytes.
     """
+    context = docs.sparkSession.sparkContext
     shorter, longest, bits, complete = 0, first, None, []
     while True:
-        level = settle(level_counts(docs, shorter, longest, bits), "iceberg-level")
-        enough = level.groupBy("whole", "lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("whole", "lang", "term")
-        ended = enough.filter("whole").select(F.col("lang").alias("l"), F.col("term").alias("t"))
-        complete.append(level.filter("whole").join(ended, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t")), "left_semi").select("lang", "source", "term", "n"))
-        prefixes = enough.filter("NOT whole").select("lang", F.col("term").alias("prefix"))
-        found = surviving_bits(prefixes)
+        beginning = F.substring("term", longest + 1, 1) == F.lit(b"\0")
+        level = settle(level_counts(docs, shorter, longest, bits).filter(F.col("docs") >= least).select("lang", "term", beginning.alias("cut")), "iceberg-level")
+        complete.append(level.filter("NOT cut").select("lang", "term"))
+        found = surviving_bits(level.filter("cut").select("lang", F.substring("term", 1, longest).alias("prefix")))
         if not any(found):
             break
-        bits = docs.sparkSession.sparkContext.broadcast(found)
+        bits = context.broadcast(found)
         shorter, longest = longest, 2 * longest
     rows = complete[0]
     for more in complete[1:]:
         rows = rows.unionByName(more)
-    return settle(rows, "iceberg-terms")
+    bits = context.broadcast(surviving_bits(rows.withColumnRenamed("term", "prefix")))
+    rows = rows.select(F.col("lang").alias("l"), F.col("term").alias("t"))
+    # a term that shares its bit with a kept one is dropped here
+    return settle(group_counts(docs, bits).join(rows, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t")), "left_semi"), "iceberg-terms")
 
 
 def probability(n: Column, total: Column, terms: Column) -> Column:
