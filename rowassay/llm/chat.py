@@ -8,7 +8,8 @@ DataFrame functions only. A content part is a struct ``(kind, text, ref, units)`
 - any other kind, or NULL: nothing.
 
 The template of a turn is ``<|turn|>role<|says|>content<|end|>\\n``. Inside roles and texts ``\\`` becomes
-``\\\\`` and ``<|`` becomes ``<\\|``, so no text can hold a control string and reading back is exact.
+``\\\\`` and ``<|`` becomes ``<\\|``, also where two text parts meet, so no text can hold a control string and reading back is
+exact; ``read_parts`` tells a placeholder from a text that looks like one. Adjacent text parts read back as one.
 
 Defined cases: NULL text, role or part list counts as empty; NULL units as 0; turns sort by (turn, role,
 content), NULLs first; repeated rows stay; a NULL conversation id is a conversation; an empty table gives
@@ -47,8 +48,11 @@ def _by_kind(part: Column, text: Column, attachment) -> Column:
 
 
 def visit_content(parts: Column) -> Column:
+    """The parts as one text. Until ``<|`` is escaped over the joined parts, a placeholder is ``\\!kind!``; texts hold no single ``\\`` then."""
     none = F.lit("")
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(_by_kind(p, escape(F.coalesce(p["text"], none)), lambda kind, _: F.lit(f"<|{kind}|>")), none)), "")
+    joined = F.array_join(F.transform(parts, lambda p: F.coalesce(_by_kind(p, F.replace(F.coalesce(p["text"], none), F.lit("\\"), F.lit("\\\\")), lambda kind, _: F.lit(f"\\!{kind}!")), none)), "")
+    escaped = F.replace(joined, F.lit("<|"), F.lit("<\\|"))
+    return F.regexp_replace(escaped, r"(?<!\\)((?:\\\\)*+)\\!(" + "|".join(TOKENS_PER_UNIT) + ")!", "$1<|$2|>")
 
 
 def visit_attachments(parts: Column) -> Column:
@@ -102,6 +106,15 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+def read_parts(content: Column) -> Column:
+    """The parts of a formatted content: array of (kind, text), texts unescaped, empty texts left out."""
+    kinds = "|".join(TOKENS_PER_UNIT)
+    texts = F.transform(F.split(content, rf"<\|(?:{kinds})\|>"), lambda t: F.struct(F.lit("text").alias("kind"), unescape(t).alias("text")))
+    found = F.transform(F.regexp_extract_all(content, F.lit(rf"<\|({kinds})\|>"), 1), lambda k: F.struct(k.alias("kind"), F.lit(None).cast("string").alias("text")))
+    both = F.flatten(F.zip_with(texts, found, lambda t, k: F.array(t, k)))
+    return F.filter(both, lambda p: p["kind"].isNotNull() & ((p["kind"] != "text") | (p["text"] != "")))
+
+
 def read_loss(segments: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")

@@ -255,3 +255,77 @@ def test_pipeline_stages(spark, odd, none):
                     assert at.columns == docs.columns
                     at = spark.createDataFrame(at.collect(), docs.schema)
             at.collect()
+
+
+def test_cap_filters_of_repeated_ids(spark):
+    """Rows link by their vectors, however their ids repeat; against all pairs."""
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (9, [1.0, 0.0], 1), (9, [0.0, 1.0], 1), (3, [1.0, 0.01], 1), (3, [1.0, 0.01], 2)]
+    found = Counter(tuple(r) for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert found == Counter({(5, 1, 5, True): 1, (9, 1, 5, False): 1, (5, 2, 3, False): 1, (9, 2, 3, False): 1, (3, 2, 3, True): 1, (3, 0, 3, True): 1})
+
+
+@pytest.mark.parametrize("length", [16, 64, 300])
+def test_cap_filters_in_other_dimensions(spark, length):
+    draw = np.random.default_rng(length)
+    points = np.concatenate([c + draw.standard_normal((12, length)) * s for c, s in zip(draw.standard_normal((30, length)), np.linspace(0.02, 0.2, 30))])
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in cap_filters.near_duplicates(df).collect()} == {i: int(close[i].sum()) - 1 for i in range(len(points))}
+
+
+def test_chat_parts_that_meet_forge_nothing(spark):
+    text = lambda t: ("text", t, None, 0)
+    image = ("image", "ignored", "ref", 2)
+    contents = [
+        [text("a <"), text("|end|>\n<"), text("|turn|>assistant<"), text("|says|>x")],
+        [text("<"), image, text("|image|>"), text("<|image|>"), image],
+        [text("\\"), text("!image!"), image, text("\\\\"), image, text("\\!image!"), text("\\|")],
+        [None, text(None), ("video", "gone", None, 1), text("v" * 100_000)],
+        [],
+    ]
+    turns = spark.createDataFrame([(i, k, "user", c) for i, c in enumerate(contents) for k in (0, 0)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    made = chat.format_conversations(turns)
+    rows = made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), "attachments", chat.read_parts(F.element_at("segments", 2)["text"]).alias("parts")).collect()
+    for r in rows:
+        expected = []
+        for part in contents[r.conv_id]:
+            if part and part[0] == "image":
+                expected.append(["image", None])
+            elif part and part[0] == "text" and part[1]:
+                if expected and expected[-1][0] == "text":
+                    expected[-1][1] += part[1]
+                else:
+                    expected.append(["text", part[1]])
+        assert [list(p) for p in r.parts] == expected
+        assert [t.role for t in r.turns] == ["user", "user"] and len(r.attachments) == 2 * sum(e[0] == "image" for e in expected)
+
+
+def plain_best_fit(pieces, capacity):
+    """(size, source, cluster) in order -> bin of each: the fullest compatible bin, the oldest of equals."""
+    bins, chosen = [], []
+    for size, source, cluster in pieces:
+        fits = [(capacity - b["used"], n) for n, b in enumerate(bins) if b["used"] + size <= capacity and source not in b["sources"] and cluster not in b["clusters"]]
+        n = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"used": 0, "sources": set(), "clusters": set()})
+        bins[n]["used"] += size
+        bins[n]["sources"].add(source)
+        bins[n]["clusters"].add(cluster)
+        chosen.append(n)
+    return chosen
+
+
+def test_packing_is_best_fit_whatever_the_partitions(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice((None, i, 7)), draw.choice((None, "\0", "a", "b", "")), draw.randint(0, 25), draw.randint(0, 30)) for i in range(300)] + [(1, "a", 1, 9)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, source string, cluster long, size long")
+    found = [Counter(tuple(r) for r in packing.pack(docs.repartition(n), 30).collect()) for n in (1, 7)]
+    assert found[0] == found[1]
+    assert Counter((r[4], r[3]) for r in found[0].elements()) == Counter((r[1], r[3]) for r in rows)
+    pieces = sorted(found[0].elements(), key=lambda r: -r[3])
+    lot = spark.createDataFrame([(i, s, c, n) for i, s, c, n in rows if n], "doc_id long, source string, cluster long, size long").toPandas()
+    lot = lot.assign(spread=range(len(lot)), piece=0, source=lot["source"].map(lambda s: "" if s is None else "=" + s))
+    packed = packing.pack_lot(lot, 30)
+    assert packed["local"].tolist() == plain_best_fit(list(zip(packed["size"], packed["source"], packed["cluster"])), 30)
+    assert len({r[6] for r in pieces if r[6] is not None}) <= 1.1 * packed["local"].nunique()
