@@ -9,6 +9,9 @@ from rowassay.functions.predicates import contains_text
 from rowassay.functions.scoring import severity_rank
 
 
+SAMPLED = 32  # order values drawn for each stretch
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row per key (W2) by ``order``, as an aggregation.
 
@@ -22,23 +25,26 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 def _neighbour(rows: DataFrame, keys: list[str], order: list[str], wanted: list[str], ahead: bool, pieces: int) -> DataFrame:
     """Add ``other``: the wanted columns of the next (or previous) row of the key, NULL at the end.
 
-    The first order column's approximate quantiles cut the whole table into ``pieces`` stretches of like many
-    rows; each (key, stretch) is ordered on its own and only its first (or last) row meets the neighbouring
-    stretch. So even one key that owns a third of the table spreads over many tasks, and NULL keys and
-    numbers (first in order) are rows like any other.
+    Boundaries drawn from the rows' own order values (those with the smallest hashes, ``SAMPLED`` for each piece) cut the order into about
+    ``pieces`` like stretches; each (key, stretch) is ordered on its own and only its first (or last) row meets the neighbouring
+    stretch. So even one key that owns a third of the table spreads over many tasks. Order columns of any type serve, NULL keys and
+    NULL order values (first in order) are rows like any other, and any boundaries give the same result. Rows with equal
+    order values stay in one stretch.
     """
-    other = F.struct(*wanted)
+    other, at = F.struct(*wanted), F.struct(*order)
     step = F.lead if ahead else F.lag
-    first = F.col(order[0]).cast("double")
-    cuts = rows.agg(F.percentile_approx(first, [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0] or []
-    stretch = sum(((first >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    cut = rows.withColumn("_stretch", F.when(first.isNull(), -1).otherwise(stretch))
+    drawn = rows.select(at.alias("at")).orderBy(F.xxhash64("at")).limit(pieces * SAMPLED)
+    chosen = F.sort_array(F.collect_set("at"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(pieces - 1)), lambda i: F.get(chosen, (F.size(chosen) * i / pieces).cast("int")))
+    bounded = rows.withColumn("_bounds", drawn.agg(places).scalar())
+    cut = bounded.withColumn("_stretch", F.size(F.filter("_bounds", lambda b: b <= at))).drop("_bounds")
     inside = Window.partitionBy(*keys, "_stretch").orderBy(*order)
-    edge = (F.min_by if ahead else F.max_by)(other, F.struct(*order))
-    edges = cut.groupBy(*keys, "_stretch").agg(edge.alias("_edge"))
-    across = edges.withColumn("_beyond", step("_edge").over(Window.partitionBy(*keys).orderBy("_stretch"))).drop("_edge")
-    joined = join_null_safe(cut.withColumn("other", step(other).over(inside)), across, [*keys, "_stretch"])
-    return joined.withColumn("other", F.coalesce("other", "_beyond")).drop("_beyond", "_stretch")
+    at_edge = (F.lag if ahead else F.lead)(F.lit(1)).over(inside).isNull()
+    placed = cut.withColumns({"other": step(other).over(inside), "_edge": at_edge})
+    across = placed.where("_edge").select(*keys, "_stretch", other.alias("_own"))
+    across = across.withColumn("_beyond", step("_own").over(Window.partitionBy(*keys).orderBy("_stretch"))).drop("_own")
+    joined = join_null_safe(placed, across, [*keys, "_stretch"])
+    return joined.withColumn("other", F.coalesce("other", "_beyond")).drop("_beyond", "_stretch", "_edge")
 
 
 def lineage(versions: DataFrame, key: str = "dataset_id", number: str = "version_number", extra=(), pieces: int = 16) -> DataFrame:
@@ -85,9 +91,9 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataF
 
 
 def top_findings(findings: DataFrame, limit: int = 5) -> DataFrame:
-    """Findings with the highest impact: severity, then value, then column."""
+    """Findings with the highest impact: severity, then value, then column, kind and id."""
     ranked = findings.withColumn("severity_rank", severity_rank(F.col("severity")))
-    return ranked.orderBy(F.desc("severity_rank"), F.desc("value"), F.asc("column_name"), F.asc("kind")).limit(limit)
+    return ranked.orderBy(F.desc("severity_rank"), F.desc("value"), F.asc("column_name"), F.asc("kind"), F.asc("finding_id")).limit(limit)
 
 
 def heaviest_columns(breakdown: DataFrame, limit: int = 8) -> DataFrame:

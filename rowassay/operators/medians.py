@@ -1,69 +1,104 @@
-"""Exact medians without bringing a column into one task.
+"""Exact order statistics without bringing a column into one task.
 
-Spark's ``median`` keeps every distinct value of a column in one reducer. Here the middle ranks are
-located by two rounds of bucket counts over the already aggregated values: first on a logarithmic
-scale, then in equal steps inside the bucket that holds the middle. Both bucket maps never decrease
-with the value, so the bucket found is right for any distribution; only the values of that last
-bucket are put in order.
+Spark's ``median`` keeps every distinct value of a column in one reducer. Here every numeric type gets an image in whole numbers that
+keeps its order, and the value at a rank is found digit by digit: the values are counted by the image's leading bits, the
+bucket that holds the rank is kept, and only its values are counted by the next bits. After the last digit a bucket is a
+single value, so no bucket is ever put in order, whatever the distribution. A round counts at most ``2**DIGIT`` buckets
+for a rank; all ranks of all columns go down together.
+
+Images: whole numbers are their own. A double is its IEEE pattern, made by arithmetic (exponent and fraction), negated for
+negative values; NaN comes last and both zeros are equal. A decimal is three words in base 10^13, each with the
+number's sign, so 38 digits keep their order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
-LOG_STEPS = 16  # logarithmic buckets per factor e; at most about 47 000 buckets over all doubles
-LOG_OFFSET = 12_000  # keeps the bucket of the smallest positive double above that of zero
-FINE_STEPS = 4_096
-LARGEST = 1.7976931348623157e308
-
-
-# Order-keeping bucket of a double: sign times a shifted, floored logarithm. NaN comes last.
-COARSE = f"""coalesce(CASE
-    WHEN isnan(value) THEN 2000000
-    WHEN value = 0.0 THEN 0
-    ELSE CAST(signum(value) AS INT) * (CAST(floor(ln(least(abs(value), {LARGEST}D)) * {LOG_STEPS}) AS INT) + {LOG_OFFSET})
-END, 3000000)"""
-
-# Equal-step bucket between the smallest and largest value of the coarse bucket.
-FINE = f"""coalesce(CASE
-    WHEN high > low THEN CAST(floor((greatest(least(value, {LARGEST}D), -{LARGEST}D) - greatest(low, -{LARGEST}D))
-        / (least(high, {LARGEST}D) - greatest(low, -{LARGEST}D)) * {FINE_STEPS}) AS INT)
-END, 0)"""
-
-
-# Middle ranks are (N+1) div 2 and (N+2) div 2, 1-based; they coincide for odd N. `upto` is the running
-# count with a bucket or value, `base` what lies in front of the first one kept. At most two buckets
-# per column hold a middle rank, so both broadcast sides have at most 2 x columns rows.
-MEDIANS = f"""
-WITH coarse AS (SELECT position, value, n, {COARSE} AS coarse FROM {{counts}}),
-coarse_counts AS (
-  SELECT position, coarse, sum(n) AS n, min(value) AS low, max(value) AS high FROM coarse GROUP BY position, coarse),
-coarse_running AS (
-  SELECT *, sum(n) OVER (PARTITION BY position) AS total,
-    sum(n) OVER (PARTITION BY position ORDER BY coarse ROWS UNBOUNDED PRECEDING) AS upto FROM coarse_counts),
-coarse_middle AS (
-  SELECT position, coarse, low, high, (total + 1) div 2 AS lower_rank, (total + 2) div 2 AS upper_rank,
-    min(upto - n) OVER (PARTITION BY position) AS base
-  FROM coarse_running WHERE upto - n < (total + 2) div 2 AND upto >= (total + 1) div 2),
-fine AS (
-  SELECT /*+ BROADCAST(m) */ c.position, c.coarse, {FINE} AS fine, c.value, c.n, lower_rank, upper_rank, base
-  FROM coarse c JOIN coarse_middle m ON c.position = m.position AND c.coarse = m.coarse),
-fine_counts AS (
-  SELECT position, coarse, fine, lower_rank, upper_rank, base, sum(n) AS n FROM fine
-  GROUP BY position, coarse, fine, lower_rank, upper_rank, base),
-fine_running AS (
-  SELECT *, base + sum(n) OVER (PARTITION BY position ORDER BY coarse, fine ROWS UNBOUNDED PRECEDING) AS upto FROM fine_counts),
-fine_middle AS (
-  SELECT position, coarse, fine, lower_rank, upper_rank, min(upto - n) OVER (PARTITION BY position) AS base
-  FROM fine_running WHERE upto - n < upper_rank AND upto >= lower_rank),
-last_values AS (
-  SELECT /*+ BROADCAST(m) */ f.position, f.value, f.n, m.lower_rank, m.upper_rank,
-    m.base + sum(f.n) OVER (PARTITION BY f.position ORDER BY f.value ROWS UNBOUNDED PRECEDING) AS upto
-  FROM fine f JOIN fine_middle m ON f.position = m.position AND f.coarse = m.coarse AND f.fine = m.fine)
-SELECT position, (min(value) + max(value)) / 2.0D AS median FROM last_values
-WHERE upto - n < upper_rank AND upto >= lower_rank GROUP BY position"""
-
-
-def medians(counts: DataFrame) -> DataFrame:
-    """Median per position from rows (position, value double, n). NaN sorts last, as a value."""
-    return counts.sparkSession.sql(MEDIANS, counts=counts)
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+DIGIT = 22  # bits of the first digit of a word; the later ones have 21
+DIGITS = (42, 21, 0)  # shifts within a word of 64 bits
+BASE = 10_000_000_000_000
+SMALLEST_NORMAL = "2.2250738585072014E-308D"
+SMALLEST = "4.9E-324D"
+
+
+def _double_image(counts: DataFrame) -> DataFrame:
+    a = "abs(CAST(value AS DOUBLE))"
+    guess = counts.selectExpr("*", f"try_cast(floor(log2({a})) AS INT) AS guess")
+    # the logarithm is rounded, so the exponent may be one off
+    exact = guess.selectExpr("*", f"guess + CAST(pow(2D, guess + 1) <= {a} AS INT) - CAST(pow(2D, guess) > {a} AS INT) AS power")
+    size = f"""CASE WHEN {a} = double('infinity') THEN 9218868437227405312L WHEN {a} < {SMALLEST_NORMAL} THEN CAST({a} / {SMALLEST} AS BIGINT)
+        ELSE (power + 1022) * 4503599627370496L + CAST({a} / pow(2D, power) * 4503599627370496D AS BIGINT) END"""
+    return exact.selectExpr("*", f"CASE WHEN isnan(value) THEN 9223372036854775807L WHEN value = 0 THEN 0L WHEN value > 0 THEN {size} ELSE -({size}) END AS w0").drop("guess", "power")
+
+
+def images(family: str, counts: DataFrame) -> DataFrame:
+    """(position, n, w0, w1, w2, number, text) of the counted values (position, value, n) of one numeric family."""
+    zero = F.lit(0).cast("long")
+    if family == "floating":
+        rows = _double_image(counts).withColumns({"w1": zero, "w2": zero})
+    elif family.startswith("decimal"):
+        scale = int(family.removeprefix("decimal"))
+        # the digits without the point: shifting it could need more than 38 of them
+        digits = counts.withColumn("digits", F.expr(f"CAST(replace(CAST(CAST(value AS DECIMAL(38, {scale})) AS STRING), '.', '') AS DECIMAL(38, 0))"))
+        lower, upper = f"CAST({BASE}L AS DECIMAL(14, 0))", f"CAST('{BASE * BASE}' AS DECIMAL(27, 0))"
+        rows = digits.selectExpr("*", f"CAST(digits div {upper} AS BIGINT) AS w0", f"CAST((digits % {upper}) div {lower} AS BIGINT) AS w1", f"CAST(digits % {lower} AS BIGINT) AS w2")
+    else:
+        rows = counts.withColumns({"w0": F.col("value").cast("long"), "w1": zero, "w2": zero})
+    return rows.selectExpr("position", "n", "w0", "w1", "w2", "CAST(value AS DOUBLE) AS number", "CAST(value AS STRING) AS text")
+
+
+def _descent(words: int, fractions: tuple[float, ...]) -> str:
+    """SQL over ``{counts}`` (images): (position, which, fraction, upper, number, text), one row for each rank."""
+    # a word of a decimal has 44 bits, so its first digit is the second one
+    steps = [(w, shift) for w in range(words) for shift in (DIGITS if words == 1 else DIGITS[1:] if w else DIGITS)]
+    first = {w: min(k for k, (word, _) in enumerate(steps) if word == w) for w in range(words)}
+    digit = [f"shiftright(w{w}, {shift}){'' if k == first[w] else f' & {(1 << 21) - 1}'} AS q{k}" for k, (w, shift) in enumerate(steps)]
+    asked = ", ".join(f"struct({i} AS which, {f}D AS fraction)" for i, f in enumerate(fractions))
+    # ranks around fraction * (N - 1), counted from 1; they coincide when it is whole
+    parts = [
+        f"base AS (SELECT position, n, number, text, {', '.join(digit)} FROM {{counts}})",
+        "totals AS (SELECT position, sum(n) AS total FROM base GROUP BY position)",
+        f"asked AS (SELECT position, total, inline(array({asked})) FROM totals)",
+        "t0 AS (SELECT position, which, fraction, up = 1 AS upper, CAST(CASE up WHEN 0 THEN floor(fraction * (total - 1)) ELSE ceil(fraction * (total - 1)) END AS BIGINT) + 1 AS rank "
+        "FROM asked LATERAL VIEW explode(array(0, 1)) AS up)",
+    ]
+    for k in range(len(steps)):
+        known = [f"q{i}" for i in range(k)]
+        names = ", ".join(["position", *known])
+        own = ", ".join(["b.position", *(f"b.{q}" for q in known)])
+        same = " AND ".join(f"b.{c} = p.{c}" for c in ("position", *known))
+        last = ", min(number) AS number, min(text) AS text" if k == len(steps) - 1 else ""
+        source = "base b" if k == 0 else f"base b JOIN p{k} p ON {same}"
+        hint = "" if k == 0 else "/*+ BROADCAST(p) */ "
+        if k:
+            parts.append(f"p{k} AS (SELECT DISTINCT {names} FROM t{k})")
+        parts.append(f"c{k} AS (SELECT {hint}{own}, b.q{k}, sum(b.n) AS n{last} FROM {source} GROUP BY {own}, b.q{k})")
+        parts.append(f"u{k} AS (SELECT *, sum(n) OVER (PARTITION BY {names} ORDER BY q{k} ROWS UNBOUNDED PRECEDING) AS upto FROM c{k})")
+        same = " AND ".join(f"t.{c} = u.{c}" for c in ("position", *known))
+        carried = ", u.number, u.text" if last else ""
+        parts.append(
+            f"t{k + 1} AS (SELECT /*+ BROADCAST(t) */ t.position, t.which, t.fraction, t.upper, t.rank - (u.upto - u.n) AS rank, {''.join(f't.{q}, ' for q in known)}u.q{k}{carried} "
+            f"FROM t{k} t JOIN u{k} u ON {same} WHERE t.rank > u.upto - u.n AND t.rank <= u.upto)"
+        )
+    return f"WITH {', '.join(parts)} SELECT position, which, fraction, upper, number, text FROM t{len(steps)}"
+
+
+def order_statistics(counts: dict[str, DataFrame], fractions: tuple[float, ...]) -> DataFrame:
+    """(position, which, fraction, lower, upper, lower_number, upper_number) from counted values by family.
+
+    ``lower`` and ``upper`` are the exact values around the fraction, as text of the column's own type; they are equal
+    when the fraction meets a value. 0 is the minimum and 1 the maximum. NaN sorts last, as a value.
+    """
+    merged = reduce(DataFrame.unionByName, [images(name, rows) for name, rows in counts.items()])
+    words = 3 if any(name.startswith("decimal") for name in counts) else 1
+    found = merged.sparkSession.sql(_descent(words, fractions), counts=merged)
+    sides = [F.max(F.when(F.col("upper") == up, F.col(c))).alias(n) for up, c, n in ((False, "text", "lower"), (True, "text", "upper"), (False, "number", "lower_number"), (True, "number", "upper_number"))]
+    return found.groupBy("position", "which", "fraction").agg(*sides)
+
+
+def medians(counts: dict[str, DataFrame]) -> DataFrame:
+    """Median per position from counted values (position, value, n) by family."""
+    return order_statistics(counts, (0.5,)).selectExpr("position", "(lower_number + upper_number) / 2.0D AS median")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowassay import constants as C
 from rowassay.functions.cleaning import finite
 from rowassay.operators.column_stats import is_numeric, one_pass_stats
-from rowassay.operators.medians import medians
+from rowassay.operators.medians import medians, order_statistics
 from rowassay.operators.value_counts import Counted, Slot, counted_families, distinct_counts, family, leading_values, name_of, slots
 
 TOP_TYPE = "array<struct<value:string,count:bigint,frequency:double>>"
@@ -27,19 +27,30 @@ def bounded_sample(df: DataFrame, rows: int = C.SAMPLE_ROWS, fraction: float | N
     return (df.sample(fraction=fraction, seed=seed) if fraction is not None else df.limit(rows)), "sampled"
 
 
-def _numeric_counts(counted: Counted) -> list[DataFrame]:
-    return [
-        counts.selectExpr("position", "CAST(value AS DOUBLE) AS value", "n")
-        for members, counts in counted.values()
-        if is_numeric(members[0].type)
-    ]
+def _numeric_counts(counted: Counted) -> dict[str, DataFrame]:
+    return {name: counts for name, (members, counts) in counted.items() if is_numeric(members[0].type)}
 
 
 def column_medians(df: DataFrame, columns=None) -> DataFrame:
-    """Exact median of each numeric column: ordinal_position, name, median."""
+    """Exact median of each numeric column: ordinal_position, name, median; no rows without one."""
     members = [s for s in slots(df, columns) if is_numeric(s.type)]
-    merged = reduce(DataFrame.unionByName, _numeric_counts(counted_families(df, {s.field.name for s in members})))
-    return medians(merged).select(F.col("position").alias("ordinal_position"), name_of(members).alias("name"), finite(F.col("median")).alias("median"))
+    if not members:
+        return df.sparkSession.createDataFrame([], "ordinal_position int, name string, median double")
+    found = medians(_numeric_counts(counted_families(df, {s.field.name for s in members})))
+    return found.select(F.col("position").alias("ordinal_position"), name_of(members).alias("name"), finite(F.col("median")).alias("median"))
+
+
+def column_order_statistics(df: DataFrame, fractions=(0.0, 0.5, 1.0), columns=None) -> DataFrame:
+    """Exact values of each numeric column at fractions of its order, as text of the column's own type.
+
+    One row for each column and fraction: ordinal_position, name, fraction, lower, upper; both differ where the fraction lies between two
+    values. Whole numbers and decimals never pass through a double.
+    """
+    members = [s for s in slots(df, columns) if is_numeric(s.type)]
+    if not members:
+        return df.sparkSession.createDataFrame([], "ordinal_position int, name string, fraction double, lower string, upper string")
+    found = order_statistics(_numeric_counts(counted_families(df, {s.field.name for s in members})), tuple(map(float, fractions)))
+    return found.select(F.col("position").alias("ordinal_position"), name_of(members).alias("name"), "fraction", "lower", "upper")
 
 
 def _tagged(keys: dict | None, rows: DataFrame) -> DataFrame:
@@ -104,7 +115,7 @@ def profile(
         entries = "transform(array_sort(collect_list(struct(-n AS back, head AS value))), e -> struct(0 AS rank, e.value, -e.back AS count)) AS hits"
         found.append(_padded(spelled.groupBy("position").agg(F.expr(entries))))
     if "median" in parts and numbers:
-        found.append(_padded(medians(reduce(DataFrame.unionByName, numbers))))
+        found.append(_padded(medians(numbers)))
     stats = one_pass_stats(df)
     if not found:
         missing = [F.lit(None).cast(t).alias(c) for c, t in {"distinct_count": "bigint", "median": "double", "top_values": TOP_TYPE, "placeholders": TOP_TYPE}.items()]

@@ -4,30 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rowassay.operators.value_counts import Slot, slots
+from rowassay.operators.value_counts import cell_text, slots
 
 NARROW_COLUMNS = 4
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _part(slot: Slot) -> str:
-    """A cell as self-delimiting text, so that no two different rows join to the same text."""
-    value, kind = slot.sql, slot.type
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        text = f"CAST(CASE WHEN {value} = 0 THEN abs({value}) ELSE {value} END AS STRING)"
-    elif isinstance(kind, T.BinaryType):
-        text = f"hex({value})"
-    elif isinstance(kind, T.TimestampType):
-        text = f"CAST(unix_micros({value}) AS STRING)"
-    elif isinstance(kind, T.MapType):
-        text = f"to_json(array_sort(map_entries({value})))"
-    elif isinstance(kind, (T.ArrayType, T.StructType)):
-        text = f"to_json({value})"
-    else:
-        text = f"CAST({value} AS STRING)"
-    return f"coalesce(concat(length({text}), ':', {text}), '~')"
-
-
 def row_key(df: DataFrame) -> list[Column]:
     """What identifies a row: its few fixed-width columns, else a 32-byte SHA-256 over all cells.
 
@@ -36,7 +18,7 @@ def row_key(df: DataFrame) -> list[Column]:
     members = slots(df)
     if len(members) <= NARROW_COLUMNS and all(isinstance(s.type, FIXED_WIDTH) for s in members):
         return [s.value.alias(f"k{s.position}") for s in members]
-    parts = ", ".join(_part(s) for s in members)
+    parts = ", ".join(cell_text(s.sql, s.type) for s in members)
     return [F.expr(f"unhex(sha2(concat({parts}), 256))").alias("k")]
 
 

@@ -84,12 +84,36 @@ def _key(slot: Slot, name: str) -> str:
     if name == "temporal":
         return utc_ntz_sql(value, slot.type)
     if name == "nested":
-        return f"to_json({value})"
+        return f"CASE WHEN {value} IS NOT NULL THEN {cell_text(value, slot.type)} END"
     if isinstance(slot.type, T.BooleanType):
         return f"initcap(CAST({value} AS STRING))"
     return value if isinstance(slot.type, T.StringType) else f"CAST({value} AS STRING)"
 
 
+def cell_text(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """A cell as self-delimiting text, as SQL: equal texts mean equal values, to the last microsecond and however deeply nested."""
+    item = f"e{depth}"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = f"CAST(CASE WHEN {value} = 0 THEN abs({value}) ELSE {value} END AS STRING)"
+    elif isinstance(kind, T.BinaryType):
+        text = f"hex({value})"
+    elif isinstance(kind, T.TimestampType):
+        text = f"CAST(unix_micros({value}) AS STRING)"
+    elif isinstance(kind, T.ArrayType):
+        text = f"array_join(transform({value}, {item} -> {cell_text(item, kind.elementType, depth + 1)}), '')"
+    elif isinstance(kind, T.StructType):
+        parts = ", ".join(cell_text(f"{value}.`{f.name.replace('`', '``')}`", f.dataType, depth) for f in kind.fields)
+        text = f"CASE WHEN {value} IS NOT NULL THEN concat('', {parts}) END" if parts else f"CASE WHEN {value} IS NOT NULL THEN '' END"
+    elif isinstance(kind, T.MapType):
+        pair = f"concat({cell_text(f'{item}.key', kind.keyType, depth + 1)}, {cell_text(f'{item}.value', kind.valueType, depth + 1)})"
+        text = f"array_join(array_sort(transform(map_entries({value}), {item} -> {pair})), '')"
+    elif isinstance(kind, T.VariantType):
+        text = f"to_json({value})"
+    else:
+        text = f"CAST({value} AS STRING)"
+    return f"coalesce(concat(length({text}), ':', {text}), '~')"
+
+
 def _pairs(df: DataFrame, name: str, members: list[Slot]) -> DataFrame:
     """One (position, value) row per non-NULL cell of the family's columns."""
     cells = ", ".join(f"struct({s.position} AS position, {_key(s, name)} AS value)" for s in members)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowassay import constants as C
-from rowassay.sources.structure import column_names, name_violations, table_columns
+from rowassay.functions.logical_types import logical_type, physical_type
+from rowassay.sources.files import file_inventory, read_table
+from rowassay.sources.structure import column_names, name_violations
 
 RESULT_TABLES = (
     "profiles", "findings", "scored_findings", "scores", "score_breakdowns", "schema_diffs", "distribution_drifts", "score_drifts",
@@ -17,12 +22,23 @@ RESULT_TABLES = (
 )
 
 
+# One commit record is a version with all its column rows.
+COMMIT = (
+    "version_number bigint, name string, description string, source_format string, original_name string, row_count bigint, column_count int, "
+    "size_bytes bigint, file_count bigint, sha256 string, folder string, created_at timestamp, "
+    "columns array<struct<ordinal_position:int,name:string,physical_type:string,logical_type:string,nullable:boolean>>, dataset_id string"
+)
+VERSION_TABLES = ("datasets", "dataset_versions", "dataset_columns")
+
+
 @dataclass(frozen=True)
 class ResultStore:
     """Parquet tables below one folder that all executors reach. Nothing is ever rewritten.
 
-    Data versions lie in ``data/dataset_id=…/version=…``, result rows in one folder per table,
-    partitioned by dataset, so that reading one dataset prunes to its folders.
+    Data versions lie in ``data/dataset_id=…/``, one folder for each attempt to write one. An attempt becomes a version by its
+    commit record ``commits/dataset_id=…/<number>.json``, which is put in place whole and only where none is yet; it
+    names the attempt's folder and holds the column rows, so a version and all that is known of it appear at once or not at all.
+    Result rows are in one folder per table, partitioned by dataset, so that reading one dataset prunes to its folders.
     """
 
     spark: SparkSession
@@ -33,6 +49,7 @@ class ResultStore:
 
     def exists(self, table: str) -> bool:
         """Whether the table holds any rows; an append of nothing leaves no partition behind."""
+        table = "commits" if table in VERSION_TABLES else table
         pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/dataset_id=*")
         found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
         return found is not None and len(found) > 0
@@ -40,8 +57,17 @@ class ResultStore:
     def read(self, table: str, dataset_id: str | None = None) -> DataFrame:
         """All rows of a table, or those of one dataset (F1, pruned to its partition).
 
-        Partition folders would give ids like ``007`` a number's type, so the type is stated.
+        Partition folders would give ids like ``007`` a number's type, so the type is stated. The tables of
+        datasets, versions and columns are read from the commit records.
         """
+        if table in VERSION_TABLES:
+            commits = self.spark.read.schema(COMMIT).json(self.path("commits"))
+            commits = commits if dataset_id is None else commits.where(F.col("dataset_id") == dataset_id)
+            if table == "dataset_columns":
+                return commits.select(F.inline("columns"), "version_number", "dataset_id")
+            if table == "dataset_versions":
+                return commits.drop("columns", "name", "description")
+            return commits.where("version_number = 1").select("name", "description", "created_at", "dataset_id")
         found = self.spark.read.parquet(self.path(table)).schema
         stated = T.StructType([T.StructField(f.name, T.StringType() if f.name == "dataset_id" else f.dataType) for f in found.fields])
         rows = self.spark.read.schema(stated).parquet(self.path(table))
@@ -68,40 +94,93 @@ class ResultStore:
         known = self.read("dataset_versions", dataset_id).agg(F.max("version_number").alias("n")).first().n
         return (known or 0) + 1
 
-    def register(self, df: DataFrame, dataset_id: str, name: str, description: str | None = None, source_format: str = "parquet") -> int:
+    def register(
+        self, df: DataFrame, dataset_id: str, name: str, description: str | None = None, source_format: str = "parquet", original_name: str | None = None
+    ) -> int:
         """Store ``df`` as the next immutable version of a dataset, with its column rows.
 
-        The data goes to a folder of its own first; the version exists once its row is written, last of all. So a
-        failed attempt leaves an unused folder, and never blocks the next one. Broken column names are refused.
+        The data goes to a folder of its own first, then its files are counted, measured and hashed, and last the commit record
+        claims the next free number. Of several writers one gets a number, the others try the next. A failure before that leaves
+        an unused folder that nothing reads. Broken column names are refused.
         """
         broken = [r.rule for r in name_violations(column_names(self.spark, df.columns)).collect()]
         if broken:
             raise ValueError(f"column names: {', '.join(sorted(set(broken)))}")
-        version = self.next_version(dataset_id)
-        folder = f"version={version}-{uuid.uuid4().hex}"
+        folder = f"attempt={uuid.uuid4().hex}"
         leaf = f"{self._data(dataset_id)}/{folder}"
         df.write.mode("errorifexists").parquet(leaf)
         stored = self.spark.read.parquet(leaf)
-        stamp = F.current_timestamp().alias("created_at")
-        owner = F.lit(dataset_id).alias("dataset_id")
-        row = stored.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(version).alias("version_number"),
-            F.lit(source_format).alias("source_format"),
-            "row_count",
-            F.lit(len(stored.columns)).alias("column_count"),
-            F.lit(folder).alias("folder"),
-            stamp,
-            owner,
-        )
-        columns = table_columns(stored).select("*", F.lit(version).alias("version_number"), owner)
-        if version == 1:
-            text = (description or "").strip() or None
-            table = self.spark.range(1).select(F.lit(name.strip()).alias("name"), F.lit(text).cast("string").alias("description"), stamp, owner)
-            table.write.mode("append").partitionBy("dataset_id").parquet(self.path("datasets"))
-        columns.write.mode("append").partitionBy("dataset_id").parquet(self.path("dataset_columns"))
-        row.write.mode("append").partitionBy("dataset_id").parquet(self.path("dataset_versions"))
+        record = {
+            "name": name.strip(),
+            "description": (description or "").strip() or None,
+            "source_format": source_format,
+            "original_name": original_name,
+            "row_count": stored.count(),
+            "column_count": len(stored.columns),
+            **self._fingerprint(leaf),
+            "folder": folder,
+            "columns": [
+                {"ordinal_position": i, "name": f.name, "physical_type": physical_type(f.dataType), "logical_type": logical_type(f.dataType), "nullable": f.nullable}
+                for i, f in enumerate(stored.schema.fields, start=1)
+            ],
+        }
+        version = self.next_version(dataset_id)
+        while not self._commit(dataset_id, version, record):
+            version += 1
         return version
 
+    def register_file(self, path: str, source_format: str, dataset_id: str, name: str, description: str | None = None, sha256: str | None = None, max_bytes: int | None = None) -> int:
+        """Register one CSV or Parquet file under its own name; refused when empty, too large or not of the stated hash."""
+        found = file_inventory(self.spark, path, max_bytes).collect()
+        if len(found) != 1 or found[0].problem or sha256 not in (None, found[0].sha256):
+            raise ValueError("not one file" if len(found) != 1 else found[0].problem or "wrong_sha256")
+        return self.register(read_table(self.spark, path, source_format), dataset_id, name, description, source_format, found[0].file_name)
+
+    def _commit(self, dataset_id: str, version: int, record: dict) -> bool:
+        row = {"version_number": version, "created_at": datetime.now(timezone.utc).isoformat(), **record}
+        return self._put_if_absent(f"{self.path('commits')}/dataset_id={quote(dataset_id, safe='')}/{version:010}.json", json.dumps(row) + "\n")
+
+    def _put_if_absent(self, path: str, text: str) -> bool:
+        """Make a file appear under ``path`` with its whole content, unless there is one; whether it did.
+
+        The content is written under a hidden name first. A link on a local disk, and a rename that never replaces elsewhere,
+        are single steps of the file system, so only one of several writers succeeds.
+        """
+        jvm, settings = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(settings)
+        draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if files.getScheme() == "file":
+                local = [jvm.java.nio.file.Paths.get(files.makeQualified(p).toUri()) for p in (target, draft)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), settings).rename(draft, target, never)
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        finally:
+            files.delete(draft, False)
+        return True
+
+    def _fingerprint(self, leaf: str) -> dict:
+        """Bytes, number and SHA-256 of the data files: the digest of their digests in the order of names."""
+        listed = file_inventory(self.spark, leaf, glob="*.parquet")
+        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_name", "sha256"))), lambda f: f["sha256"]), ""), 256)
+        row = listed.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"), F.count(F.lit(1)).alias("file_count"), whole.alias("sha256")).first()
+        return row.asDict()
+
+    def intact(self, dataset_id: str, number: int) -> bool:
+        """Whether the files of a version still have the size and hash they were committed with."""
+        row = self.read("dataset_versions", dataset_id).where(F.col("version_number") == number).first()
+        return self._fingerprint(f"{self._data(dataset_id)}/{row.folder}") == {k: row[k] for k in ("size_bytes", "file_count", "sha256")}
+
     def version(self, dataset_id: str, number: int) -> DataFrame:
         """The data of one version, read from its own folder and schema."""
         rows = self.read("dataset_versions", dataset_id).where(F.col("version_number") == number)

@@ -185,3 +185,25 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan_of(history.newest_scores(df, ["dataset_id"], ["n"], 7))
     assert "TakeOrderedAndProject" in plan_of(history.page_of(df, [F.desc("n")], 2, 5))
     assert "Window" not in plan_of(history.latest_per_key(df, ["dataset_id"], ["n"]))
+
+
+def test_neighbours_of_any_order_type(spark):
+    """Text labels, moments, NULL labels and keys; one key owns most rows; against sorting in Python."""
+    rng = random.Random(9)
+    rows = [(rng.choice(("hot", "hot", "hot", "b", None)), None if i == 17 else f"v{rng.randint(0, 10**9):x}", float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "dataset_id string, version_number string, score double").repartition(5)
+    groups = defaultdict(list)
+    for key, label, score in rows:
+        groups[key].append((label is not None, label or "", score))
+    edges, deltas = set(), {}
+    for key, own in groups.items():
+        own.sort()
+        label = lambda r: r[1] if r[0] else None
+        edges |= {(key, label(a), label(b)) for a, b in zip(own, own[1:])}
+        deltas |= {r[2]: r[2] - p[2] if p else 0.0 for p, r in zip([None, *own], own)}
+    for pieces in (2, 16):
+        assert {tuple(r) for r in history.lineage(df, pieces=pieces).collect()} == edges
+        assert {r.score: r.score_delta for r in history.score_changes(df, ["dataset_id"], ["version_number"], pieces).collect()} == deltas
+    dated = df.withColumn("version_number", F.timestamp_seconds("score"))
+    assert history.lineage(dated).count() == 900 - len(groups)
+    assert history.lineage(df.limit(0)).collect() == []

@@ -1,17 +1,18 @@
 import math
 import random
 import statistics
+import struct
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from rowassay.functions.logical_types import logical_type, physical_type
 from rowassay.operators import medians as med
-from rowassay.operators.profile import bounded_sample, column_medians, profile
+from rowassay.operators.profile import bounded_sample, column_medians, column_order_statistics, profile
 from rowassay.operators.row_duplicates import row_duplicates
-from rowassay.operators.value_counts import HEAD_CHARS, top_values, value_counts
+from rowassay.operators.value_counts import HEAD_CHARS, column_distinct, top_values, value_counts
 
 
 def by_name(df):
@@ -112,12 +113,51 @@ def test_medians_random(spark):
         assert got[n] == statistics.median([r[i] for r in frame])
 
 
-def test_buckets_never_decrease(spark):
+def test_images_keep_the_order(spark):
+    """The image of a double is its IEEE pattern, so it neither merges nor swaps values."""
     rng = random.Random(5)
-    values = sorted([math.ldexp(rng.uniform(-1, 1), rng.randint(-1070, 1020)) for _ in range(5000)] + [0.0, med.LARGEST, -med.LARGEST])
-    df = spark.createDataFrame(list(enumerate(values)), "i int, value double")
-    buckets = [r.b for r in df.select("i", F.expr(med.COARSE).alias("b")).orderBy("i").collect()]
-    assert buckets == sorted(buckets)
+    special = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf]
+    special += [math.nextafter(2.0**k, up) for k in range(-1060, 1020, 13) for up in (0, math.inf)] + [2.0**k for k in range(-1074, 1024, 7)]
+    values = special + [math.ldexp(rng.uniform(-1, 1), rng.randint(-1070, 1020)) for _ in range(5000)]
+    rows = med.images("floating", spark.createDataFrame([(1, v, 1) for v in values], "position int, value double, n bigint")).select("number", "w0").collect()
+    for r in rows:
+        pattern = struct.unpack("<q", struct.pack("<d", abs(r.number)))[0]
+        assert r.w0 == (-pattern if r.number < 0 else pattern)
+
+
+def test_order_statistics_in_their_own_type(spark):
+    rng = random.Random(6)
+    micros = [1_700_000_000_000_000 + rng.randint(0, 10**9) for _ in range(701)]
+    whole = [2**53 + 1, 2**53, -(2**63), 2**63 - 1, 0, None] + [rng.choice((2**53 + 1, -5, 7)) for _ in range(695)]
+    cents = [Decimal(f"{rng.randint(-(10**36) + 1, 10**36 - 1)}.{rng.randint(0, 99):02}") for _ in range(695)]
+    cents += [Decimal("0.01"), Decimal("-0.01"), Decimal("9" * 36 + ".99"), Decimal("-" + "9" * 36 + ".99"), Decimal(0), None]
+    small = [Decimal(rng.randint(-999, 999)).scaleb(-2) for _ in range(701)]
+    kinds = [T.StructField("m", T.LongType()), T.StructField("w", T.LongType()), T.StructField("c", T.DecimalType(38, 2)), T.StructField("s", T.DecimalType(5, 2)), T.StructField("t", T.StringType())]
+    df = spark.createDataFrame(list(zip(micros, whole, cents, small, ["x"] * 701)), T.StructType(kinds))
+    found = {(r.name, r.fraction): (r.lower, r.upper) for r in column_order_statistics(df, (0, 0.1, 0.5, 0.999, 1)).collect()}
+    assert len(found) == 20
+    for name, column in (("m", micros), ("w", whole), ("c", cents), ("s", small)):
+        known = sorted(v for v in column if v is not None)
+        for f in (0.0, 0.1, 0.5, 0.999, 1.0):
+            at = f * (len(known) - 1)
+            assert tuple(map(Decimal, found[name, f])) == tuple(Decimal(known[k]) for k in (math.floor(at), math.ceil(at))), (name, f)
+
+
+def test_tables_without_numbers_or_rows(spark):
+    texts = spark.createDataFrame([("a",), ("b",)], "t string")
+    assert column_medians(texts).collect() == [] and column_order_statistics(texts).collect() == []
+    assert column_medians(spark.createDataFrame([(None, 1)], "a bigint, b int").where("b > 1")).collect() == []
+
+
+def test_nested_values_differ_by_a_microsecond(spark):
+    rows = [(1, 2), (1, 3), (1, 2)]
+    moment = "timestamp_micros(1700000000000000 + b)"
+    df = spark.createDataFrame(rows, "x int, b int").selectExpr(f"array({moment}) AS a", f"named_struct('t', {moment}, 'u', array(named_struct('v', CAST(NULL AS STRING)))) AS s", f"map('k', {moment}) AS m")
+    assert {r.column: r.distinct_count for r in column_distinct(df).collect()} == {"a": 2, "s": 2}
+    found = row_duplicates(df).first()
+    assert (found.row_count, found.distinct_rows, found.duplicate_members) == (3, 2, 2)
+    parts = spark.sql("SELECT array('a', 'b') AS v UNION ALL SELECT array('a,b') UNION ALL SELECT array('a', NULL, 'b') UNION ALL SELECT array('a', '', 'b') UNION ALL SELECT NULL UNION ALL SELECT array()")
+    assert column_distinct(parts).first().distinct_count == 5
 
 
 def test_approximate_profile(spark):

@@ -1,3 +1,6 @@
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -151,3 +154,57 @@ def test_same_version_is_an_error(spark):
     df = spark.range(3)
     with pytest.raises(ValueError):
         compare(df, df, "t")
+
+
+def test_failed_attempts_leave_nothing_visible(spark, tmp_path, monkeypatch):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    one, two = spark.range(3).selectExpr("id"), spark.range(5).selectExpr("id", "id * 2 AS twice")
+
+    def broken(self, *_):
+        raise OSError("disk gone")
+
+    for step in ("_fingerprint", "_commit"):
+        with monkeypatch.context() as m:
+            m.setattr(ResultStore, step, broken)
+            with pytest.raises(OSError):
+                store.register(one, "t", "T")
+        assert not store.exists("dataset_versions")
+    assert store.register(two, "t", "T") == 1
+    assert store.columns("t", 1).count() == 2 and store.read("dataset_versions", "t").count() == 1
+    with monkeypatch.context() as m:
+        m.setattr(ResultStore, "_commit", broken)
+        with pytest.raises(OSError):
+            store.register(one, "t", "T")
+    assert store.register(one, "t", "T") == 2
+    assert [r.name for r in store.columns("t", 2).collect()] == ["id"] and store.version("t", 2).count() == 3
+
+
+def test_two_writers_get_two_numbers(spark, tmp_path, monkeypatch):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    # all writers see the same next number, so only the commit record can tell them apart
+    monkeypatch.setattr(ResultStore, "next_version", lambda self, dataset_id: 1)
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: store.register(spark.range(k + 1), "t", "T"), range(4)))
+    assert sorted(numbers) == [1, 2, 3, 4]
+    for k, number in enumerate(numbers):
+        assert store.version("t", number).count() == k + 1
+    assert store.read("dataset_columns", "t").count() == 4 and store.read("datasets").count() == 1
+
+
+def test_version_hash_size_and_name(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "store"))
+    source = tmp_path / "people.csv"
+    source.write_text("id,name\n1,a\n2,b\n")
+    digest = hashlib.sha256(source.read_bytes()).hexdigest()
+    with pytest.raises(ValueError, match="wrong_sha256"):
+        store.register_file(str(source), "csv", "007", "People", sha256="0" * 64)
+    with pytest.raises(ValueError, match="too_large"):
+        store.register_file(str(source), "csv", "007", "People", max_bytes=3)
+    assert store.register_file(str(source), "csv", "007", "People", sha256=digest) == 1
+    row = store.read("dataset_versions", "007").first()
+    parts = sorted((tmp_path / "store" / "data" / "dataset_id=007" / row.folder).glob("*.parquet"))
+    assert (row.original_name, row.row_count, row.size_bytes, row.file_count) == ("people.csv", 2, sum(p.stat().st_size for p in parts), len(parts))
+    assert store.intact("007", 1)
+    parts[0].write_bytes(parts[0].read_bytes()[::-1])
+    (parts[0].parent / f".{parts[0].name}.crc").unlink(missing_ok=True)
+    assert not store.intact("007", 1)

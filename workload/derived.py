@@ -80,6 +80,14 @@ FROM {customer} c LEFT JOIN (
 USAGE = """SELECT event_id, user_id, event_type, ts, value FROM {events}"""
 
 
+# Whole numbers beyond the digits of a double, and amounts with all 38 digits of a decimal.
+WIDE_NUMBERS = """
+SELECT CAST(9007199254740993 AS BIGINT) + CAST(l_orderkey AS BIGINT) * 2 - CAST(l_partkey AS BIGINT) AS odd_key, l_linenumber AS line,
+  CASE WHEN l_linenumber < 6 THEN CAST(l_orderkey AS BIGINT) * 4611686018427 - 9007199254740993 * CAST(l_suppkey AS BIGINT) END AS spread_key,
+  CAST(l_orderkey AS DECIMAL(38, 0)) * CAST(99999999999999937 AS DECIMAL(38, 0)) - CAST(l_partkey AS DECIMAL(38, 0)) * CAST(999999999999999989 AS DECIMAL(38, 0)) AS amount
+FROM {lineitem}"""
+
+
 def names_in(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
 

@@ -226,8 +226,9 @@ SQL["s6_column_names"] = (
     "('duplicate_column_names', 0, 'o_orderkey'), ('duplicate_column_names', 2, 'o_orderkey')) v(rule, position, name) WHERE (SELECT count(*) FROM orders) > 0"
 )
 SQL["s8_register_version"] = (
-    f"SELECT CAST(1 AS INTEGER) AS version_number, count(*) AS row_count, CAST(6 AS INTEGER) AS column_count FROM {BASE} "
-    f"UNION ALL SELECT CAST(2 AS INTEGER), count(*), CAST(6 AS INTEGER) FROM {TARGET}"
+    "SELECT *, CAST(64 AS INTEGER) AS hash_chars, true AS measured, true AS intact FROM ("
+    f"SELECT CAST(1 AS INTEGER) AS version_number, count(*) AS row_count, CAST(6 AS INTEGER) AS column_count, 'base.parquet' AS original_name FROM {BASE} "
+    f"UNION ALL SELECT CAST(2 AS INTEGER), count(*), CAST(6 AS INTEGER), 'target.parquet' FROM {TARGET})"
 )
 SQL["s9_result_sink"] = " UNION ALL ".join(
     f"SELECT '{f}' AS dataset_id, '{c}' AS name, CAST(2 AS BIGINT) AS stored, (SELECT count(*) FROM lineitem WHERE l_returnflag = '{f}') AS sample_size"
@@ -276,6 +277,11 @@ SQL["a3_numeric_stats"] = (
     "SELECT ordinal_position, name, " + ", ".join(f'round(numeric_{p}, 3) AS "{p}"' for p in ("min", "max", "mean", "median", "std", "sum"))
     + f" FROM {profile('lineitem', 'lineitem')} WHERE logical_type IN ('integer', 'float')"
 )
+SQL["a3_order_statistics"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CAST({f} AS DOUBLE) AS fraction, CAST(v[CAST(floor({f} * (len(v) - 1)) AS BIGINT) + 1] AS VARCHAR) AS lower, "
+    f"CAST(v[CAST(ceil({f} * (len(v) - 1)) AS BIGINT) + 1] AS VARCHAR) AS upper FROM (SELECT list({c} ORDER BY {c}) FILTER ({c} IS NOT NULL) AS v FROM {src(D.WIDE_NUMBERS)})"
+    for c in ("odd_key", "line", "spread_key", "amount") for f in (0, 0.25, 0.5, 1)
+)
 SQL["a4_temporal_range"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS name, {clock(f'min({c})')} AS first, {clock(f'max({c})')} AS last FROM {t}"
     for t, c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"), ("events", "ts"))
@@ -677,7 +683,7 @@ for _name, _parts in (
 
 # --- context and steps ---
 
-CONTEXT = f"(SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {RANK} DESC, value DESC, column_name NULLS FIRST, kind) AS rank FROM {FINDINGS})"
+CONTEXT = f"(SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {RANK} DESC, value DESC, column_name NULLS FIRST, kind, finding_id) AS rank FROM {FINDINGS})"
 SQL["c1_finding_context"] = (
     f"SELECT dataset_id, CAST(count(*) AS INTEGER) AS items, string_agg(finding_id, ',' ORDER BY rank) AS finding_ids FROM {CONTEXT} WHERE rank <= 20 GROUP BY dataset_id"
 )
@@ -688,7 +694,7 @@ SQL["c2_context_text"] = (
     "CASE WHEN lines IS NULL THEN '' ELSE chr(10) || 'findings:' || chr(10) || lines END) AS context FROM customer "
     f"LEFT JOIN (SELECT * FROM {NEWEST} WHERE back = 1) s ON c_custkey = s.dataset_id LEFT JOIN (SELECT dataset_id, count(*) AS n, string_agg(concat('  - id=', finding_id, ' kind=', kind, "
     "' severity=', severity, ' column=', coalesce(column_name, '<dataset>'), ' value=', value, ' threshold=', threshold, ' summary=', description), chr(10) ORDER BY rank) AS lines FROM "
-    f"(SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {RANK} DESC, value DESC, column_name NULLS FIRST, kind) AS rank FROM {_shown_findings}) WHERE rank <= 20 GROUP BY dataset_id) l ON c_custkey = l.dataset_id"
+    f"(SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {RANK} DESC, value DESC, column_name NULLS FIRST, kind, finding_id) AS rank FROM {_shown_findings}) WHERE rank <= 20 GROUP BY dataset_id) l ON c_custkey = l.dataset_id"
 )
 SQL["c3_hypotheses"] = (
     "SELECT dataset_id, CAST(rank AS INTEGER) AS rank, CASE WHEN kind IN ('missingness', 'outlier') THEN 'data_quality' WHEN kind IN ('type_changed', 'cardinality') THEN 'schema_drift' ELSE 'other' END AS category, "

@@ -12,7 +12,7 @@ from rowassay.functions import cleaning, drift, predicates, scoring as X
 from rowassay.operators import comparison, context, detectors, events as ev, history, kpis, previews, recommendations as rec
 from rowassay.operators import row_duplicates as dup, scoring
 from rowassay.operators.column_stats import column_counts, length_stats, numeric_stats, one_pass_stats, temporal_stats
-from rowassay.operators.profile import bounded_sample, column_medians, profile, smallest_distinct
+from rowassay.operators.profile import bounded_sample, column_medians, column_order_statistics, profile, smallest_distinct
 from rowassay.operators.value_counts import column_distinct, top_values, value_counts
 from rowassay.plans.analysis import assess, compare, run_steps
 from rowassay.session import scratch_path, settle
@@ -119,9 +119,13 @@ def s7(spark, folder):
 @query("s8_register_version")
 def s8(spark, folder):
     store = ResultStore(spark, scratch_path(spark, "store"))
-    store.register(D.derive(spark, folder, D.BASE_ORDERS), "orders", "Orders", "by date")
-    store.register(D.derive(spark, folder, D.TARGET_ORDERS), "orders", "Orders")
-    return store.read("dataset_versions", "orders").select("version_number", "row_count", "column_count")
+    store.register(D.derive(spark, folder, D.BASE_ORDERS), "orders", "Orders", "by date", original_name="base.parquet")
+    store.register(D.derive(spark, folder, D.TARGET_ORDERS), "orders", "Orders", original_name="target.parquet")
+    intact = F.create_map(*[F.lit(x) for n in (1, 2) for x in (n, store.intact("orders", n))])
+    number = F.col("version_number").cast("int")
+    return store.read("dataset_versions", "orders").select(
+        number.alias("version_number"), "row_count", "column_count", "original_name", F.length("sha256").alias("hash_chars"), (F.col("size_bytes") > 0).alias("measured"), intact[number].alias("intact")
+    )
 
 
 @query("s9_result_sink")
@@ -226,6 +230,13 @@ def a3(spark, folder):
     return rounded(stats, "min", "max", "mean", "median", "std", "sum", digits=3)
 
 
+@query("a3_order_statistics")
+def a3b(spark, folder):
+    """Exact values of whole numbers beyond a double's digits, and of 38-digit decimals."""
+    rows = D.derive(spark, folder, D.WIDE_NUMBERS)
+    return column_order_statistics(rows, (0.0, 0.25, 0.5, 1.0)).select("name", "fraction", "lower", "upper")
+
+
 @query("a4_temporal_range")
 def a4(spark, folder):
     frames = [temporal_stats(D.load(spark, folder, t)).withColumn("table_name", F.lit(t)) for t in ("lineitem", "orders", "events")]
