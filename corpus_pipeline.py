@@ -2,57 +2,76 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns rows with the
 columns of ``documents``; the last one returns packed pieces. Decisions are tied to rows by a 128-bit digest of all
-columns: rows equal in every column are interchangeable, so repeated and NULL ids need no special care.
+columns: rows equal in every column are interchangeable, so repeated and NULL ids need no special care. Whole rows travel
+as one struct beside the digest, so extra columns may have any name and type. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowassay.llm import budget, golay, packing, toxicity
 from rowassay.llm.common import table
 from rowassay.session import scratch_path
 
 TOXIC_FROM = 0.7
-SCORE = "_toxic_score"
-KEY = ("_k0", "_k1")
+KEY = ("k0", "k1")
+READ = ("doc_id", "text", "source")
 
 # The mix and the packing have no SQL form.
 ORACLE_SQL = None
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({k: F.xxhash64(F.lit(i), *docs.columns) for i, k in enumerate(KEY)})
+def hashable(field: T.StructField) -> Column:
+    """The column itself, or its JSON text where its type cannot be hashed."""
+    column = F.col("`" + field.name.replace("`", "``") + "`")
+    return column if not any(word in field.dataType.simpleString() for word in ("map<", "variant")) else F.to_json(F.struct(column.alias("c")))
+
+
+def keyed(docs: DataFrame, *read: str) -> DataFrame:
+    """(row, k0, k1, doc_id, text, source or those in ``read``): whole rows, their digests, and what the operators look at."""
+    parts = [hashable(f) for f in docs.schema.fields]
+    return docs.select(F.struct("*").alias("row"), *[F.xxhash64(F.lit(i), *parts).alias(k) for i, k in enumerate(KEY)], *(read or READ))
 
 
 def taken(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as often as ``copies`` (key, copies) says; keys it does not name go."""
-    wanted = copies.filter("copies > 0").toDF("_w0", "_w1", "_copies")
-    rows = keyed(docs).join(wanted, (F.col("_k0") == F.col("_w0")) & (F.col("_k1") == F.col("_w1"))).dropDuplicates(list(KEY))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+    """Each row of ``docs`` as often as ``copies`` (k0, k1, copies) says; keys it does not name go."""
+    wanted = copies.filter("copies > 0").toDF("w0", "w1", "copies")
+    rows = keyed(docs).select("row", *KEY).join(wanted, (F.col("k0") == F.col("w0")) & (F.col("k1") == F.col("w1"))).dropDuplicates(list(KEY))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model learns from all labelled documents."""
+    """Documents that score below the threshold; the model learns from all labelled documents.
+
+    NULL and empty texts score as the intercept says; equal texts score alike, so copies stay or go together.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, tuple(docs.columns), SCORE)
-    return scored.filter(F.col(SCORE) < TOXIC_FROM).drop(SCORE)
+    score = "toxic_score"
+    while score in (c.lower() for c in docs.columns):
+        score += "_"
+    scored = toxicity.score(docs, model, tuple(docs.columns), score)
+    return scored.filter(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id, a NULL id last."""
+    """One document of each group: the smallest id, a NULL id last, ties to the smaller digest.
+
+    NULL, empty and blank texts have fingerprint zero and are one group with each other.
+    """
     found = golay.near_duplicates(keyed(docs).select("doc_id", "text", *KEY), 3, 2, ("doc_id", *KEY))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("first"))
     return taken(docs, first.select(*[f"first.{k}" for k in KEY], F.lit(1).alias("copies")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = budget.mix_sources(keyed(docs), keep=KEY)
+    """Documents as often as the mix takes them; a NULL source is a source, texts without words are never taken."""
+    mixed = budget.mix_sources(keyed(docs).select(*READ, *KEY), keep=KEY)
     return taken(docs, mixed.groupBy(*KEY).agg(F.sum("copies").alias("copies")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their bins; documents without words have a row without a bin."""
     return packing.pack(packing.documents_to_pack(docs))
 
 
