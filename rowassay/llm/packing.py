@@ -42,7 +42,7 @@ class Bins:
         self.rooms = 0  # bitmap of the residuals that some bin has
 
     def tightest(self, size: int, source: int, cluster: int) -> int | None:
-        """The compatible bin with the least room, the oldest among equals."""
+        """The compatible bin with the least room; among equals the one that has had that room longest."""
         later = self.rooms >> size
         room = size
         while later:

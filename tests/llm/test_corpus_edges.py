@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -242,19 +243,53 @@ def test_tokens_of_random_texts():
         assert counts.of(text) == len(model.encode(text)), text
 
 
-def test_pipeline_stages(spark, odd, none):
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:
-        spark.createDataFrame([(3, 1, 1), (4, 1, 0)], LABELS).write.parquet(f"{folder}/labels.parquet")
-        for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none.select("doc_id", "text", "lang", "source", "n_chars")):
-            at = docs
-            for name, stage in corpus_pipeline.STAGES:
-                at = stage(spark, at, folder)
-                if name != "packing":
-                    assert at.columns == docs.columns
-                    at = spark.createDataFrame(at.collect(), docs.schema)
-            at.collect()
+def plain_groups(texts):
+    """Group number of each text by SimHash of three-word shingles, two differing bits at most, against all pairs."""
+    prints = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+        prints.append(sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes)))
+    group = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= 2 and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_pipeline_stages(spark, odd, none, tmp_path):
+    """Each stage against its rule on its own input, with extra columns of clashing names and of a type without a hash."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(3, 1, 1), (4, 1, 0)], LABELS).write.parquet(f"{folder}/labels.parquet")
+    extra = {"k0": F.lit(1), "w0": F.lit("x"), "copies": F.lit(2), "row": F.col("doc_id"), "toxic_score": F.lit(0.1), "m": F.create_map(F.lit("a"), F.col("doc_id"))}
+    for docs in (odd.withColumns(extra), none.withColumns(extra)):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES:
+            before, rows = at.collect(), stage(spark, at, folder).collect()
+            if name == "packing":
+                sizes = Counter((r.doc_id, len((r.text or "").split())) for r in before)
+                packed = Counter()
+                for r in rows:
+                    packed[r.doc_id] += r.size
+                assert {i: sum(n * k for (j, n), k in sizes.items() if j == i) for i, _ in sizes} == dict(packed)
+                break
+            content = lambda r: str(sorted(r.asDict().items()))
+            held, kept = Counter(map(content, before)), Counter(map(content, rows))
+            assert set(kept) <= set(held)
+            if name == "toxicity":
+                assert kept == Counter({c: n for c, n in held.items() if c in kept})  # copies go together
+            if name == "simhash_dedup":
+                groups = {}
+                for r, g in zip(before, plain_groups([r.text for r in before])):
+                    groups.setdefault(g, []).append(r)
+                first = {g: min((r.doc_id is None, r.doc_id or 0) for r in own) for g, own in groups.items()}
+                assert len(rows) == len(groups) and sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted(first.values())
+            if name == "mix":
+                assert all(0 < n <= 2 * held[c] for c, n in kept.items())
+            at = spark.createDataFrame(rows, docs.schema)
 
 
 def test_cap_filters_of_repeated_ids(spark):
@@ -302,14 +337,15 @@ def test_chat_parts_that_meet_forge_nothing(spark):
 
 
 def plain_best_fit(pieces, capacity):
-    """(size, source, cluster) in order -> bin of each: the fullest compatible bin, the oldest of equals."""
+    """(size, source, cluster) in order -> bin of each: the fullest compatible bin, of equals the one that has been so full longest."""
     bins, chosen = [], []
-    for size, source, cluster in pieces:
-        fits = [(capacity - b["used"], n) for n, b in enumerate(bins) if b["used"] + size <= capacity and source not in b["sources"] and cluster not in b["clusters"]]
-        n = min(fits)[1] if fits else len(bins)
+    for now, (size, source, cluster) in enumerate(pieces):
+        fits = [(capacity - b["used"], b["since"], n) for n, b in enumerate(bins) if b["used"] + size <= capacity and source not in b["sources"] and cluster not in b["clusters"]]
+        n = min(fits)[2] if fits else len(bins)
         if not fits:
             bins.append({"used": 0, "sources": set(), "clusters": set()})
         bins[n]["used"] += size
+        bins[n]["since"] = now
         bins[n]["sources"].add(source)
         bins[n]["clusters"].add(cluster)
         chosen.append(n)
