@@ -38,6 +38,7 @@ FILTER_BITS = 26
 BITMAP = 32_768  # bits in one bitmap of Spark's bitmap functions
 SCALE = 1_000_000_000
 HELD = 200_000  # different entries a task counts before it passes them on
+GROUPS_HELD = 500_000  # the same for terms by source
 CELLS = 1 << 19  # probabilities in one numpy block
 # letters stay, A-Z are lowered, all else parts terms
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -128,7 +129,7 @@ def group_counts(docs: DataFrame, bits) -> DataFrame:
         for batch in sliced(batches, "text"):
             for lang, source, text in zip(*(as_bytes(batch.column(c)) for c in ("lang", "source", "text"))):
                 groups.setdefault((lang, source), Counter()).update(terms_of(text))
-            if sum(map(len, groups.values())) > HELD:
+            if sum(map(len, groups.values())) > GROUPS_HELD:
                 yield from out()
         yield from out()
 
