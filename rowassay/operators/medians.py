@@ -22,6 +22,7 @@ DIGITS = (42, 21, 0)  # shifts within a word of 64 bits
 BASE = 10_000_000_000_000
 SMALLEST_NORMAL = "2.2250738585072014E-308D"
 SMALLEST = "4.9E-324D"
+FLOATING, INTEGRAL = -1, -2  # kinds of image; a decimal's kind is its scale
 
 
 def _double_image(counts: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def _double_image(counts: DataFrame) -> DataFrame:
 
 
 def images(family: str, counts: DataFrame) -> DataFrame:
-    """(position, n, w0, w1, w2, number, text) of the counted values (position, value, n) of one numeric family."""
+    """(position, n, w0, w1, w2, kind, number) of the counted values (position, value, n) of one numeric family."""
     zero = F.lit(0).cast("long")
     if family == "floating":
         rows = _double_image(counts).withColumns({"w1": zero, "w2": zero})
@@ -47,43 +48,63 @@ def images(family: str, counts: DataFrame) -> DataFrame:
         rows = digits.selectExpr("*", f"CAST(digits div {upper} AS BIGINT) AS w0", f"CAST((digits % {upper}) div {lower} AS BIGINT) AS w1", f"CAST(digits % {lower} AS BIGINT) AS w2")
     else:
         rows = counts.withColumns({"w0": F.col("value").cast("long"), "w1": zero, "w2": zero})
-    return rows.selectExpr("position", "n", "w0", "w1", "w2", "CAST(value AS DOUBLE) AS number", "CAST(value AS STRING) AS text")
+    kind = FLOATING if family == "floating" else int(family.removeprefix("decimal")) if family.startswith("decimal") else INTEGRAL
+    # no column can be NULL here, so no round adds a filter of its own below the shuffle that all rounds share
+    known = [f"coalesce({c}, 0) AS {c}" for c in ("position", "n", "w0", "w1", "w2")]
+    return rows.selectExpr(*known, f"{kind} AS kind", "CAST(value AS DOUBLE) AS number")
+
+
+def values(found: DataFrame) -> DataFrame:
+    """(number, text) of images, exactly: the inverse of ``images``."""
+    size, rest = "abs(w0)", "(abs(w0) % 4503599627370496L)"
+    normal = f"(1D + {rest} / 4503599627370496D) * pow(2D, {size} div 4503599627370496L - 1023)"
+    plain = f"CASE WHEN {size} = 9218868437227405312L THEN double('infinity') WHEN {size} < 4503599627370496L THEN {rest} * {SMALLEST} ELSE {normal} END"
+    double = f"CASE WHEN w0 = 9223372036854775807L THEN double('NaN') WHEN w0 < 0 THEN -({plain}) ELSE {plain} END"
+    digits = "concat(abs(w0), lpad(abs(w1), 13, '0'), lpad(abs(w2), 13, '0'))"
+    # digits in front of the point without leading zeros, but at least one
+    parts = found.selectExpr("*", f"CASE WHEN kind >= 0 THEN {digits} END AS digits", f"CASE WHEN kind = {FLOATING} THEN {double} END AS double")
+    whole = "regexp_replace(left(digits, length(digits) - kind), '^0+(?=.)', '')"
+    full = parts.selectExpr("*", "lpad(digits, greatest(length(digits), kind + 1), '0') AS padded").drop("digits").withColumnRenamed("padded", "digits")
+    decimal = f"concat(CASE WHEN w0 < 0 OR w1 < 0 OR w2 < 0 THEN '-' ELSE '' END, {whole}, CASE WHEN kind > 0 THEN concat('.', right(digits, kind)) ELSE '' END)"
+    text = full.withColumn("text", F.expr(f"CASE kind WHEN {FLOATING} THEN CAST(double AS STRING) WHEN {INTEGRAL} THEN CAST(w0 AS STRING) ELSE {decimal} END"))
+    number = f"CASE kind WHEN {FLOATING} THEN double WHEN {INTEGRAL} THEN CAST(w0 AS DOUBLE) ELSE CAST(text AS DOUBLE) END"
+    return text.withColumn("number", F.expr(number)).drop("digits", "double")
 
 
 def _descent(words: int, fractions: tuple[float, ...]) -> str:
-    """SQL over ``{counts}`` (images): (position, which, fraction, upper, number, text), one row for each rank."""
+    """SQL over ``{counts}`` (images): (position, kind, which, fraction, upper, w0, w1, w2), one row for each rank.
+
+    A bucket that holds ranks carries them along, relative to its own first value, as an array of at most two for each fraction. So a
+    round reads the counts and the few buckets of the round before, each once, and the plan grows by the same for every digit.
+    """
     # a word of a decimal has 44 bits, so its first digit is the second one
     steps = [(w, shift) for w in range(words) for shift in (DIGITS if words == 1 else DIGITS[1:] if w else DIGITS)]
     first = {w: min(k for k, (word, _) in enumerate(steps) if word == w) for w in range(words)}
     digit = [f"shiftright(w{w}, {shift}){'' if k == first[w] else f' & {(1 << 21) - 1}'} AS q{k}" for k, (w, shift) in enumerate(steps)]
-    asked = ", ".join(f"struct({i} AS which, {f}D AS fraction)" for i, f in enumerate(fractions))
     # ranks around fraction * (N - 1), counted from 1; they coincide when it is whole
-    parts = [
-        f"base AS (SELECT position, n, number, text, {', '.join(digit)} FROM {{counts}})",
-        "totals AS (SELECT position, sum(n) AS total FROM base GROUP BY position)",
-        f"asked AS (SELECT position, total, inline(array({asked})) FROM totals)",
-        "t0 AS (SELECT position, which, fraction, up = 1 AS upper, CAST(CASE up WHEN 0 THEN floor(fraction * (total - 1)) ELSE ceil(fraction * (total - 1)) END AS BIGINT) + 1 AS rank "
-        "FROM asked LATERAL VIEW explode(array(0, 1)) AS up)",
-    ]
+    rank = "CAST({}({}D * (total - 1)) AS BIGINT) + 1"
+    sides = [(i, f, rank.format(side, f), up) for i, f in enumerate(fractions) for side, up in (("floor", "false"), ("ceil", "true"))]
+    asked = "array(" + ", ".join(f"named_struct('which', {i}, 'fraction', {f}D, 'upper', {up}, 'rank', {r})" for i, f, r, up in sides) + ")"
+    below = "named_struct('which', a.which, 'fraction', a.fraction, 'upper', a.upper, 'rank', a.rank - (upto - n))"
+    parts = [f"base AS (SELECT position, kind, n, {', '.join(digit)} FROM {{counts}})"]
     for k in range(len(steps)):
-        known = [f"q{i}" for i in range(k)]
-        names = ", ".join(["position", *known])
-        own = ", ".join(["b.position", *(f"b.{q}" for q in known)])
-        same = " AND ".join(f"b.{c} = p.{c}" for c in ("position", *known))
-        last = ", min(number) AS number, min(text) AS text" if k == len(steps) - 1 else ""
-        source = "base b" if k == 0 else f"base b JOIN p{k} p ON {same}"
-        hint = "" if k == 0 else "/*+ BROADCAST(p) */ "
-        if k:
-            parts.append(f"p{k} AS (SELECT DISTINCT {names} FROM t{k})")
-        parts.append(f"c{k} AS (SELECT {hint}{own}, b.q{k}, sum(b.n) AS n{last} FROM {source} GROUP BY {own}, b.q{k})")
-        parts.append(f"u{k} AS (SELECT *, sum(n) OVER (PARTITION BY {names} ORDER BY q{k} ROWS UNBOUNDED PRECEDING) AS upto FROM c{k})")
-        same = " AND ".join(f"t.{c} = u.{c}" for c in ("position", *known))
-        carried = ", u.number, u.text" if last else ""
-        parts.append(
-            f"t{k + 1} AS (SELECT /*+ BROADCAST(t) */ t.position, t.which, t.fraction, t.upper, t.rank - (u.upto - u.n) AS rank, {''.join(f't.{q}, ' for q in known)}u.q{k}{carried} "
-            f"FROM t{k} t JOIN u{k} u ON {same} WHERE t.rank > u.upto - u.n AND t.rank <= u.upto)"
-        )
-    return f"WITH {', '.join(parts)} SELECT position, which, fraction, upper, number, text FROM t{len(steps)}"
+        known = ["position", "kind", *(f"q{i}" for i in range(k))]
+        names = ", ".join(known)
+        if k == 0:
+            parts.append(f"c0 AS (SELECT position, kind, q0, sum(n) AS n FROM base GROUP BY position, kind, q0)")
+            ranks = asked
+        else:
+            own, same = ", ".join(f"b.{c}" for c in known), " AND ".join(f"b.{c} = p.{c}" for c in known)
+            parts.append(f"c{k} AS (SELECT /*+ BROADCAST(p) */ {own}, b.q{k}, p.asked, sum(b.n) AS n FROM base b JOIN p{k} p ON {same} GROUP BY {own}, b.q{k}, p.asked)")
+            ranks = "asked"
+        total = ", sum(n) OVER (PARTITION BY position) AS total" if k == 0 else ""
+        parts.append(f"u{k} AS (SELECT *, sum(n) OVER (PARTITION BY {names} ORDER BY q{k} ROWS UNBOUNDED PRECEDING) AS upto{total} FROM c{k})")
+        parts.append(f"s{k} AS (SELECT {names}, q{k}, n, upto, filter({ranks}, a -> a.rank > upto - n AND a.rank <= upto) AS held FROM u{k})")
+        parts.append(f"p{k + 1} AS (SELECT {names}, q{k}, transform(held, a -> {below}) AS asked FROM s{k} WHERE size(held) > 0)")
+    # the digits of a word side by side are the word again
+    whole = [" + ".join(f"shiftleft(CAST(q{k} AS BIGINT), {shift})" for k, (word, shift) in enumerate(steps) if word == w) or "0L" for w in range(3)]
+    found = ", ".join(f"{e} AS w{w}" for w, e in enumerate(whole))
+    return f"WITH {', '.join(parts)} SELECT position, kind, a.which, a.fraction, a.upper, {found} FROM p{len(steps)} LATERAL VIEW explode(asked) AS a"
 
 
 def order_statistics(counts: dict[str, DataFrame], fractions: tuple[float, ...]) -> DataFrame:
@@ -94,7 +115,10 @@ def order_statistics(counts: dict[str, DataFrame], fractions: tuple[float, ...])
     """
     merged = reduce(DataFrame.unionByName, [images(name, rows) for name, rows in counts.items()])
     words = 3 if any(name.startswith("decimal") for name in counts) else 1
-    found = merged.sparkSession.sql(_descent(words, fractions), counts=merged)
+    # images are made once: every round starts from the files of this shuffle
+    merged = merged.drop("number")
+    shared = merged.repartition("position", "w0", "w1", "w2") if words == 3 else merged.repartition("position", "w0")
+    found = values(merged.sparkSession.sql(_descent(words, fractions), counts=shared))
     sides = [F.max(F.when(F.col("upper") == up, F.col(c))).alias(n) for up, c, n in ((False, "text", "lower"), (True, "text", "upper"), (False, "number", "lower_number"), (True, "number", "upper_number"))]
     return found.groupBy("position", "which", "fraction").agg(*sides)
 

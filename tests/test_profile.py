@@ -3,7 +3,7 @@ import random
 import statistics
 import struct
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -185,3 +185,20 @@ def test_row_duplicates(spark):
     assert row_duplicates(wide).first().removable_rows == 1
     empty = row_duplicates(df.limit(0)).first()
     assert (empty.row_count, empty.distinct_rows, empty.removable_rows) == (0, 0, 0)
+
+
+def test_images_turn_back_into_values(spark):
+    rng = random.Random(5)
+    doubles = [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.5, 0.1, math.inf, -math.inf, math.nan]
+    doubles += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(2000)]
+    rows = spark.createDataFrame([(1, v, 1) for v in doubles], "position int, value double, n bigint")
+    back = med.values(med.images("floating", rows).withColumnRenamed("number", "given")).select("given", "number").collect()
+    assert all(r.given == r.number or (math.isnan(r.given) and math.isnan(r.number)) for r in back) and len(back) == len(doubles)
+    for scale in (0, 3, 20, 38):
+        unscaled = [0, 1, -1, 10**13, -(10**26), 10**38 - 1, 1 - 10**38] + [rng.randrange(-(10**rng.randrange(1, 38)), 10**37) for _ in range(200)]
+        with localcontext() as ctx:
+            ctx.prec = 60
+            decimals = [Decimal(u).scaleb(-scale) for u in unscaled]
+        rows = spark.createDataFrame([(1, d, 1) for d in decimals], f"position int, value decimal(38,{scale}), n bigint")
+        shown = sorted(r.text for r in med.values(med.images(f"decimal{scale}", rows)).select("text").collect())
+        assert shown == sorted(r.s for r in rows.selectExpr("CAST(value AS STRING) AS s").collect()) and len(shown) == len(decimals)
