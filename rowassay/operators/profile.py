@@ -10,9 +10,9 @@ from rowassay import constants as C
 from rowassay.functions.cleaning import finite
 from rowassay.operators.column_stats import is_numeric, one_pass_stats
 from rowassay.operators.medians import medians, order_statistics
-from rowassay.operators.value_counts import Counted, Slot, counted_families, distinct_counts, family, leading_values, name_of, slots
+from rowassay.operators.profile_state import TOP_TYPE, estimated_profile, profile_state
+from rowassay.operators.value_counts import Counted, counted_families, distinct_counts, leading_values, name_of, slots
 
-TOP_TYPE = "array<struct<value:string,count:bigint,frequency:double>>"
 NUMERIC_PARTS = ("min", "max", "mean", "median", "std", "sum")
 
 
@@ -98,11 +98,11 @@ def profile(
     Exact by default: one pass for the plain statistics, one shuffle of value counts per type family
     for distinct counts, top values and medians. ``parts`` leaves out those a caller does not need;
     what is left out reads as 0, empty or NULL. ``approximate=True`` answers everything in a single
-    pass without any shuffle of values (HyperLogLog++, Greenwald-Khanna and frequent-item sketches).
+    pass without any shuffle of values, from the sketches of ``profile_state``.
     ``keys`` are constant columns put in front, such as the dataset and version.
     """
     if approximate:
-        return _tagged(keys, _finished(one_pass_stats(df, extra=_sketches(top_limit)), sampling))
+        return _tagged(keys, estimated_profile(profile_state(df), top_limit).withColumn("sampling", F.lit(sampling)))
     counted, found = counted_families(df), []
     numbers = _numeric_counts(counted)
     if "distinct" in parts and counted:
@@ -142,26 +142,6 @@ def _padded(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("position", *[c if c in rows.columns else f"CAST(NULL AS {t}) AS {c}" for c, t in layout.items()])
 
 
-def _sketches(limit: int):
-    """Approximate aggregates added to the one-pass statistics of a column, as SQL."""
-
-    def extra(slot: Slot) -> str:
-        kind, value = family(slot.type), slot.sql
-        counted = f"to_json({value})" if kind == "nested" else value
-        distinct = f"approx_count_distinct({counted})" if kind else "CAST(NULL AS BIGINT)"
-        median = f"percentile_approx(CAST({value} AS DOUBLE), 0.5, 10000)" if is_numeric(slot.type) else "CAST(NULL AS DOUBLE)"
-        top = f"CAST(NULL AS {TOP_TYPE})"
-        if kind not in (None, "nested"):
-            counted = value if kind in ("integral", "floating") or kind.startswith("decimal") else f"CAST({value} AS STRING)"
-            items = f"filter(approx_top_k({counted}, {limit + 1}), e -> e.item IS NOT NULL)"
-            cell = f"named_struct('value', CAST(e.item AS STRING), 'count', e.count, 'frequency', e.count / count({value}))"
-            shown = f"transform({items}, e -> {cell})"
-            top = f"slice({shown}, 1, {limit})"
-        return f"{distinct} AS distinct_count, {median} AS median, {top} AS top_values, CAST(NULL AS {TOP_TYPE}) AS placeholders"
-
-    return extra
-
-
 def smallest_distinct(profiled: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Smallest per-column distinct count, the column-wise guess at distinct rows."""
     return profiled.groupBy(*(keys or [])).agg(

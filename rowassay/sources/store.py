@@ -18,7 +18,7 @@ from rowassay.sources.structure import column_names, name_violations
 
 RESULT_TABLES = (
     "profiles", "findings", "scored_findings", "scores", "score_breakdowns", "schema_diffs", "distribution_drifts", "score_drifts",
-    "recommendations", "validations", "runs",
+    "recommendations", "validations", "runs", "profile_states",
 )
 
 

@@ -313,6 +313,12 @@ SQL["a8_profile_nested"] = flat_profile("embeddings", "embeddings")
 SQL["a8_profile_approximate"] = (
     f"SELECT name, sample_size, null_count, round(numeric_mean, 4) AS mean FROM {profile('lineitem', 'lineitem')}"
 )
+SQL["a8_profile_grown"] = (
+    "SELECT name, sample_size, null_count, " + ", ".join(f"round(numeric_{p}, 3) AS numeric_{p}" for p in ("min", "max", "mean", "std"))
+    + f", {clock('temporal_min')} AS temporal_min, {clock('temporal_max')} AS temporal_max, CASE WHEN distinct_count <= 100 THEN distinct_count END AS few_distinct, "
+    "CASE WHEN distinct_count <= 100 THEN top_values END AS top_values, distinct_count >= 0 AS distinct_near, "
+    f"CASE WHEN numeric_median IS NOT NULL THEN true END AS median_near FROM {profile('lineitem', 'lineitem')}"
+)
 SQL["a9_distinct_rows"] = " UNION ALL ".join(
     f"SELECT '{n}' AS source, '{m}' AS mode, row_count, distinct_rows FROM {f}"
     for n, s in (("flags", FLAGS), ("texts", TEXTS)) for m, f in (("exact", distinct_rows(s)), ("column_min", smallest_distinct(s, n)))

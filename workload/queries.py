@@ -15,6 +15,7 @@ from rowassay.operators.column_stats import column_counts, length_stats, numeric
 from rowassay.operators.profile import bounded_sample, column_medians, column_order_statistics, profile, smallest_distinct
 from rowassay.operators.value_counts import column_distinct, top_values, value_counts
 from rowassay.plans.analysis import assess, compare, run_steps
+from rowassay.plans.incremental import add_rows, grown_profile
 from rowassay.session import scratch_path, settle
 from rowassay.sources import files, structure
 from rowassay.sources.store import ResultStore, profile_from_json, profile_to_json
@@ -298,6 +299,27 @@ def a8d(spark, folder):
     return profile(D.load(spark, folder, "lineitem"), approximate=True).select("name", "sample_size", "null_count", F.round("numeric.mean", 4).alias("mean"))
 
 
+@query("a8_profile_grown")
+def a8e(spark, folder):
+    """A table added in two parts: what its stored states merge to, with the estimates held against exact values."""
+    df, store = D.load(spark, folder, "lineitem"), ResultStore(spark, scratch_path(spark, "grown"))
+    for odd in (0, 1):
+        add_rows(store, "lineitem", df.where(F.col("l_orderkey") % 2 == odd))
+    around = column_order_statistics(df, (0.48, 0.52)).groupBy("name").agg(F.min(F.col("lower").cast("double")).alias("low"), F.max(F.col("upper").cast("double")).alias("high"))
+    exact = column_distinct(df).select(F.col("column").alias("name"), F.col("distinct_count").alias("known")).join(around, "name", "left")
+    rows = grown_profile(store, "lineitem").join(F.broadcast(exact), "name")
+    top = F.array_join(F.transform("top_values", lambda e: F.concat(e["value"], F.lit("="), e["count"].cast("string"))), "; ")
+    few = F.col("known") <= 100
+    return rows.select(
+        "name", "sample_size", "null_count", *[F.round(f"numeric.{p}", 3).alias(f"numeric_{p}") for p in ("min", "max", "mean", "std")],
+        clock("temporal.min").alias("temporal_min"), clock("temporal.max").alias("temporal_max"),
+        F.when(few, F.col("distinct_count")).alias("few_distinct"),
+        F.when(few & (F.col("logical_type") != "float"), top).alias("top_values"),
+        (F.abs(F.col("distinct_count") - F.col("known")) <= 0.06 * F.col("known")).alias("distinct_near"),
+        F.col("numeric.median").between(F.col("low"), F.col("high")).alias("median_near"),
+    )
+
+
 @query("a9_distinct_rows")
 def a9(spark, folder):
     frames = []
