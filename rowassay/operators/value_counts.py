@@ -208,14 +208,20 @@ def leading_values(df: DataFrame, counted: Counted, limit: int) -> DataFrame:
         keys = [f"{own if n == name else f'CAST(NULL AS {_key_type(n)})'} AS {n}" for n in families]
         digest = "digest" if name == "text" else "CAST(NULL AS BINARY)"
         frames.append(counted[name][1].selectExpr("position", "n", *keys, f"{digest} AS digest"))
+    members = {n: counted[n][0] for n in families}
+    return ranked_cells(members, _union(frames), limit, lambda front: _whole_texts(df, members["text"], front))
+
+
+def ranked_cells(families: dict[str, list[Slot]], cells: DataFrame, limit: int, whole_texts) -> DataFrame:
+    """The top lists from counts of all families in one frame: position, n, a key column per family, digest."""
     order = ", ".join(families)
-    ranked = _ranked(_union(frames), limit, f"{order}, digest NULLS FIRST")
+    ranked = _ranked(cells, limit, f"{order}, digest NULLS FIRST")
     if "text" in families:
-        whole = _whole_texts(df, counted["text"][0], ranked)
+        whole = whole_texts(ranked)
         ready = ranked.where("digest IS NULL").select("position", "n", *families).unionByName(whole, allowMissingColumns=True)
         ranked = _ranked(ready, limit, order)
     cases = " ".join(
-        f"WHEN position IN ({', '.join(str(s.position) for s in counted[n][0])}) THEN {_shown(n, counted[n][0], n)}" for n in families
+        f"WHEN position IN ({', '.join(str(s.position) for s in members)}) THEN {_shown(n, members, n)}" for n, members in families.items()
     )
     return ranked.selectExpr("position", "rank", f"CASE {cases} END AS value", "n AS count")
 

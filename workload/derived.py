@@ -87,6 +87,13 @@ SELECT CAST(9007199254740993 AS BIGINT) + CAST(l_orderkey AS BIGINT) * 2 - CAST(
   CAST(l_orderkey AS DECIMAL(38, 0)) * CAST(99999999999999937 AS DECIMAL(38, 0)) - CAST(l_partkey AS DECIMAL(38, 0)) * CAST(999999999999999989 AS DECIMAL(38, 0)) AS amount
 FROM {lineitem}"""
 
+# Doubles as whole hundredths, which all engines word alike.
+CENTS = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity * 100) AS BIGINT) AS l_quantity,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS l_extendedprice, CAST(round(l_discount * 100) AS BIGINT) AS l_discount,
+  CAST(round(l_tax * 100) AS BIGINT) AS l_tax, l_returnflag, l_linestatus, l_shipdate
+FROM {lineitem}"""
+
 
 def names_in(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))

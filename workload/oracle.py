@@ -307,6 +307,8 @@ def top(source: str, key: str, wanted, limit: int = 10, positions: bool = True)
 
 SQL["a7_top_values"] = top("lineitem", "lineitem", ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"))
 SQL["a7_top_long_texts"] = top("documents", "documents", ("text", "lang", "source"))
+SQL["a7_top_heavy"] = top(src(D.CENTS), "lineitem", [c for _, c, _ in columns("lineitem")])
+SQL["a7_top_heavy_texts"] = top("documents", "documents", [c for _, c, _ in columns("documents")])
 SQL["a8_profile"] = flat_profile(LABELLED, "labelled")
 SQL["a8_profile_lineitem"] = flat_profile("lineitem", "lineitem")
 SQL["a8_profile_nested"] = flat_profile("embeddings", "embeddings")

@@ -12,6 +12,7 @@ from rowassay.functions import cleaning, drift, predicates, scoring as X
 from rowassay.operators import comparison, context, detectors, events as ev, history, kpis, previews, recommendations as rec
 from rowassay.operators import row_duplicates as dup, scoring
 from rowassay.operators.column_stats import column_counts, length_stats, numeric_stats, one_pass_stats, temporal_stats
+from rowassay.operators.heavy_values import heavy_values
 from rowassay.operators.profile import bounded_sample, column_medians, column_order_statistics, profile, smallest_distinct
 from rowassay.operators.value_counts import column_distinct, top_values, value_counts
 from rowassay.plans.analysis import assess, compare, run_steps
@@ -266,6 +267,18 @@ def a7b(spark, folder):
     return rounded(top_values(D.load(spark, folder, "documents"), ["text", "lang", "source"]), "frequency")
 
 
+@query("a7_top_heavy")
+def a7c(spark, folder):
+    """All columns of lineitem; prices and rates as whole cents, as engines word doubles differently."""
+    lines = D.derive(spark, folder, D.CENTS)
+    return rounded(heavy_values(lines).drop("proven_by"), "frequency")
+
+
+@query("a7_top_heavy_texts")
+def a7d(spark, folder):
+    return rounded(heavy_values(D.load(spark, folder, "documents")).drop("proven_by"), "frequency")
+
+
 def flat_profile(rows: DataFrame) -> DataFrame:
     top = F.array_join(F.transform("top_values", lambda e: F.concat(e["value"], F.lit("="), e["count"].cast("string"))), "; ")
     return rows.select(
