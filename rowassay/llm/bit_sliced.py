@@ -8,13 +8,16 @@ best rows of a block are then taken from the most significant slice of the sum d
 set are in while they fit into k, and narrow the choice when they do not. Rows still undecided after the
 last slice tie exactly; the smallest ids fill up. Block winners are ranked by a window over all blocks.
 
-Blocks hold about ``BLOCK`` rows by hash; queries travel in bundles to every block, so work and memory of a task are
-bounded at any size.
-
-Defined cases: vectors that are NULL or hold NULL or non-finite components, and rows with a NULL id, take no
-part; missing components of shorter vectors count as zero; repeated equal rows count once; rows that share
-the query's id are its own; components beyond 2^52 after scaling count as 2^52; fewer candidates than k give all of them; an empty table gives no rows; scores
-beyond 64 bits are cut to the largest or smallest long.
+Blocks hold rows by hash, at most about ``BLOCK`` and fewer when vectors are long or components large, so that the
+slices of a block take about ``SLICE_BYTES``; queries travel in bundles to every block. Work and memory of a task are
+bounded at any size. A block has as many slices as its own largest component needs, so one huge component makes one
+block slow, not all.
+
+Defined cases: vectors that are NULL or hold NULL or non-finite components (or components that are non-finite once
+scaled), and rows with a NULL id, take no part; missing components of shorter vectors count as zero; repeated equal
+rows count once; rows that share the query's id are its own, and different vectors under one query id have a ranking
+each; fewer candidates than k give all of them; an empty table gives no rows. Components and scores are whole numbers
+of any size and ranked exactly; a score that a long cannot show is shown as the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rowassay.session import settle
 
 BLOCK = 32_768
+SLICE_BYTES = 64 << 20
 BUNDLE = 64  # queries
-LARGEST = 1 << 52  # whole-number components are held to this size
+WHOLE = float(1 << 53)  # from here on every double is a whole number
 
 
 def finite(vector: Column) -> Column:
@@ -37,23 +41,45 @@ def finite(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, x) with whole-number components of the vectors that take part."""
-    fit = vectors.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
-    whole = F.transform("embedding", lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x.cast("double") * scale).cast("long"))))
+    """(vec_id, x) with whole-number components, as doubles, of the vectors that take part."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * scale)
+    fit = vectors.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", scaled.alias("y")).filter(finite(F.col("y")))
+    whole = F.transform("y", lambda y: F.when(F.abs(y) >= WHOLE, y).otherwise(F.floor(y).cast("double")))
     return fit.select("vec_id", whole.alias("x")).dropDuplicates()
 
 
-def slice_block(ids: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+def matrix(columns: list[pa.Array], width: int) -> np.ndarray:
+    """List columns as one array of rows, filled up with zeros."""
+    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in columns])
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in columns])
+    return out
+
+
+def slice_block(x: np.ndarray, bits: int) -> np.ndarray:
     """(components, bits, words) bitmaps of the shifted components, rows in the given order."""
-    shifted = (x + (1 << (bits - 1))).astype(np.uint64)
-    words = -(-len(ids) // 64)
+    shift, words = 1 << (bits - 1), -(-len(x) // 64)
     out = np.zeros((x.shape[1], bits, words * 8), dtype=np.uint8)
-    for j in range(bits):
-        packed = np.packbits((shifted >> np.uint64(j) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
-        out[:, j, : packed.shape[1]] = packed
+    if bits <= 62:
+        shifted = (x.astype(np.int64) + shift).astype(np.uint64)
+        for j in range(bits):
+            packed = np.packbits((shifted >> np.uint64(j) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
+            out[:, j, : packed.shape[1]] = packed
+    else:  # beyond machine words: Python's whole numbers, one component at a time
+        size = -(-bits // 8)
+        for d in range(x.shape[1]):
+            raw = b"".join((int(v) + shift).to_bytes(size, "little") for v in x[:, d].tolist())
+            each = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(len(x), size), axis=1, bitorder="little")
+            packed = np.packbits(each[:, :bits].T, axis=1, bitorder="little")
+            out[d, :, : packed.shape[1]] = packed
     return out.view("<u8")
 
 
+def bits_of(largest: float) -> int:
+    """Bits of the shifted components, for the largest absolute value."""
+    return int(largest).bit_length() + 1
+
+
 def add_up(slices: np.ndarray, query: list[int]) -> list[np.ndarray]:
     """Slices of the weighted sum, least significant first."""
     terms: dict[int, list[np.ndarray]] = {}
@@ -109,34 +135,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     """(query_id, rank, vec_id, score): the k largest inner products of each row that is a query with all others."""
     rows = settle(quantised(vectors, scale), "quantised")
     n, low, high, width = rows.agg(F.count(F.lit(1)), F.min(F.array_min("x")), F.max(F.array_max("x")), F.max(F.size("x"))).first()
-    bits = max(abs(low or 0), abs(high or 0)).bit_length() + 1
+    most = bits_of(max(abs(low or 0.0), abs(high or 0.0)))
     width = max(width or 1, 1)
-    blocks = max(1, -(-n // BLOCK))
+    per_block = max(64, min(BLOCK, SLICE_BYTES * 8 // (width * max(most, 64))))
+    blocks = max(1, -(-n // per_block))
+    # scores as bytes in their own order: moved to be non-negative, of one length
+    offset = 1 << (2 * most + width.bit_length())
+    length = -(-(offset.bit_length() + 1) // 8)
 
     def index(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(groups)
         ids = np.concatenate([p.column("vec_id").to_numpy(zero_copy_only=False) for p in parts])
-        x = np.array([v + [0] * (width - len(v)) for p in parts for v in p.column("x").to_pylist()], dtype=np.int64)
+        x = matrix([p.column("x") for p in parts], width)
+        bits = bits_of(np.abs(x).max())
         order = np.argsort(ids, kind="stable")
-        yield pa.record_batch([parts[0].column("block")[:1], pa.array([ids[order].tobytes()]), pa.array([slice_block(ids[order], x[order], bits).tobytes()])], names=["block", "ids", "slices"])
+        yield pa.record_batch(
+            [parts[0].column("block")[:1], pa.array([bits], pa.int32()), pa.array([ids[order].tobytes()]), pa.array([slice_block(x[order], bits).tobytes()])],
+            names=["block", "bits", "ids", "slices"],
+        )
 
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int"))
-    indexed = settle(blocked.groupBy("block").applyInArrow(index, "block int, ids binary, slices binary"), "bit-slices")
-    queries = rows.filter(is_query)
+    indexed = settle(blocked.groupBy("block").applyInArrow(index, "block int, bits int, ids binary, slices binary"), "bit-slices")
+    queries = rows.filter(is_query).withColumn("which", F.xxhash64("x"))
     bundles = max(1, -(-queries.count() // BUNDLE))
-    bundled = queries.groupBy(F.pmod(F.xxhash64("vec_id", "x", F.lit(1)), F.lit(bundles)).alias("bundle")).agg(F.collect_list(F.struct("vec_id", "x")).alias("queries"))
+    bundled = queries.groupBy(F.pmod(F.xxhash64("vec_id", "x", F.lit(1)), F.lit(bundles)).alias("bundle")).agg(F.collect_list(F.struct("vec_id", "which", "x")).alias("queries"))
     sent = bundled.select("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
+                bits = batch.column("bits")[r].as_py()
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), dtype=np.int64)
                 slices = np.frombuffer(batch.column("slices")[r].as_py(), dtype="<u8").reshape(width, bits, -1)
                 everyone = np.zeros(slices.shape[2] * 64, dtype=np.uint8)
                 everyone[: len(ids)] = 1
                 out = []
                 for q in batch.column("queries")[r].as_py():
-                    own, factors = q["vec_id"], q["x"] + [0] * (width - len(q["x"]))
+                    own, factors = q["vec_id"], [int(v) for v in q["x"]] + [0] * (width - len(q["x"]))
                     others = everyone.copy()
                     others[slice(*np.searchsorted(ids, [own, own + 1]))] = 0
                     total = add_up(slices, factors)
@@ -145,10 +180,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
                     added = sum(f << (bits - 1) if f > 0 else -f * ((1 << (bits - 1)) - 1) for f in factors)
                     for at in rows_.tolist():
                         value = sum((int(t[at >> 6]) >> (at & 63) & 1) << p for p, t in enumerate(total)) - added
-                        out.append((own, int(ids[at]), max(-(1 << 63), min((1 << 63) - 1, value))))
-                yield pa.record_batch([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+                        out.append((own, q["which"], int(ids[at]), max(-(1 << 63), min((1 << 63) - 1, value)), (value + offset).to_bytes(length, "big")))
+                kinds = {"query_id": pa.int64(), "which": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "place": pa.binary()}
+                yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    joined = indexed.join(sent.hint("shuffle_merge"), F.col("block") == F.col("to")).select("ids", "slices", "queries")
-    found = joined.mapInArrow(find, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    joined = indexed.join(sent.hint("shuffle_merge"), F.col("block") == F.col("to")).select("bits", "ids", "slices", "queries")
+    found = joined.mapInArrow(find, "query_id long, which long, vec_id long, score long, place binary")
+    best = W.partitionBy("query_id", "which").orderBy(F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

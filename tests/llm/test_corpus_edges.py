@@ -92,15 +92,38 @@ def test_bit_sliced(spark, vectors):
     parts = {}
     for r in vectors.collect():
         if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding):
-            parts[r.vec_id] = [max(-(1 << 52), min(1 << 52, int(np.floor(x * 1024)))) for x in r.embedding]
+            parts[r.vec_id] = [int(np.floor(x * 1024)) for x in r.embedding]
     want = set()
     for q in (i for i in parts if i % 100 == 0):
-        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(parts[q], parts[c])))), c) for c in parts if c != q)
-        want |= {(q, n, c, -s) for n, (s, c) in enumerate(scores[:3], 1)}
+        scores = sorted((-sum(a * b for a, b in zip(parts[q], parts[c])), c) for c in parts if c != q)
+        want |= {(q, n, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, c) in enumerate(scores[:3], 1)}
     assert {tuple(r) for r in rows} == want
     assert bit_sliced.search(vectors.limit(0), F.lit(True)).collect() == []
 
 
+def test_bit_sliced_large_numbers(spark):
+    """Components of any size are whole numbers to the last digit, and ranked by scores no long can show."""
+    draw = np.random.default_rng(11)
+    points = draw.standard_normal((150, 6)) * 10.0 ** draw.choice([0, 3, 9, 14, 17, 40], (150, 1))
+    points[:20] = (2.0**43 + np.arange(20)[:, None]) / 1024  # neighbours around 2^43
+    points[20:23] = points[23]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(x * 1024)) for x in p] for p in points.tolist()]
+    want = set()
+    for q in range(0, 150, 10):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in range(150) if c != q)
+        want |= {(q, n, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, c) in enumerate(scores[:5], 1)}
+    assert {tuple(r) for r in bit_sliced.search(df, F.col("vec_id") % 10 == 0, 5).collect()} == want
+
+
+def test_bit_sliced_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0]), (3, [1.8e306, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in bit_sliced.search(df, F.col("vec_id") == 0, 10).collect())
+    one = 1024 * 1024
+    assert got == [(0, 1, 1, 3 * one), (0, 1, 2, 2 * one), (0, 2, 1, one), (0, 2, 2, one)]
+
+
 def test_language_model(spark, odd, none):
     rows = context_mixing.score(odd, F.coalesce(F.col("doc_id") != 4, F.lit(False))).collect()
     assert len(rows) == odd.count() and all(np.isfinite(r.score) and r.bits > 0 for r in rows)
