@@ -38,7 +38,6 @@ FILTER_BITS = 26
 BITMAP = 32_768  # bits in one bitmap of Spark's bitmap functions
 SCALE = 1_000_000_000
 HELD = 200_000  # different entries a task counts before it passes them on
-GROUPS_HELD = 500_000  # the same for terms by source
 CELLS = 1 << 19  # probabilities in one numpy block
 # letters stay, A-Z are lowered, all else parts terms
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -113,8 +112,15 @@ def level_counts(docs: DataFrame, shorter: int, longest: int, bits) -> DataFrame
     return made.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
-def group_counts(docs: DataFrame, bits) -> DataFrame:
-    """(lang, source, term, n): occurrences by group of the terms in ``bits``."""
+def numbered(groups: DataFrame) -> tuple[DataFrame, dict[tuple[bytes, bytes], int]]:
+    """(group, lang, source) and the number of each group; groups are few, as results hold a row for each pair of them."""
+    rows = sorted((r.lang, r.source) for r in groups.collect())
+    frame = groups.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "group int, lang string, source string")
+    return frame, {(lang.encode(), source.encode()): i for i, (lang, source) in enumerate(rows)}
+
+
+def group_counts(docs: DataFrame, bits, numbers) -> DataFrame:
+    """(group, term, n): occurrences by group of the terms in ``bits``; numbers are shuffled, not names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept_by(bits.value)
@@ -123,18 +129,19 @@ def group_counts(docs: DataFrame, bits) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), n in groups.items():
                 if kept := known(lang, n, None):
-                    yield pa.record_batch([pa.array([lang.decode()] * len(kept)), pa.array([source.decode()] * len(kept)), pa.array(kept, pa.binary()), pa.array([n[t] for t in kept], pa.int64())], names=["lang", "source", "term", "n"])
+                    group = np.full(len(kept), numbers.value[lang, source], dtype=np.int32)
+                    yield pa.record_batch([pa.array(group), pa.array(kept, pa.binary()), pa.array([n[t] for t in kept], pa.int64())], names=["group", "term", "n"])
             groups.clear()
 
         for batch in sliced(batches, "text"):
             for lang, source, text in zip(*(as_bytes(batch.column(c)) for c in ("lang", "source", "text"))):
                 groups.setdefault((lang, source), Counter()).update(terms_of(text))
-            if sum(map(len, groups.values())) > GROUPS_HELD:
+            if sum(map(len, groups.values())) > HELD:
                 yield from out()
         yield from out()
 
-    made = docs.mapInArrow(run, "lang string, source string, term binary, n long")
-    return made.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    made = docs.mapInArrow(run, "group int, term binary, n long")
+    return made.groupBy("group", "term").agg(F.sum("n").alias("n"))
 
 
 def kept_terms(docs: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
@@ -158,8 +165,10 @@ def kept_terms(docs: DataFrame, least: int = 3, first: int = 6) -> DataFrame:
         rows = rows.unionByName(more)
     bits = context.broadcast(surviving_bits(rows.withColumnRenamed("term", "prefix")))
     rows = rows.select(F.col("lang").alias("l"), F.col("term").alias("t"))
+    names, numbers = numbered(docs.select("lang", "source").distinct())
+    counts = group_counts(docs, bits, context.broadcast(numbers)).join(F.broadcast(names), "group").select("lang", "source", "term", "n")
     # a term that shares its bit with a kept one is dropped here
-    return settle(group_counts(docs, bits).join(rows, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t")), "left_semi"), "iceberg-terms")
+    return settle(counts.join(rows, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t")), "left_semi"), "iceberg-terms")
 
 
 def probability(n: Column, total: Column, terms: Column) -> Column:
