@@ -13,6 +13,7 @@ from rowassay.operators import medians as med
 from rowassay.operators.profile import bounded_sample, column_medians, column_order_statistics, profile
 from rowassay.operators.row_duplicates import row_duplicates
 from rowassay.operators.value_counts import HEAD_CHARS, column_distinct, top_values, value_counts
+from workload.queries import QUERIES
 
 
 def by_name(df):
@@ -143,6 +144,15 @@ def test_order_statistics_in_their_own_type(spark):
             assert tuple(map(Decimal, found[name, f])) == tuple(Decimal(known[k]) for k in (math.floor(at), math.ceil(at))), (name, f)
 
 
+def test_order_statistics_query_of_keys_beyond_64_bits(spark, tmp_path):
+    rows = [(k * 7_919, k * 31, k * 1_003, k % 7 + 1) for k in range(-1, 40_000, 4_999)] + [(None, 1, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {(r.name, r.fraction): r.lower for r in QUERIES["a3_order_statistics"](spark, str(tmp_path)).collect()}
+    spread = sorted(o * 4611686018427 - 9007199254740993 * s for o, _, s, n in rows if o is not None and n < 6)
+    assert abs(spread[0]) > 2**63
+    assert [int(found["spread_key", f]) for f in (0.0, 0.5, 1.0)] == [spread[math.floor(f * (len(spread) - 1))] for f in (0.0, 0.5, 1.0)]
+
+
 def test_tables_without_numbers_or_rows(spark):
     texts = spark.createDataFrame([("a",), ("b",)], "t string")
     assert column_medians(texts).collect() == [] and column_order_statistics(texts).collect() == []

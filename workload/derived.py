@@ -87,6 +87,14 @@ SELECT CAST(9007199254740993 AS BIGINT) + CAST(l_orderkey AS BIGINT) * 2 - CAST(
   CAST(l_orderkey AS DECIMAL(38, 0)) * CAST(99999999999999937 AS DECIMAL(38, 0)) - CAST(l_partkey AS DECIMAL(38, 0)) * CAST(999999999999999989 AS DECIMAL(38, 0)) AS amount
 FROM {lineitem}"""
 
+# The same numbers for Spark, whose BIGINT products stop the query once the keys of a larger table leave 64 bits.
+WIDE_NUMBERS_ANY_SIZE = """
+SELECT CAST(9007199254740993 AS BIGINT) + CAST(l_orderkey AS BIGINT) * 2 - CAST(l_partkey AS BIGINT) AS odd_key, l_linenumber AS line,
+  CASE WHEN l_linenumber < 6 THEN CAST(l_orderkey AS DECIMAL(19, 0)) * CAST(4611686018427 AS DECIMAL(13, 0))
+    - CAST(9007199254740993 AS DECIMAL(16, 0)) * CAST(l_suppkey AS DECIMAL(19, 0)) END AS spread_key,
+  CAST(l_orderkey AS DECIMAL(38, 0)) * CAST(99999999999999937 AS DECIMAL(38, 0)) - CAST(l_partkey AS DECIMAL(38, 0)) * CAST(999999999999999989 AS DECIMAL(38, 0)) AS amount
+FROM {lineitem}"""
+
 # Doubles as whole hundredths, which all engines word alike.
 CENTS = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity * 100) AS BIGINT) AS l_quantity,

@@ -235,7 +235,7 @@ def a3(spark, folder):
 @query("a3_order_statistics")
 def a3b(spark, folder):
     """Exact values of whole numbers beyond a double's digits, and of 38-digit decimals."""
-    rows = D.derive(spark, folder, D.WIDE_NUMBERS)
+    rows = D.derive(spark, folder, D.WIDE_NUMBERS_ANY_SIZE)
     return column_order_statistics(rows, (0.0, 0.25, 0.5, 1.0)).select("name", "fraction", "lower", "upper")
 
 
