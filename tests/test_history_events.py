@@ -124,6 +124,20 @@ def test_late_events_are_decided_in_time_order(spark, tmp_path):
     assert got == {0: True, 1: True, 2: True, 3: True}
 
 
+def test_admission_stream_decides_many_keys_in_one_call(spark, tmp_path):
+    schema, start, big = "event_id bigint, client string, ts timestamp, ms double", datetime(2024, 1, 1), 2**53 + 1
+    rows = [(None if i == 7 else big + i, None if i % 50 == 3 else f"c{i % 50}", None if i == 9 else start + timedelta(seconds=i), 0.0) for i in range(400)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("micros", F.unix_micros("ts"))
+    stream = admission_stream(source, ["client"], "ts", "micros", "event_id", 2, 120, "0 seconds", buckets=4)
+    job = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    query = job.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 4
+    timed = [(i, c, int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))) for i, c, t, _ in rows if t is not None and t < rows[-1][2]]
+    assert {r.event_id: (r.allowed, r.retry_after_seconds, r.used) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == decisions(timed, 2, 120)
+
+
 def test_admission_null_keys_and_times(spark):
     rows = [(1, None, 5), (2, None, 6), (3, "a", 7), (4, None, 8), (5, "a", None)]
     got = {r.event_id: (r.allowed, r.used) for r in ev.admission(log_frame(spark, rows), ["client"], "micros", "event_id", 2, 1.0).collect()}
