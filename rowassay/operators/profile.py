@@ -40,16 +40,17 @@ def column_medians(df: DataFrame, columns=None) -> DataFrame:
     return found.select(F.col("position").alias("ordinal_position"), name_of(members).alias("name"), finite(F.col("median")).alias("median"))
 
 
-def column_order_statistics(df: DataFrame, fractions=(0.0, 0.5, 1.0), columns=None) -> DataFrame:
+def column_order_statistics(df: DataFrame, fractions=(0.0, 0.5, 1.0), columns=None, counted: Counted | None = None) -> DataFrame:
     """Exact values of each numeric column at fractions of its order, as text of the column's own type.
 
     One row for each column and fraction: ordinal_position, name, fraction, lower, upper; both differ where the fraction lies between two
-    values. Whole numbers and decimals never pass through a double.
+    values. Whole numbers and decimals never pass through a double. ``counted`` may be counts of the same columns made before.
     """
     members = [s for s in slots(df, columns) if is_numeric(s.type)]
     if not members:
         return df.sparkSession.createDataFrame([], "ordinal_position int, name string, fraction double, lower string, upper string")
-    found = order_statistics(_numeric_counts(counted_families(df, {s.field.name for s in members})), tuple(map(float, fractions)))
+    counted = counted_families(df, {s.field.name for s in members}) if counted is None else counted
+    found = order_statistics(_numeric_counts(counted), tuple(map(float, fractions)))
     return found.select(F.col("position").alias("ordinal_position"), name_of(members).alias("name"), "fraction", "lower", "upper")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowassay import constants as C
 from rowassay.functions.cleaning import utc_ntz_sql
+from rowassay.session import settle
 
 HEAD_CHARS = 128
 
@@ -143,6 +144,11 @@ def counted_families(df: DataFrame, columns=None) -> Counted:
     return {name: (members, family_counts(df, name, members)) for name, members in by_family(df, columns).items()}
 
 
+def settled_families(df: DataFrame, columns=None) -> Counted:
+    """The same counts, made once for all operators that are given them."""
+    return {name: (members, settle(counts, "value-counts")) for name, (members, counts) in counted_families(df, columns).items()}
+
+
 def _shown(name: str, members: list[Slot], value: str = "value") -> str:
     """Text of a counted value, in the form of its own column's type, as SQL."""
     special = {
@@ -271,9 +277,9 @@ def top_values(df: DataFrame, columns=None, limit: int = C.TOP_VALUES) -> DataFr
     )
 
 
-def column_distinct(df: DataFrame, columns=None) -> DataFrame:
-    """Exact distinct non-NULL count and rate per column (A2)."""
-    return distinct_counts(counted_families(df, columns)).select(
+def column_distinct(df: DataFrame, columns=None, counted: Counted | None = None) -> DataFrame:
+    """Exact distinct non-NULL count and rate per column (A2); ``counted`` may be counts made before."""
+    return distinct_counts(counted_families(df, columns) if counted is None else counted).select(
         F.col("position").alias("ordinal_position"),
         name_of(slots(df)).alias("column"),
         "distinct_count",

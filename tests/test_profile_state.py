@@ -1,12 +1,15 @@
 import math
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from rowassay.operators import value_counts as VC
 from rowassay.operators.profile import profile
 from rowassay.operators.profile_state import estimated_profile, merge_states, profile_state
 from rowassay.plans.incremental import add_rows, grown_profile
 from rowassay.sources.store import ResultStore
+from workload.queries import QUERIES
 
 EXACT = ("sample_size", "non_null_count", "null_count", "null_rate", "temporal", "physical_type", "logical_type")
 
@@ -88,3 +91,15 @@ def test_stored_states_grow(spark, tmp_path):
     got, want = by_name(grown_profile(store, "007")), by_name(estimated_profile(profile_state(df)))
     assert {n: (r.sample_size, r.null_count) for n, r in got.items()} == {n: (r.sample_size, r.null_count) for n, r in want.items()}
     assert close(got["far"].numeric.std, want["far"].numeric.std) and got["k"].top_values == want["k"].top_values
+
+
+def test_grown_profile_query_counts_values_once(spark, tmp_path, monkeypatch):
+    rows = [(k // 3, k % 50, k % 5, k % 7, float(k % 11), k / 4, 0.5, 0.25, "AR"[k % 2], "O", datetime(2024, 1, 1)) for k in range(600)]
+    names = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    counted, plain = [], VC.family_counts
+    monkeypatch.setattr(VC, "family_counts", lambda df, name, members: counted.append(name) or plain(df, name, members))
+    found = {r.name: r for r in QUERIES["a8_profile_grown"](spark, str(tmp_path)).collect()}
+    assert sorted(counted) == ["floating", "integral", "temporal", "text"]
+    assert len(found) == 11 and all(r.distinct_near and r.median_near in (None, True) for r in found.values())
+    assert found["l_extendedprice"].median_near and found["l_returnflag"].few_distinct == 2

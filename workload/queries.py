@@ -14,7 +14,7 @@ from rowassay.operators import row_duplicates as dup, scoring
 from rowassay.operators.column_stats import column_counts, length_stats, numeric_stats, one_pass_stats, temporal_stats
 from rowassay.operators.heavy_values import heavy_values
 from rowassay.operators.profile import bounded_sample, column_medians, column_order_statistics, profile, smallest_distinct
-from rowassay.operators.value_counts import column_distinct, top_values, value_counts
+from rowassay.operators.value_counts import column_distinct, settled_families, top_values, value_counts
 from rowassay.plans.analysis import assess, compare, run_steps
 from rowassay.plans.incremental import add_rows, grown_profile
 from rowassay.session import scratch_path, settle
@@ -318,8 +318,9 @@ def a8e(spark, folder):
     df, store = D.load(spark, folder, "lineitem"), ResultStore(spark, scratch_path(spark, "grown"))
     for odd in (0, 1):
         add_rows(store, "lineitem", df.where(F.col("l_orderkey") % 2 == odd))
-    around = column_order_statistics(df, (0.48, 0.52)).groupBy("name").agg(F.min(F.col("lower").cast("double")).alias("low"), F.max(F.col("upper").cast("double")).alias("high"))
-    exact = column_distinct(df).select(F.col("column").alias("name"), F.col("distinct_count").alias("known")).join(around, "name", "left")
+    counted = settled_families(df)
+    around = column_order_statistics(df, (0.48, 0.52), counted=counted).groupBy("name").agg(F.min(F.col("lower").cast("double")).alias("low"), F.max(F.col("upper").cast("double")).alias("high"))
+    exact = column_distinct(df, counted=counted).select(F.col("column").alias("name"), F.col("distinct_count").alias("known")).join(around, "name", "left")
     rows = grown_profile(store, "lineitem").join(F.broadcast(exact), "name")
     top = F.array_join(F.transform("top_values", lambda e: F.concat(e["value"], F.lit("="), e["count"].cast("string"))), "; ")
     few = F.col("known") <= 100
