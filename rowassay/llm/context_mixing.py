@@ -24,16 +24,15 @@ counts are 0 and every bit costs about one bit; an empty table gives no rows; an
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rowassay.llm.common import as_bytes, sliced, words_of
+from rowassay.llm.common import sliced
 from rowassay.session import settle
 
 FREQUENT = 1 << 18  # words with a path of their own, at most
@@ -46,9 +45,11 @@ START = CLASSES + ENDINGS  # class of what comes before the first word
 LETTERS = 257  # bytes and the end of a word
 CHUNK = 1 << 14  # slots in one row of counts
 SALTS = 8
-COUNTED = 1 << 21  # path steps that wait until they are counted together
+COUNTED = 1 << 20  # symbols that wait until they are counted together
+EXPANDED = 1 << 15  # different symbols in context whose paths are walked together
 BLOCK = 128  # symbols coded before weights change
 LANES = 160  # documents coded side by side
+LEVELS = 8  # depths told apart by the gate
 GATES = 64
 STEP = np.float32(1 / 15)  # of a stored logit
 MAP = 33  # cells of the adaptive map, for logits from -8 to 8
@@ -58,25 +59,32 @@ FIRST_WEIGHTS = np.array([[1.0, 0.0, 0.0], [0.25, 0.8, 0.0], [0.3, 0.0, 0.75], [
 MIX1, MIX2, MIX3, MIX4 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0x2C1B3C6D, 0xC2B2AE3D))
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces between ASCII white space of lower-cased ``texts``, whether each is a word (not empty), and the first piece of each text (and the end)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    return lists.values.cast(pa.binary()), pc.binary_length(lists.values).to_numpy() > 0, lists.offsets.to_numpy()
+
+
 def word_counts(docs: DataFrame, limit: int = 300_000) -> DataFrame:
     """(word, c) over all ``docs`` (text); the empty word stands for the end of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return made
+        def out() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            held.clear()
+            yield from summed.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
         for batch in sliced(batches, "text"):
-            for text in as_bytes(batch.column("text")):
-                counts.update(words_of(text))
-            counts[b""] += batch.num_rows
-            if len(counts) > limit:
-                yield out()
-        if counts:
-            yield out()
+            pieces, is_word, _ = words_in(batch.column("text"))
+            found = pieces.filter(pa.array(is_word)).value_counts()
+            held.append(pa.table([found.field("values"), found.field("counts")], names=["word", "c"]))
+            held.append(pa.table([pa.array([b""], pa.binary()), pa.array([batch.num_rows], pa.int64())], names=["word", "c"]))
+            if sum(t.num_rows for t in held) > limit * 2:
+                yield from out()
+        if held:
+            yield from out()
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -112,14 +120,9 @@ class Codebook:
     classes: np.ndarray
     escape: int
     offsets: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    path: np.ndarray  # node << 4 | level << 1 | bit of each step
     n_nodes: int
 
-    @property
-    def longest(self) -> int:
-        return int(np.diff(self.offsets).max())
-
     @classmethod
     def build(cls, frequent: list[tuple[bytes, int]], rare: int, letters: np.ndarray) -> Codebook:
         words = [w for w, _ in frequent]
@@ -128,14 +131,19 @@ class Codebook:
         more, letter_nodes, letter_bits = huffman((letters + 1).tolist())
         endings = np.array([ending(w) for w in words], dtype=np.int64)
         classes = np.where(np.arange(n) < CLASSES, np.arange(n), endings)
-        return cls(
-            dict(zip(words, range(n))), np.array([c for _, c in frequent], dtype=np.int64), classes, n,
-            np.concatenate([offsets, offsets[-1] + more[1:]]), np.concatenate([nodes, letter_nodes + n]).astype(np.uint32), np.concatenate([bits, letter_bits]), n + LETTERS - 1,
-        )
+        offsets = np.concatenate([offsets, offsets[-1] + more[1:]])
+        depth = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+        path = np.concatenate([nodes, letter_nodes + n]) << 4 | np.minimum(depth, LEVELS - 1) << 1 | np.concatenate([bits, letter_bits])
+        return cls(dict(zip(words, range(n))), np.array([c for _, c in frequent], dtype=np.int64), classes, n, offsets, path.astype(np.uint32), n + LETTERS - 1)
+
+
+def ending_number(last_two):
+    """Class of a word by its last two bytes, read as a number."""
+    return CLASSES + (last_two * 40503 >> 6) % ENDINGS
 
 
 def ending(word: bytes) -> int:
-    return CLASSES + (int.from_bytes(word[-2:], "little") * 40503 >> 6) % ENDINGS
+    return ending_number(int.from_bytes(word[-2:], "little"))
 
 
 @dataclass
@@ -148,86 +156,129 @@ class Stream:
     c2: np.ndarray
 
 
-def encode(texts: list[list[bytes]], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Number of each token (-1: a rare word), first token of each document (and the end), and the rare words in order."""
-    tokens: list[bytes] = []
-    first = [0]
-    for own in texts:
-        tokens += own
-        tokens.append(b"")
-        first.append(len(tokens))
-    # the words met here are few against the tokens: look them up once
-    own = dict.fromkeys(tokens)
-    own.update(zip(own, list(map(words.get, own, repeat(-1)))))
-    ids = np.fromiter(map(own.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-    return ids, np.array(first), [tokens[i] for i in np.flatnonzero(ids < 0)]
+def numbered(pieces: pa.Array, is_word: np.ndarray, piece_first: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Number in ``words`` of each token (-1: a rare word), first token of each text (and the end), and the rare words in order."""
+    found = pc.fill_null(pc.index_in(pieces, value_set=words), -1).to_numpy()
+    rare = pieces.filter(pa.array(is_word & (found < 0)))
+    first = np.concatenate([[0], np.cumsum(is_word)])[piece_first] + np.arange(len(piece_first))  # each text has its end
+    ids = np.empty(first[-1], dtype=np.int32)
+    inner = np.ones(len(ids), dtype=bool)
+    inner[first[1:] - 1] = False
+    ids[inner] = found[is_word]
+    ids[~inner] = pc.index(words, b"").as_py()
+    return ids, first, rare
+
 
+def encode(texts: list[list[bytes]], words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``numbered`` for texts that are words already."""
+    lists = pa.array(texts, pa.list_(pa.binary()))
+    return numbered(lists.values, np.ones(len(lists.values), dtype=bool), lists.offsets.to_numpy(), pa.array(list(words), pa.binary()))
 
-def stream(ids: np.ndarray, token_first: np.ndarray, rare: list[bytes], book: Codebook) -> Stream:
+
+def stream(ids: np.ndarray, token_first: np.ndarray, rare: pa.Array, book: Codebook) -> Stream:
     """From the output of ``encode``."""
-    ids = ids.astype(np.int64)
     at_rare = np.flatnonzero(ids < 0)
-    n_rare = np.fromiter(map(len, rare), dtype=np.int64, count=len(rare)) + 1  # letters and the word end
+    if len(rare):
+        ends = np.frombuffer(rare.buffers()[1], dtype=np.int32)[rare.offset : rare.offset + len(rare) + 1]
+        data = np.frombuffer(rare.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+    else:
+        ends, data = np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.uint8)
+    n_rare = np.diff(ends).astype(np.int64) + 1  # letters and the word end
     sizes = np.ones(len(ids), dtype=np.int64)
     sizes[at_rare] += n_rare
     start = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
     # classes of the words before; document starts see START
-    own = np.where(ids >= 0, book.classes[np.maximum(ids, 0)], 0)
-    own[at_rare] = [ending(w) for w in rare]
+    own = book.classes.take(np.maximum(ids, 0))
+    last_letter = data[ends[1:] - 1].astype(np.int64)
+    own[at_rare] = ending_number(np.where(n_rare > 2, data[ends[1:] - 2] | last_letter << 8, last_letter))
     before = np.concatenate([[START], own[:-1]])
     before[token_first[:-1]] = START
     # the place of the last very frequent word before each token, if it lies in the same document
     places = np.where((ids >= 0) & (ids < TOPICS) & (ids != book.words[b""]), np.arange(len(ids)), -1)
     last = np.concatenate([[-1], np.maximum.accumulate(places)[:-1]])
-    topic = np.where(last >= np.repeat(token_first[:-1], np.diff(token_first)), ids[np.maximum(last, 0)], TOPICS)
+    topic = np.where(last >= np.repeat(token_first[:-1], np.diff(token_first)), ids.take(np.maximum(last, 0)), TOPICS)
     symbols = np.zeros(total, dtype=np.int64)
     c1, c2 = np.zeros(total, dtype=np.uint32), np.zeros(total, dtype=np.uint32)
     symbols[start] = np.where(ids >= 0, ids, book.escape)
     c1[start] = before.astype(np.uint32) * MIX1
     c2[start] = topic.astype(np.uint32) * MIX4 + np.uint32(1)
-    if rare:
-        letters = np.frombuffer(b"".join(w + b"\0" for w in rare), dtype=np.uint8).astype(np.int64)
+    if len(rare):
+        spelled = np.ones(total, dtype=bool)
+        spelled[start] = False
+        place = np.flatnonzero(spelled)
         word_at = np.cumsum(n_rare) - n_rare
-        letters[word_at + n_rare - 1] = 256
-        place = np.repeat(start[at_rare] + 1 - word_at, n_rare) + np.arange(len(letters))
-        inside = np.arange(len(letters)) - np.repeat(word_at, n_rare)
-        back = [np.where(inside >= k, np.roll(letters, k), 256) for k in (1, 2, 3, 4)]
-        symbols[place] = book.escape + 1 + letters
-        c1[place] = ((back[0] << 9 | back[1]) + START + 1).astype(np.uint32) * MIX1
-        c2[place] = (back[0] << 27 ^ back[1] << 18 ^ back[2] << 9 ^ back[3]).astype(np.uint32) * MIX4 + np.uint32(2)
-    ends = np.concatenate([start, [total]])
-    return Stream(symbols, ends[token_first], c1, c2)
-
-
-def steps(book: Codebook, symbols: np.ndarray, c1: np.ndarray, c2: np.ndarray):
-    """Of every path step of ``symbols``: the symbol's place, node, depth, bit, and the slots of both contexts."""
-    begin = book.offsets[symbols]
-    n = book.offsets[symbols + 1] - begin
-    owner = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-    depth = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
-    at = begin.astype(np.int32)[owner] + depth
-    node = book.nodes[at]
-    mixed = node * MIX2
-
-    def slot(context: np.ndarray) -> np.ndarray:
-        h = context[owner] + mixed
-        h ^= h >> np.uint32(15)
-        h *= MIX3
-        return (h >> np.uint32(32 - SLOTS)).astype(np.int64)
-
-    return owner, node, depth, book.bits[at], slot(c1), slot(c2)
-
-
-def encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        letters = np.full(len(place), 256, dtype=np.uint32)
+        inner = np.ones(len(place), dtype=bool)
+        inner[word_at + n_rare - 1] = False
+        letters[inner] = data
+        back = []
+        for k in (1, 2, 3, 4):
+            # what a word's first letters look back to is no letter
+            back.append(np.roll(letters if k == 1 else back[-1], 1))
+            back[-1][word_at] = 256
+        symbols[place] = letters.astype(np.int64) + (book.escape + 1)
+        c1[place] = ((back[0] << 9 | back[1]) + np.uint32(START + 1)) * MIX1
+        c2[place] = (back[0] << 27 ^ back[1] << 18 ^ back[2] << 9 ^ back[3]) * MIX4 + np.uint32(2)
+    return Stream(symbols, np.concatenate([start, [total]])[token_first], c1, c2)
+
+
+def steps(book: Codebook, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of path steps of each of ``symbols``, and the ``path`` of all of them."""
+    begin = book.offsets.take(symbols)
+    n = book.offsets.take(symbols + 1) - begin
+    at = np.repeat(begin - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return n, book.path.take(at)
+
+
+def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slot numbers of path steps, by their multiplied contexts and nodes."""
+    h = node * MIX2
+    h += context
+    h ^= h >> np.uint32(15)
+    h *= MIX3
+    h >>= np.uint32(32 - SLOTS)
+    return h.astype(np.int64)
+
+
+def encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """What ``encode`` gave for the documents of a batch (ids, rare)."""
     ids, rare = batch.column("ids"), batch.column("rare")
     offsets = ids.offsets.to_numpy()
-    return ids.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0], rare.flatten().to_pylist()
+    return ids.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0], rare.flatten().cast(pa.binary())
+
+
+def add_steps(total: np.ndarray, keys: np.ndarray, book: Codebook) -> None:
+    """Add the path steps of ``keys`` (symbol << 32 | multiplied context; sorted in place) to the counts (zeros, ones) by slot.
+
+    Equal symbols in equal contexts walk the same path through the same slots, so each of them is walked once, with its count.
+    """
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(first, append=len(keys)).astype(total.dtype)
+    keys = keys[first]
+    for lo in range(0, len(keys), EXPANDED):
+        cut = slice(lo, lo + EXPANDED)
+        n, path = steps(book, (keys[cut] >> np.uint64(32)).astype(np.int64))
+        at = slots(np.repeat(keys[cut].astype(np.uint32), n), path >> 4)
+        at <<= 1
+        at |= path & 1
+        np.add.at(total, at, np.repeat(times[cut], n))
+
+
+def node_counts(book: Codebook, rare: int, letters: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Counts (zeros, ones) of the tree nodes by (table 0, chunk): they follow from the counts of the symbols."""
+    n = np.concatenate([book.counts, [rare], letters])
+    size = -(-book.n_nodes // CHUNK) * CHUNK
+    counts = np.zeros(2 * size, dtype=np.int64)
+    np.add.at(counts, (book.path >> 4).astype(np.int64) << 1 | book.path & 1, np.repeat(n, np.diff(book.offsets)))
+    return {(0, chunk): own for chunk, own in enumerate(counts.reshape(-1, 2 * CHUNK))}
 
 
 def bit_counts(docs: DataFrame, book) -> dict[tuple[int, int], np.ndarray]:
-    """Counts (zeros, ones) of encoded ``docs`` (ids, rare) by (table, chunk): tables 0 (nodes), 1 and 2 (slots of the contexts)."""
+    """Counts (zeros, ones) of encoded ``docs`` (ids, rare) by (table, chunk): tables 1 and 2 are the slots of the contexts."""
 
     def packed(table: int, chunk: int, counts: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([[table], [chunk], [pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)]], schema=SCHEMA)
@@ -237,26 +288,23 @@ def bit_counts(docs: DataFrame, book) -> dict[tuple[int, int], np.ndarray]:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = book.value
-        sizes = (-(-b.n_nodes // CHUNK) * CHUNK, 1 << SLOTS, 1 << SLOTS)
-        held = [np.zeros(2 * n, dtype=np.int32) for n in sizes]
-        waiting: list[tuple[np.ndarray, ...]] = []
+        held = [np.zeros(2 << SLOTS, dtype=np.int32) for _ in range(2)]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def count() -> None:
             for total, parts in zip(held, zip(*waiting)):
-                total += np.bincount(np.concatenate(parts), minlength=len(total))
+                add_steps(total, np.concatenate(parts), b)
             waiting.clear()
 
         for batch in sliced(batches, "ids", 1 << 19):
             s = stream(*encoded(batch), b)
-            for lo in range(0, len(s.symbols), 1 << 14):
-                cut = slice(lo, lo + (1 << 14))
-                _, node, _, bit, one, two = steps(b, s.symbols[cut], s.c1[cut], s.c2[cut])
-                waiting.append(tuple((at.astype(np.int32) << 1) | bit for at in (node, one, two)))
+            symbols = s.symbols.astype(np.uint64) << np.uint64(32)
+            waiting.append((symbols | s.c1, symbols | s.c2))
             if sum(len(w[0]) for w in waiting) > COUNTED:
                 count()
         if waiting:
             count()
-        for table, total in enumerate(held):
+        for table, total in enumerate(held, 1):
             for chunk, counts in enumerate(total.reshape(-1, 2 * CHUNK)):
                 if counts.any():
                     yield packed(table, chunk, counts)
@@ -310,52 +358,73 @@ def code_lengths(s: Stream, book: Codebook, model: Model) -> np.ndarray:
     bits = np.zeros(n_docs)
     order = np.argsort(-sizes, kind="stable")
     cells = np.linspace(-8, 8, MAP, dtype=np.float32)
-    level_of = np.minimum(np.arange(book.longest + 1), 7)  # by depth
     moved = 1 - (1 - MAP_RATE) ** np.arange(1 << 12)  # how far a cell goes towards what was seen that many times
     for lo in range(0, n_docs, LANES):
         docs = order[lo : lo + LANES]
         weights = np.tile(np.repeat(FIRST_WEIGHTS[None], GATES // 4, axis=0).reshape(GATES, 3), (len(docs), 1)).T.copy()
         weights *= STEP
-        refined = np.tile((1 / (1 + np.exp(-cells))).astype(np.float32), len(docs) * 16)
+        refined = np.tile((1 / (1 + np.exp(-cells))).astype(np.float32), len(docs) * 2 * LEVELS)
         for block in range(-(-int(sizes[docs[0]]) // BLOCK)):
             alive = int(np.searchsorted(-sizes[docs], -block * BLOCK, side="left"))  # documents with symbols left come first
             begin = s.first[docs[:alive]] + block * BLOCK
             n = np.minimum(sizes[docs[:alive]] - block * BLOCK, BLOCK)
             symbol_first = np.cumsum(n) - n
             place = np.repeat(begin - symbol_first, n) + np.arange(n.sum())
-            symbols = s.symbols[place]
-            owner, node, depth, bit, one, two = steps(book, symbols, s.c1[place], s.c2[place])
+            symbols = s.symbols.take(place)
             # lane and kind of symbol (word or letter) choose a row of 8 levels
-            row = np.repeat(np.arange(0, alive * 16, 16), n) + ((symbols > book.escape) << 3)
-            level = row[owner] + level_of[depth]
-            l0, l1, l2 = model.nodes[node], model.one[one], model.two[two]
-            gate = level * 4 + (l1 != 0)
-            gate += (l2 != 0) * 2
-            mixed = weights[0][gate] * l0
-            mixed += weights[1][gate] * l1
-            mixed += weights[2][gate] * l2
+            row = np.repeat(np.arange(0, alive * 2 * LEVELS, 2 * LEVELS), n) + (symbols > book.escape) * LEVELS
+            n_steps, path = steps(book, symbols)
+            node = path >> 4
+            one, two = (slots(np.repeat(c.take(place), n_steps), node) for c in (s.c1, s.c2))
+            logits = [table.take(at) for table, at in ((model.nodes, node.astype(np.int64)), (model.one, one), (model.two, two))]
+            level = np.repeat(row, n_steps)
+            level += path >> 1 & (LEVELS - 1)
+            seen = (logits[2] != 0).view(np.int8) << 1
+            seen |= logits[1] != 0
+            gate = level << 2
+            gate += seen
+            logits = [x.astype(np.float32) for x in logits]
+            mixed = weights[0].take(gate)
+            mixed *= logits[0]
+            for w, logit in zip(weights[1:], logits[1:]):
+                part = w.take(gate)
+                part *= logit
+                mixed += part
             np.minimum(mixed, 8, out=mixed)
             np.maximum(mixed, -8, out=mixed)
-            p = 1 / (1 + np.exp(-mixed))
-            cell = level * MAP + (mixed * 2 + np.float32(16.5)).astype(np.int64)
+            p = np.exp(-mixed)
+            p += 1
+            np.reciprocal(p, out=p)
+            mixed *= 2
+            mixed += np.float32(16.5)
+            level *= MAP
+            level += mixed.astype(np.int32)
+            bit = path & 1
             ones = bit.astype(np.float32)
-            right = p + refined[cell]
+            error = ones - p
+            right = refined.take(level)
+            right += p
             right *= np.float32(0.5)
-            right -= 1 - ones  # for a zero, the negated probability of it
+            right += ones
+            right -= 1  # for a zero, the negated probability of it
             np.abs(right, out=right)
             np.maximum(right, np.float32(1 / 4096), out=right)
             np.minimum(right, np.float32(1 - 1 / 4096), out=right)
-            step_first = np.searchsorted(owner, symbol_first)
-            bits[docs[:alive]] -= np.add.reduceat(np.log2(right), step_first, dtype=np.float64)
-            error = (ones - p).astype(np.float64)
-            for w, logit in zip(weights, (l0, l1, l2)):
-                w[: alive * GATES] += RATE * STEP * STEP * np.bincount(gate, error * logit, alive * GATES)
-            met = np.bincount(cell * 2 + bit, minlength=2 * alive * 16 * MAP).reshape(-1, 2)
-            seen = met.sum(axis=1)
+            step_first = (np.cumsum(n_steps) - n_steps)[symbol_first]
+            bits[docs[:alive]] -= np.add.reduceat(np.log(right), step_first, dtype=np.float64)
+            for w, logit in zip(weights, logits):
+                logit *= error
+                w[: alive * GATES] += RATE * STEP * STEP * np.bincount(gate, logit, alive * GATES)
+            level <<= 1
+            level |= bit
+            met = np.bincount(level, minlength=2 * alive * 2 * LEVELS * MAP)
+            seen_ones = met[1::2]
+            seen = met[::2] + seen_ones
             at = np.flatnonzero(seen)
-            rate = moved[np.minimum(seen[at], len(moved) - 1)]
-            refined[at] += rate * (met[at, 1] / seen[at] - refined[at])
-    return bits
+            seen = seen[at]
+            old = refined[at]
+            refined[at] = old + moved.take(np.minimum(seen, len(moved) - 1)) * (seen_ones[at] / seen - old)
+    return bits / np.log(2)
 
 
 def score(docs: DataFrame, training: Column) -> DataFrame:
@@ -391,25 +460,26 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         letters[r.letter] = r.n
     rare_total = n_all - sum(c for _, c in frequent)
     codebook = Codebook.build(frequent, rare_total, letters)
-    book = context.broadcast(codebook)
+    known = context.broadcast(pa.array(list(codebook.words), pa.binary()))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = book.value.words
-        for batch in sliced(batches, "text", 1 << 20):
-            texts = as_bytes(batch.column("text"))
-            ids, first, rare = encode([words_of(t) for t in texts], words)
+        for batch in sliced(batches, "text"):
+            ids, first, rare = numbered(*words_in(batch.column("text")), known.value)
             rare_first = np.searchsorted(np.flatnonzero(ids < 0), first)
             yield pa.record_batch(
                 [
-                    batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("trained"), pa.array([len(t or b"") for t in texts], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(rare_first, pa.int32()), pa.array(rare, pa.binary())),
+                    batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("trained"), pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(rare_first, pa.int32()), rare),
                 ],
                 names=["row", "doc_id", "trained", "n_bytes", "ids", "rare"],
             )
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(training, F.lit(False)).alias("trained"), "text")
-    texts = settle(numbered.mapInArrow(numbers, "row long, doc_id long, trained boolean, n_bytes long, ids array<int>, rare array<binary>"), "encoded")
-    model = context.broadcast(Model.build(bit_counts(texts.filter("trained"), book), codebook.n_nodes))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(training, F.lit(False)).alias("trained"), "text")
+    texts = settle(rows.mapInArrow(numbers, "row long, doc_id long, trained boolean, n_bytes long, ids array<int>, rare array<binary>"), "encoded")
+    # what follows needs the paths only, not the words
+    book = context.broadcast(replace(codebook, words={b"": codebook.words[b""]}))
+    counted = node_counts(codebook, rare_total, letters) | bit_counts(texts.filter("trained"), book)
+    model = context.broadcast(Model.build(counted, codebook.n_nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, m = book.value, model.value

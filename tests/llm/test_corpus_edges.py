@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from rowassay.llm import bit_sliced, budget, cap_filters, chat, context_mixing, golay, packing, reshard, token_counts, toxicity
+from rowassay.llm.common import words_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, size string"
@@ -388,3 +390,38 @@ def test_packing_is_best_fit_whatever_the_partitions(spark):
     packed = packing.pack_lot(lot, 30)
     assert packed["local"].tolist() == plain_best_fit(list(zip(packed["size"], packed["source"], packed["cluster"])), 30)
     assert len({r[6] for r in pieces if r[6] is not None}) <= 1.1 * packed["local"].nunique()
+
+
+def test_context_mixing_walks_equal_symbols_once(monkeypatch):
+    book = context_mixing.Codebook.build([(b"the", 9), (b"", 4), (b"cat", 2)], 5, np.arange(context_mixing.LETTERS))
+    texts = [b"the cat the cat sat".split(), b"the the mat".split(), [], [b"sat"]] * 50
+    s = context_mixing.stream(*context_mixing.encode(texts, book.words), book)
+    walked, walk = [], context_mixing.steps
+    monkeypatch.setattr(context_mixing, "steps", lambda b, symbols: walked.append(len(symbols)) or walk(b, symbols))
+    for context in (s.c1, s.c2):
+        found, plain = (np.zeros(2 << context_mixing.SLOTS, dtype=np.int32) for _ in range(2))
+        keys = s.symbols.astype(np.uint64) << np.uint64(32) | context
+        pairs = len(set(keys.tolist()))
+        context_mixing.add_steps(found, keys, book)
+        assert sum(walked) == pairs < len(s.symbols) / 10
+        walked.clear()
+        for symbol, c in zip(s.symbols, context):
+            for x in book.path[book.offsets[symbol] : book.offsets[symbol + 1]]:
+                plain[int(context_mixing.slots(np.array([c]), np.array([x >> 4]))[0]) << 1 | int(x & 1)] += 1
+        assert np.array_equal(found, plain)
+    # the counts of the nodes are those of the symbols that pass them
+    met = np.bincount(s.symbols, minlength=book.escape + 1 + context_mixing.LETTERS)
+    book.counts = met[: book.escape]
+    nodes = np.concatenate([c for _, c in sorted(context_mixing.node_counts(book, met[book.escape], met[book.escape + 1 :]).items())])
+    _, path = walk(book, s.symbols)
+    assert np.array_equal(nodes, np.bincount((path >> 4 << 1 | path & 1).astype(np.int64), minlength=len(nodes)))
+
+
+def test_context_mixing_words_are_those_of_bytes():
+    texts = [None, "", "  ", " A\x0bb \x1c \u00c9 ", "z", "unmet zX", "\u2003\u00a0x"]
+    words = pa.array([b"", b"a", b"zx"], pa.binary())
+    ids, first, rare = context_mixing.numbered(*context_mixing.words_in(pa.array(texts)), words)
+    own = [words_of(t.encode() if t else None) for t in texts]
+    expected = [words.to_pylist().index(w) if w in words.to_pylist() else -1 for o in own for w in [*o, b""]]
+    assert ids.tolist() == expected and np.diff(first).tolist() == [len(o) + 1 for o in own]
+    assert rare.to_pylist() == [w for o in own for w in o if w not in words.to_pylist()]
