@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowassay.llm.common import as_bytes, sliced
@@ -37,14 +38,42 @@ from rowassay.session import settle
 FILTER_BITS = 26
 BITMAP = 32_768  # bits in one bitmap of Spark's bitmap functions
 SCALE = 1_000_000_000
-HELD = 200_000  # different entries a task counts before it passes them on
+HELD = 800_000  # counts of slices a task holds before it adds them up and passes them on
 CELLS = 1 << 19  # probabilities in one numpy block
+LONG = 64  # bytes of a term up to which its crc32 is worked out together with that of others
+CRC = np.arange(256, dtype=np.uint32)  # of one byte
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1)
 # letters stay, A-Z are lowered, all else parts terms
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    return text.translate(LETTERS).split() if text else []
+def terms_in(texts: pa.Array, shorter: int = 0) -> tuple[pa.Array, np.ndarray]:
+    """All terms of more than ``shorter`` bytes in ``texts``, and the place of the text of each."""
+    texts = texts.cast(pa.string()) if pa.types.is_large_string(texts.type) else texts
+    if not len(texts):
+        return pa.array([], pa.binary()), np.zeros(0, dtype=np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]).translate(LETTERS)
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data)))
+    long = pc.binary_length(lists.values).to_numpy() > shorter  # pieces without bytes are no terms
+    place = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    return lists.values.cast(pa.binary()).filter(pa.array(long)), place[long]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``keys`` in order and how often each occurs; sorts in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def added_up(held: list[pa.Table], n: str) -> pa.Table:
+    """One row for each key of the tables ``held``, with the sum of ``n``; empties the list."""
+    whole = pa.concat_tables(held)
+    held.clear()
+    keys = [c for c in whole.column_names if c != n]
+    return whole.group_by(keys, use_threads=False).aggregate([(n, "sum")]).select([*keys, f"{n}_sum"]).rename_columns([*keys, n])
 
 
 def read_documents(docs: DataFrame) -> DataFrame:
@@ -68,15 +97,36 @@ def surviving_bits(prefixes: DataFrame) -> bytes:
     return bytes(bits)
 
 
-def kept_by(bits: bytes, mask: int = (1 << FILTER_BITS) - 1):
-    """A test whether the bitmap has the bit of a term or beginning of a language."""
-    seeds: dict[bytes, int] = {}
-
-    def test(lang: bytes, terms: Iterable[bytes], length: int | None) -> list[bytes]:
-        if lang not in seeds:
-            seeds[lang] = zlib.crc32(lang + b"\0")
-        seed, crc = seeds[lang], zlib.crc32
-        return [t for t in terms if bits[(at := crc(t[:length], seed) & mask) >> 3] >> (at & 7) & 1]
+def crc_of(terms: pa.Array, length: int | None, seeds: np.ndarray) -> np.ndarray:
+    """The crc32 of each term, or of its first ``length`` bytes, that goes on from the crc32 in ``seeds``; as zlib and Spark give it."""
+    if not len(terms):
+        return np.zeros(0, dtype=np.uint32)
+    offsets = np.frombuffer(terms.buffers()[1], dtype=np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    size = np.diff(offsets) if length is None else np.minimum(np.diff(offsets), length)
+    data = np.frombuffer(terms.buffers()[2], dtype=np.uint8)
+    state = ~seeds.astype(np.uint32)
+    # longest first, so that those with a byte left stay together; very long ones one by one
+    order = np.argsort(255 - np.minimum(size, LONG + 1).astype(np.uint8), kind="stable")
+    order = order[np.count_nonzero(size > LONG) :]
+    at, own, left = offsets[order], state[order], np.cumsum(np.bincount(size[order], minlength=LONG + 1)[::-1])[::-1]
+    for byte in range(LONG):
+        n = left[byte + 1]  # terms with more bytes than this
+        own[:n] = CRC[(own[:n] ^ data[at[:n] + byte]) & 255] ^ own[:n] >> 8
+    state[order] = own
+    state = ~state
+    for i in np.flatnonzero(size > LONG):
+        state[i] = zlib.crc32(data[offsets[i] : offsets[i] + size[i]].tobytes(), int(seeds[i]))
+    return state
+
+
+def kept_by(bits: bytes):
+    """A test whether the bitmap has the bit of each term, or of its beginning, in its language (the number in ``langs``)."""
+    cells = np.frombuffer(bits, dtype=np.uint8)
+
+    def test(langs: list[bytes], numbers: np.ndarray, terms: pa.Array, length: int | None) -> np.ndarray:
+        seeds = np.array([zlib.crc32(lang + b"\0") for lang in langs], dtype=np.uint32)
+        at = crc_of(terms, length, seeds[numbers]) & np.uint32((1 << FILTER_BITS) - 1)
+        return (cells[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     return test
 
@@ -90,23 +140,31 @@ def level_counts(docs: DataFrame, shorter: int, longest: int, bits) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept_by(bits.value) if bits is not None else None
-        counts: dict[bytes, Counter] = {}
+        held: list[pa.Table] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, held in counts.items():
-                if held:
-                    yield pa.record_batch([pa.array([lang.decode()] * len(held)), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
-            counts.clear()
+            rows = added_up(held, "docs")
+            if known:
+                langs = rows.column("lang").combine_chunks().dictionary_encode()
+                rows = rows.filter(pa.array(known(langs.dictionary.cast(pa.binary()).to_pylist(), langs.indices.to_numpy(), rows.column("term").combine_chunks(), shorter)))
+            yield from rows.to_batches()
 
         for batch in sliced(batches, "text"):
-            for lang, text in zip(*(as_bytes(batch.column(c)) for c in ("lang", "text"))):
-                own: Iterable[bytes] = set(terms_of(text))
-                if known:
-                    own = known(lang, [t for t in own if len(t) > shorter], shorter)
-                counts.setdefault(lang, Counter()).update({t if len(t) <= longest else t[:longest] + b"\0" for t in own})
-            if sum(map(len, counts.values())) > HELD:
+            terms, place = terms_in(batch.column("text"), shorter)
+            terms = terms.dictionary_encode()
+            whole = terms.dictionary
+            cut = pc.binary_join_element_wise(pc.binary_slice(whole, 0, longest), pa.scalar(b"\0", pa.binary()), pa.scalar(b"", pa.binary()))
+            own = pc.if_else(pc.greater(pc.binary_length(whole), longest), cut, whole).dictionary_encode()
+            n = max(1, len(own.dictionary))
+            # a document counts a beginning once
+            pairs, _ = distinct(place * n + own.indices.to_numpy()[terms.indices.to_numpy()])
+            langs = batch.column("lang").dictionary_encode()
+            keys, times = distinct(langs.indices.to_numpy()[pairs // n].astype(np.int64) * n + pairs % n)
+            held.append(pa.table([langs.dictionary.take(pa.array(keys // n)).cast(pa.string()), own.dictionary.take(pa.array(keys % n)), pa.array(times, pa.int64())], names=["lang", "term", "docs"]))
+            if sum(t.num_rows for t in held) > HELD:
                 yield from out()
-        yield from out()
+        if held:
+            yield from out()
 
     made = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
     return made.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
@@ -124,21 +182,26 @@ def group_counts(docs: DataFrame, bits, numbers) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept_by(bits.value)
-        groups: dict[tuple[bytes, bytes], Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), n in groups.items():
-                if kept := known(lang, n, None):
-                    group = np.full(len(kept), numbers.value[lang, source], dtype=np.int32)
-                    yield pa.record_batch([pa.array(group), pa.array(kept, pa.binary()), pa.array([n[t] for t in kept], pa.int64())], names=["group", "term", "n"])
-            groups.clear()
-
+        langs = list(dict.fromkeys(lang for lang, _ in numbers.value))
+        lang_of = np.zeros(len(numbers.value), dtype=np.int64)  # by number of the group
+        for (lang, _), group in numbers.value.items():
+            lang_of[group] = langs.index(lang)
+        held: list[pa.Table] = []
         for batch in sliced(batches, "text"):
-            for lang, source, text in zip(*(as_bytes(batch.column(c)) for c in ("lang", "source", "text"))):
-                groups.setdefault((lang, source), Counter()).update(terms_of(text))
-            if sum(map(len, groups.values())) > HELD:
-                yield from out()
-        yield from out()
+            groups = np.fromiter(map(numbers.value.__getitem__, zip(as_bytes(batch.column("lang")), as_bytes(batch.column("source")))), dtype=np.int64, count=batch.num_rows)
+            terms, place = terms_in(batch.column("text"))
+            terms = terms.dictionary_encode()
+            n = max(1, len(terms.dictionary))
+            keys, times = distinct(groups[place] * n + terms.indices.to_numpy())
+            own = lang_of[keys // n] * n + keys % n
+            asked, _ = distinct(own.copy())
+            kept = known(langs, asked // n, terms.dictionary.take(pa.array(asked % n)), None)[np.searchsorted(asked, own)]
+            keys, times = keys[kept], times[kept]
+            held.append(pa.table([pa.array(keys // n, pa.int32()), terms.dictionary.take(pa.array(keys % n)), pa.array(times, pa.int64())], names=["group", "term", "n"]))
+            if sum(t.num_rows for t in held) > HELD:
+                yield from added_up(held, "n").to_batches()
+        if held:
+            yield from added_up(held, "n").to_batches()
 
     made = docs.mapInArrow(run, "group int, term binary, n long")
     return made.groupBy("group", "term").agg(F.sum("n").alias("n"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowassay.llm import boosted, iceberg, importance
@@ -227,3 +228,25 @@ def test_beginnings_below_the_threshold_are_discarded(spark):
     bits = spark.sparkContext.broadcast(iceberg.surviving_bits(spark.createDataFrame([("en", bytearray(b"comm"))], "lang string, prefix binary")))
     assert {bytes(r.term) for r in iceberg.level_counts(docs, 4, 8, bits).collect()} == {b"common", b"commonly"}
     assert {(r.source, bytes(r.term)) for r in iceberg.kept_terms(docs).collect()} == {("a", b"common"), ("b", b"common")}
+
+
+def test_iceberg_terms_and_places_of_the_bitmap_are_those_of_bytes():
+    texts = ["", "Ab ab-ab \x0bé\u2003ü 1x9y", "z" * 300 + " " + "y" * 64 + " " + "y" * 65, "!?", "q"]
+    terms, place = iceberg.terms_in(pa.array(["left out", *texts]).slice(1))
+    plain = [(i, t) for i, text in enumerate(texts) for t in text.encode().translate(iceberg.LETTERS).split()]
+    assert list(zip(place.tolist(), terms.to_pylist())) == plain
+    longer, place = iceberg.terms_in(pa.array(texts), 2)
+    assert list(zip(place.tolist(), longer.to_pylist())) == [(i, t) for i, t in plain if len(t) > 2]
+    seeds = np.arange(len(terms), dtype=np.uint32) * np.uint32(2654435761)
+    for length in (None, 1, 3, 70):
+        assert iceberg.crc_of(terms, length, seeds).tolist() == [zlib.crc32(t[:length], int(x)) for t, x in zip(terms.to_pylist(), seeds)]
+
+
+def test_iceberg_looks_at_a_term_once_for_all_sources(spark, monkeypatch):
+    """One row for each group and kept term leaves a task, however many slices of text it had, and others are dropped there."""
+    docs = spark.createDataFrame([("en", f"s{i % 3}", f"common rare{chr(97 + i)}") for i in range(20)], "lang string, source string, text string").coalesce(1)
+    bits = spark.sparkContext.broadcast(iceberg.surviving_bits(spark.createDataFrame([("en", bytearray(b"common"))], "lang string, prefix binary")))
+    numbers = spark.sparkContext.broadcast({(b"en", f"s{i}".encode()): i for i in range(3)})
+    assert sorted((r.group, bytes(r.term), r.n) for r in iceberg.group_counts(docs, bits, numbers).collect()) == [(0, b"common", 7), (1, b"common", 7), (2, b"common", 6)]
+    parts = [pa.table({"term": pa.array([b"a", b"b"]), "n": pa.array([1, 2])}) for _ in range(3)]
+    assert sorted(zip(*iceberg.added_up(parts, "n").to_pydict().values())) == [(b"a", 3), (b"b", 6)] and not parts
