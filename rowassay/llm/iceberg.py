@@ -32,13 +32,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rowassay.llm.common import as_bytes, sliced
+from rowassay.llm.common import as_bytes, lean, sliced
 from rowassay.session import settle
 
 FILTER_BITS = 26
 BITMAP = 32_768  # bits in one bitmap of Spark's bitmap functions
 SCALE = 1_000_000_000
-HELD = 800_000  # counts of slices a task holds before it adds them up and passes them on
+SLICE = 1 << 20  # bytes of text whose terms are split and counted at once
+HELD = 200_000  # counts of slices a task holds before it adds them up and passes them on
 CELLS = 1 << 19  # probabilities in one numpy block
 LONG = 64  # bytes of a term up to which its crc32 is worked out together with that of others
 CRC = np.arange(256, dtype=np.uint32)  # of one byte
@@ -149,7 +150,7 @@ def level_counts(docs: DataFrame, shorter: int, longest: int, bits) -> DataFrame
                 rows = rows.filter(pa.array(known(langs.dictionary.cast(pa.binary()).to_pylist(), langs.indices.to_numpy(), rows.column("term").combine_chunks(), shorter)))
             yield from rows.to_batches()
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             terms, place = terms_in(batch.column("text"), shorter)
             terms = terms.dictionary_encode()
             whole = terms.dictionary
@@ -166,7 +167,7 @@ def level_counts(docs: DataFrame, shorter: int, longest: int, bits) -> DataFrame
         if held:
             yield from out()
 
-    made = docs.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
+    made = docs.select("lang", "text").mapInArrow(lean(run), "lang string, term binary, docs long")
     return made.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
@@ -187,7 +188,7 @@ def group_counts(docs: DataFrame, bits, numbers) -> DataFrame:
         for (lang, _), group in numbers.value.items():
             lang_of[group] = langs.index(lang)
         held: list[pa.Table] = []
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             groups = np.fromiter(map(numbers.value.__getitem__, zip(as_bytes(batch.column("lang")), as_bytes(batch.column("source")))), dtype=np.int64, count=batch.num_rows)
             terms, place = terms_in(batch.column("text"))
             terms = terms.dictionary_encode()
@@ -203,7 +204,7 @@ def group_counts(docs: DataFrame, bits, numbers) -> DataFrame:
         if held:
             yield from added_up(held, "n").to_batches()
 
-    made = docs.mapInArrow(run, "group int, term binary, n long")
+    made = docs.mapInArrow(lean(run), "group int, term binary, n long")
     return made.groupBy("group", "term").agg(F.sum("n").alias("n"))
 
 
@@ -289,7 +290,7 @@ def pair_sums(terms: DataFrame, floors) -> DataFrame:
         if sums:
             yield out()
 
-    made = terms.mapInArrow(run, "lang string, a int, sums array<long>")
+    made = terms.mapInArrow(lean(run), "lang string, a int, sums array<long>")
     return made.select("lang", "a", F.posexplode("sums").alias("b", "value")).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 

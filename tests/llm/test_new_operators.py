@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rowassay.llm import boosted, iceberg, importance
+from rowassay.llm import boosted, common, iceberg, importance
 from rowassay.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -250,3 +250,53 @@ def test_iceberg_looks_at_a_term_once_for_all_sources(spark, monkeypatch):
     assert sorted((r.group, bytes(r.term), r.n) for r in iceberg.group_counts(docs, bits, numbers).collect()) == [(0, b"common", 7), (1, b"common", 7), (2, b"common", 6)]
     parts = [pa.table({"term": pa.array([b"a", b"b"]), "n": pa.array([1, 2])}) for _ in range(3)]
     assert sorted(zip(*iceberg.added_up(parts, "n").to_pydict().values())) == [(b"a", 3), (b"b", 6)] and not parts
+
+
+class Caught:
+    """Stands for the rows of a scan and keeps the function that tasks run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def select(self, *columns):
+        return self
+
+    groupBy = agg = select
+
+
+@pytest.mark.parametrize("scan", ["level", "groups"])
+def test_iceberg_scans_hold_little_beside_a_large_batch(spark, scan):
+    """A batch of 16 MB of different words is split, numbered and counted in a few MB at a time."""
+    words = [f"{a}{b}{c}{d}{e}" for a in "abcdefgh" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst" for e in "abcdefghijklmnopqrst"]
+    texts = [" ".join(words[i::2000]) for i in range(2000)] * 2
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(["s"] * len(texts)), pa.array(texts)], names=["lang", "source", "text"])
+    docs, shared = Caught(), lambda value: type("Shared", (), {"value": value})
+    if scan == "level":
+        iceberg.level_counts(docs, 0, 6, None)
+    else:
+        iceberg.group_counts(docs, shared(b"\xff" * (1 << iceberg.FILTER_BITS - 3)), shared({(b"en", b"s"): 0}))
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        found = Counter()
+        for out in docs.run(iter([batch])):
+            for term, n in zip(out.column("term").to_pylist(), out.column(2).to_pylist()):
+                found[term] += n
+    finally:
+        pa.set_memory_pool(usual)
+    assert found == dict.fromkeys((w.encode() for w in words), 2)
+    assert pool.max_memory() < 32 << 20
+
+
+def test_a_worker_gives_memory_back_when_its_task_ends(monkeypatch):
+    seen = []
+
+    def run(batches):
+        yield from batches
+        seen.append("over")
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert seen == ["over", "back"]
